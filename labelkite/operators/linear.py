@@ -8,15 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import RFormula, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.mllib.classification import SVMWithSGD
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.regression import LabeledPoint
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelkite.operators.mixed_bayes import split_kinds
 from labelkite.operators.prepare import NUMERIC
 from labelkite.operators.skew import lookup_join
 from labelkite.operators.vectors import occurrences
@@ -101,58 +102,72 @@ def margin_class(margin: Column, positive: str = "positive", negative: str = "ne
 
 
 def logit_fit(df: DataFrame, target: str, positive: str, columns: list[str] | None = None):
-    """Fitted pipeline ``(formula, binomial model)`` on all columns but the class.
+    """Fitted pipeline whose last stage is a binomial model of all columns but the class.
 
     String columns become 0/1 columns against their first value in sorted order. ``positive`` is
     the class whose log odds are modelled.
     """
-    columns = columns or [c for c in df.columns if c != target]
-    flagged = df.withColumn("_y", (F.col(target) == positive).cast("double"))
-    terms = " + ".join(f"`{c}`" if not c.isidentifier() else c for c in columns)
-    # The encoder leaves out its last value: in descending order that is the first one sorted.
-    formula = RFormula(
-        formula=f"_y ~ {terms}", stringIndexerOrderType="alphabetDesc", featuresCol="_x", labelCol="_l"
-    )
-    glm = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_x", labelCol="_l", predictionCol="_p", maxIter=50
-    )
-    return Pipeline(stages=[formula, glm]).fit(flagged)
-
-
-def logit_table(model: PipelineModel, df: DataFrame, target: str, positive: str) -> DataFrame:
+    numeric, nominal = split_kinds(df, target)
+    if columns:
+        numeric = [c for c in numeric if c in columns]
+        nominal = [c for c in nominal if c in columns]
+    codes, flags = [f"_i_{c}" for c in nominal], [f"_f_{c}" for c in nominal]
+    stages = []
+    if nominal:
+        # The encoder leaves out its last value: in descending order that is the first one sorted.
+        stages = [
+            StringIndexer(inputCols=nominal, outputCols=codes, stringOrderType="alphabetDesc"),
+            OneHotEncoder(inputCols=codes, outputCols=flags, dropLast=True),
+        ]
+    stages += [
+        VectorAssembler(inputCols=numeric + flags, outputCol="_x"),
+        GeneralizedLinearRegression(
+            family="binomial", link="logit", featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=50
+        ),
+    ]
+    return Pipeline(stages=stages).fit(_flag(df, target, positive))
+
+
+def _flag(df: DataFrame, target: str, positive: str) -> DataFrame:
+    return df.withColumn("_y", (F.col(target) == positive).cast("double"))
+
+
+def logit_variables(model: PipelineModel) -> list[str]:
+    """Name of each coefficient: the column, or ``column=value`` of a 0/1 column; last the constant."""
+    assembler = model.stages[-2]
+    values = {}
+    if isinstance(model.stages[0], StringIndexerModel):
+        indexer = model.stages[0]
+        for c, labels in zip(indexer.getInputCols(), indexer.labelsArray):
+            values[f"_f_{c}"] = [f"{c}={v}" for v in labels[:-1]]
+    return [v for c in assembler.getInputCols() for v in values.get(c, [c])] + ["Constant"]
+
+
+def logit_table(model: PipelineModel, spark: SparkSession, positive: str) -> DataFrame:
     """``(logit, variable, coeff, std_err, z_score, p_value)``, one row for each coefficient."""
-    glm = model.stages[1]
-    shaped = model.stages[0].transform(df.withColumn("_y", (F.col(target) == positive).cast("double")))
-    attributes = shaped.schema["_x"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a["name"] for kind in attributes.values() for a in kind}
+    glm, names = model.stages[-1], logit_variables(model)
     s = glm.summary
-    variables = [names[i] for i in range(len(names))] + ["Constant"]
-    coefficients = list(glm.coefficients) + [glm.intercept]
-    rows = list(
-        zip(
-            [positive] * len(variables),
-            variables,
-            map(float, coefficients),
-            s.coefficientStandardErrors,
-            s.tValues,
-            s.pValues,
-        )
+    coefficients = [float(c) for c in glm.coefficients] + [glm.intercept]
+    rows = zip(
+        [positive] * len(names),
+        names,
+        coefficients,
+        s.coefficientStandardErrors,
+        s.tValues,
+        s.pValues,
     )
-    return df.sparkSession.createDataFrame(
-        rows,
+    return spark.createDataFrame(
+        list(rows),
         "logit string, variable string, coeff double, std_err double, z_score double, p_value double",
     )
 
 
 def logit_predict(
-    model: PipelineModel, df: DataFrame, target: str, positive: str, negative: str, name: str
+    model: PipelineModel, df: DataFrame, positive: str, negative: str, name: str
 ) -> DataFrame:
     """The table with the predicted class as one more column (threshold 0.5)."""
-    flagged = df.withColumn("_y", (F.col(target) == positive).cast("double"))
-    p = model.transform(flagged)
-    return p.withColumn(
-        name, F.when(F.col("_p") > 0.5, positive).otherwise(negative)
-    ).select(*df.columns, name)
+    predicted = F.when(F.col("_p") > 0.5, positive).otherwise(negative)
+    return model.transform(df).withColumn(name, predicted).select(*df.columns, name)
 
 
 # Kernel features

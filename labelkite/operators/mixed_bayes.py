@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from labelkite.operators.bayes import best_class
 from labelkite.operators.prepare import NUMERIC
@@ -86,6 +87,13 @@ def sufficient_stats(
     return numbers.unionByName(strings)
 
 
+def share_of(target: str):
+    """Window over the statistics rows that share one total: an attribute in a class, or all classes."""
+    return Window.partitionBy(
+        "attribute", F.when(F.col("attribute") != target, F.col("class"))
+    )
+
+
 @dataclass
 class MixedBayes:
     """Fitted model; all parts are small and live on the driver."""

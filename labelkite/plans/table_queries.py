@@ -1,2 +1,373 @@
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+"""Tables with a class: profile, preparation, learners, scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from labelkite.functions import missing_token
+from labelkite.operators import linear, mixed_bayes, prepare, rows, score, tree
+from labelkite.plans import inputs as i
+from labelkite.plans.registry import Registry
+from labelkite.shared import fresh_path
+from labelkite.sources import models
+
+registry = Registry()
+query = registry.query
+
+NUMERIC = ["o_totalprice", "c_acctbal"]
+NOMINAL = ["c_mktsegment", "o_orderpriority", "n_name"]
+TARGET = "o_orderstatus"
+UNKNOWN = "4-NOT SPECIFIED"
+
+
+def classed(spark, sf, *more):
+    return i.order_table(spark, sf).select(*more, *NUMERIC, *NOMINAL, TARGET)
+
+
+@query(
+    "column_profile",
+    f"""WITH {i.ORDER_TABLE},
+n AS (
+  {' UNION ALL '.join(
+      f"SELECT '{c}' AS name, 'double' AS type, min({c}) AS lower, max({c}) AS upper, "
+      f"NULL::BIGINT AS n_values, count(*) - count({c}) AS missing FROM t" for c in NUMERIC)}),
+s AS (
+  {' UNION ALL '.join(
+      f"SELECT '{c}' AS name, 'string' AS type, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, "
+      f"count(DISTINCT {c}) AS n_values, count(*) - count({c}) AS missing FROM t" for c in [*NOMINAL, TARGET])})
+SELECT * FROM n UNION ALL SELECT * FROM s""",
+)
+def column_profile(spark, sf):
+    return rows.profile(classed(spark, sf), NUMERIC, [*NOMINAL, TARGET])
+
+
+@query(
+    "missing_token",
+    f"""SELECT o_orderkey, nullif(o_orderpriority, '{UNKNOWN}') AS as_missing,
+  CASE WHEN o_orderpriority = '{UNKNOWN}' THEN '' ELSE o_orderpriority END AS as_empty FROM orders""",
+)
+def missing_token_query(spark, sf):
+    priority = F.col("o_orderpriority")
+    return i.table(spark, sf, "orders").select(
+        "o_orderkey",
+        missing_token(priority, UNKNOWN).alias("as_missing"),
+        missing_token(priority, UNKNOWN, "").alias("as_empty"),
+    )
+
+
+# Missing cells. The tables have none, so some are made by the order key; every row stays.
+
+RULES = [
+    (["o_totalprice"], ("none",)),
+    (["o_totalprice", "c_acctbal"], ("mean",)),
+    (["o_orderpriority"], ("fixed", "other")),
+    (["c_mktsegment"], ("most_frequent",)),
+]
+TYPE_DEFAULTS = {"int": ("fixed", 0), "string": ("fixed", "other")}
+
+GAPS = f"""gaps AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice,
+    CASE WHEN o_orderkey % 5 <> 0 THEN c_acctbal END AS c_acctbal,
+    CASE WHEN o_orderkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment,
+    nullif(o_orderpriority, '{UNKNOWN}') AS o_orderpriority,
+    CASE WHEN o_orderkey % 11 <> 0 THEN n_name END AS n_name,
+    {i.unit_sql('o_orderkey')} < 0.6 AS train
+  FROM t)"""
+
+
+def gaps(spark, sf):
+    key = F.col("o_orderkey")
+    return i.order_table(spark, sf).select(
+        "o_orderkey",
+        F.when(key % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"),
+        F.when(key % 5 != 0, F.col("c_acctbal")).alias("c_acctbal"),
+        F.when(key % 3 != 0, F.col("c_mktsegment")).alias("c_mktsegment"),
+        missing_token(F.col("o_orderpriority"), UNKNOWN).alias("o_orderpriority"),
+        F.when(key % 11 != 0, F.col("n_name")).alias("n_name"),
+    )
+
+
+def rules(df):
+    columns = {c: t for c, t in df.dtypes if c != "o_orderkey"}
+    return prepare.resolve_rules(RULES, columns, TYPE_DEFAULTS)
+
+
+def filled_sql(fit_where: str, apply_where: str) -> str:
+    return f"""WITH {i.ORDER_TABLE}, {GAPS},
+fit AS (SELECT * FROM gaps WHERE {fit_where}),
+m AS (SELECT avg(o_totalprice) AS price, avg(c_acctbal) AS balance FROM fit),
+f AS (
+  SELECT c_mktsegment AS segment FROM fit WHERE c_mktsegment IS NOT NULL
+  GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT o_orderkey, round(coalesce(o_totalprice, price), 6) AS o_totalprice,
+  round(coalesce(c_acctbal, balance), 6) AS c_acctbal, coalesce(c_mktsegment, segment) AS c_mktsegment,
+  coalesce(o_orderpriority, 'other') AS o_orderpriority, coalesce(n_name, 'other') AS n_name
+FROM gaps, m, f WHERE {apply_where}"""
+
+
+def rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in NUMERIC})
+
+
+@query("impute", filled_sql("true", "true"))
+def impute(spark, sf):
+    df = gaps(spark, sf)
+    return rounded(prepare.impute(df, rules(df)))
+
+
+@query("impute_apply", filled_sql("train", "NOT train"))
+def impute_apply(spark, sf):
+    train, rest = rows.hash_split(gaps(spark, sf), i.WEIGHTS, ["o_orderkey"], i.SEED)
+    root = fresh_path(spark, "models")
+    models.write_model(prepare.impute_fit(train, rules(train)), root, "orders")
+    return rounded(models.load_impute(spark, root, "orders").apply(rest))
+
+
+# The nominal values of the given tables, which the SQL has to name.
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", UNKNOWN, "5-LOW"]
+STATUSES = ["F", "O", "P"]
+
+
+@query(
+    "one_hot",
+    f"""WITH {i.ORDER_TABLE} SELECT o_orderkey, c_mktsegment, o_orderpriority,
+  {', '.join(f"CAST(c_mktsegment = '{v}' AS INT) AS " + f'"{v}_c_mktsegment"' for v in SEGMENTS)},
+  {', '.join(f"CAST(o_orderpriority = '{v}' AS INT) AS " + f'"{v}_o_orderpriority"' for v in PRIORITIES)}
+FROM t""",
+)
+def one_hot(spark, sf):
+    df = i.order_table(spark, sf).select("o_orderkey", "c_mktsegment", "o_orderpriority")
+    return prepare.one_hot(df, ["c_mktsegment", "o_orderpriority"])
+
+
+def scaled_sql(fit_where: str, apply_where: str) -> str:
+    scaled = ", ".join(
+        f"round(-1e0 + ({c} - lo_{c}) / (hi_{c} - lo_{c}) * 2e0, 6) AS {c}" for c in NUMERIC
+    )
+    bounds = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUMERIC)
+    return f"""WITH {i.ORDER_TABLE}, p AS (SELECT *, {i.unit_sql('o_orderkey')} < 0.6 AS train FROM t),
+b AS (SELECT {bounds} FROM p WHERE {fit_where})
+SELECT o_orderkey, {scaled} FROM p, b WHERE {apply_where}"""
+
+
+@query("min_max", scaled_sql("true", "true"))
+def min_max(spark, sf):
+    df = i.order_table(spark, sf).select("o_orderkey", *NUMERIC)
+    return rounded(prepare.min_max(df, NUMERIC))
+
+
+@query("min_max_apply", scaled_sql("train", "NOT train"))
+def min_max_apply(spark, sf):
+    df = i.order_table(spark, sf).select("o_orderkey", *NUMERIC)
+    train, rest = rows.hash_split(df, i.WEIGHTS, ["o_orderkey"], i.SEED)
+    root = fresh_path(spark, "models")
+    models.write_model(prepare.min_max_fit(train, NUMERIC), root, "orders")
+    return rounded(models.load_ranges(spark, root, "orders").apply(rest))
+
+
+# Naive Bayes on columns
+
+GRID = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, {c} AS value, k.class, count(t.class) AS n "
+    f"FROM (SELECT DISTINCT {c} FROM t) v CROSS JOIN (SELECT DISTINCT class FROM t) k "
+    f"LEFT JOIN t USING ({c}, class) GROUP BY ALL"
+    for c in NOMINAL
+)
+MIXED = f"""t AS (
+  SELECT o_orderkey, {', '.join(NUMERIC + NOMINAL)}, o_orderstatus AS class
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+grid AS ({GRID}),
+num AS (
+  SELECT class, count(*) AS docs, count(*) / CAST((SELECT count(*) FROM t) AS DOUBLE) AS prior,
+    {', '.join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS d_{c}, sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}" for c in NUMERIC)}
+  FROM t GROUP BY class),
+prob AS (SELECT name, value, class, n, n / sum(n) OVER (PARTITION BY name, class) AS p FROM grid)"""
+
+
+def gauss_sql(c: str) -> str:
+    return f"-ln(d_{c} * sqrt(2 * pi())) - (t.{c} - m_{c}) * (t.{c} - m_{c}) / (d_{c} * d_{c}) / 2"
+
+
+MIXED_PREDICT = f"""{MIXED},
+s AS (
+  SELECT o_orderkey, t.class AS label, num.class AS predicted,
+    round(ln(prior) + {' + '.join(gauss_sql(c) for c in NUMERIC)}
+      + {' + '.join(f"CASE WHEN p_{c}.p > 0 THEN ln(p_{c}.p) ELSE '-infinity'::DOUBLE END" for c in NOMINAL)}, 9) AS score
+  FROM t CROSS JOIN num
+  {' '.join(f"JOIN prob p_{c} ON p_{c}.name = '{c}' AND p_{c}.value = t.{c} AND p_{c}.class = num.class" for c in NOMINAL)}),
+pred AS (
+  SELECT o_orderkey, label, predicted FROM s
+  QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, predicted) = 1)"""
+
+
+def mixed_model(spark, sf):
+    return mixed_bayes.mixed_fit(classed(spark, sf), TARGET)
+
+
+def mixed_predictions(spark, sf):
+    df = mixed_model(spark, sf).predict(classed(spark, sf, "o_orderkey"), "predicted")
+    return df.select("o_orderkey", F.col(TARGET).alias("label"), "predicted")
+
+
+@query(
+    "nb_sufficient_stats",
+    f"""WITH {MIXED}
+{' UNION ALL '.join(
+    f"SELECT class, '{c}' AS name, NULL AS value, docs AS n, round(s_{c} / 1e6, 3) AS sum_m, "
+    f"round(q_{c} / 1e12, 3) AS square_sum_t FROM num" for c in NUMERIC)}
+UNION ALL SELECT class, name, value, n, NULL, NULL FROM grid WHERE n > 0""",
+)
+def nb_sufficient_stats(spark, sf):
+    found = mixed_bayes.sufficient_stats(classed(spark, sf), TARGET, NUMERIC, NOMINAL)
+    return found.select(
+        "class",
+        "name",
+        "value",
+        "n",
+        F.round(F.col("sum") / 1e6, 3).alias("sum_m"),
+        F.round(F.col("square_sum") / 1e12, 3).alias("square_sum_t"),
+    )
+
+
+@query(
+    "nb_statistics",
+    f"""WITH {MIXED}
+{' UNION ALL '.join(
+    f"SELECT '{c}' AS attribute, NULL AS value, class, docs AS count, round(m_{c}, 4) AS mean, "
+    f"round(d_{c}, 4) AS std FROM num" for c in NUMERIC)}
+UNION ALL SELECT name, value, class, n, NULL, NULL FROM grid
+UNION ALL SELECT '{TARGET}', NULL, class, docs, NULL, NULL FROM num""",
+)
+def nb_statistics(spark, sf):
+    found = mixed_model(spark, sf).statistics(spark)
+    return found.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+
+
+@query(
+    "nb_mixed_fit",
+    f"""WITH {MIXED} SELECT name, value, class, n, round(p, 9) AS probability FROM prob
+UNION ALL SELECT '{TARGET}', NULL, class, docs, round(prior, 9) FROM num""",
+)
+def nb_mixed_fit(spark, sf):
+    root = fresh_path(spark, "models")
+    models.write_model(mixed_model(spark, sf), root, "orders")
+    stored = models.load_parameters(spark, root, "table_bayes", "orders")
+    # One row by value and class: a small table.
+    share = F.sum("count").over(mixed_bayes.share_of(TARGET))
+    return stored.where(F.col("mean").isNull()).select(
+        F.col("attribute").alias("name"),
+        "value",
+        "class",
+        F.col("count").alias("n"),
+        F.round(F.col("count") / share, 9).alias("probability"),
+    )
+
+
+@query("nb_mixed_predict", f"WITH {MIXED_PREDICT} SELECT * FROM pred")
+def nb_mixed_predict(spark, sf):
+    return mixed_predictions(spark, sf)
+
+
+# Scores
+
+CELLS = f"{MIXED_PREDICT}, c AS (SELECT label, predicted, count(*) AS n FROM pred GROUP BY ALL)"
+
+
+@query(
+    "confusion_matrix",
+    f"""WITH {CELLS}, k AS (SELECT DISTINCT class FROM t)
+SELECT class AS actual,
+  {', '.join(f"CAST(coalesce(sum(n) FILTER (predicted = '{v}'), 0) AS BIGINT) AS " + f'"p_{v}"' for v in STATUSES)}
+FROM k LEFT JOIN c ON label = class GROUP BY class""",
+)
+def confusion_matrix(spark, sf):
+    model = mixed_model(spark, sf)
+    predicted = model.predict(classed(spark, sf), "predicted")
+    return score.confusion_matrix(predicted, TARGET, "predicted", list(model.classes))
+
+
+ROLES = f"""{CELLS},
+k AS (SELECT label AS class FROM c UNION SELECT predicted FROM c),
+r AS (
+  SELECT class, sum(n) AS n, coalesce(sum(n) FILTER (label = class AND predicted = class), 0) AS tp,
+    coalesce(sum(n) FILTER (label <> class AND predicted = class), 0) AS fp,
+    coalesce(sum(n) FILTER (label <> class AND predicted <> class), 0) AS tn,
+    coalesce(sum(n) FILTER (label = class AND predicted <> class), 0) AS fn
+  FROM k CROSS JOIN c GROUP BY class),
+whole AS (
+  SELECT sum(tp) AS correct, any_value(n) AS n, sum(tp) / any_value(n)::DOUBLE AS accuracy,
+    sum((tp + fn)::DOUBLE * (tp + fp)) / (any_value(n)::DOUBLE * any_value(n)) AS chance FROM r)"""
+
+
+@query(
+    "class_statistics",
+    f"""WITH {ROLES}, q AS (
+  SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE END AS recall,
+    CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE END AS precision FROM r)
+SELECT class, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn,
+  round(recall, 9) AS recall, round(precision, 9) AS precision, round(recall, 9) AS sensitivity,
+  round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp)::DOUBLE END, 9) AS specificity,
+  round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) END, 9) AS f_measure,
+  NULL::DOUBLE AS accuracy, NULL::DOUBLE AS kappa FROM q
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, round(accuracy, 9),
+  round((accuracy - chance) / (1 - chance), 9) FROM whole""",
+)
+def class_statistics(spark, sf):
+    found = score.class_statistics(mixed_predictions(spark, sf), "label", "predicted")
+    return found.withColumns({c: F.round(c, 9) for c, t in found.dtypes if t == "double"})
+
+
+@query(
+    "scorer_totals",
+    f"""WITH {ROLES} SELECT round(accuracy, 9) AS accuracy, round(1 - accuracy, 9) AS error,
+  correct::BIGINT AS correct, (n - correct)::BIGINT AS false,
+  round((accuracy - chance) / (1 - chance), 9) AS kappa FROM whole""",
+)
+def scorer_totals(spark, sf):
+    found = score.scorer_totals(mixed_predictions(spark, sf), "label", "predicted")
+    return found.withColumns({c: F.round(c, 9) for c, t in found.dtypes if t == "double"})
+
+
+# Learners of the ML library: the class is whether a line was returned
+
+RETURNED, KEPT = "R", "N"
+
+
+def lines(spark, sf):
+    returned = F.when(F.col("l_returnflag") == "R", RETURNED).otherwise(KEPT)
+    return i.table(
+        spark, sf, "lineitem",
+        ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_returnflag"],
+    ).withColumn("l_returnflag", returned)
+
+
+@query("logit_table")
+def logit_table(spark, sf):
+    df = lines(spark, sf)
+    model = linear.logit_fit(df, "l_returnflag", RETURNED)
+    return linear.logit_table(model, spark, RETURNED)
+
+
+@query("logit_predict")
+def logit_predict(spark, sf):
+    df = lines(spark, sf)
+    model = linear.logit_fit(df, "l_returnflag", RETURNED)
+    return linear.logit_predict(model, df, RETURNED, KEPT, "predicted")
+
+
+@query("tree_predict")
+def tree_predict(spark, sf):
+    df = lines(spark, sf)
+    return tree.tree_predict(tree.tree_fit(df, "l_returnflag"), df)
+
+
+@query("svm_rbf_predict")
+def svm_rbf_predict(spark, sf):
+    coded = prepare.one_hot(lines(spark, sf), ["l_linestatus"])
+    columns = [c for c, t in coded.dtypes if t in prepare.NUMERIC]
+    scaled = prepare.min_max(coded, columns).withColumn(
+        "label", (F.col("l_returnflag") == RETURNED).cast("double")
+    )
+    model, features = linear.svm_rbf_fit(scaled, columns, c=1.0, sigma=0.1)
+    return linear.svm_rbf_predict(model, features, scaled, [KEPT, RETURNED], "predicted")

@@ -7,34 +7,25 @@ from pyspark.sql import functions as F
 from labelkite.functions import clean_text, encode_label, join_tokens
 from labelkite.operators import bayes, linear, rows, score, vectors, vocab
 from labelkite.plans import inputs as i
+from labelkite.plans.registry import Registry
 from labelkite.shared import fresh_path, written
 from labelkite.sources import models
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+registry = Registry()
+query = registry.query
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-@query(f"SELECT doc_id, {i.clean_sql('text')} AS clean FROM documents")
-def clean_text_(spark, sf):
+@query("clean_text", f"SELECT doc_id, {i.clean_sql('text')} AS clean FROM documents")
+def clean_text_query(spark, sf):
     return i.documents(spark, sf).select("doc_id", clean_text("text").alias("clean"))
 
 
-@query(
+@query("tokenize",
     f"""WITH t AS (SELECT doc_id, {i.tokens_sql('text')} AS tokens FROM documents)
 SELECT doc_id, len(tokens) AS n_tokens, coalesce(list_aggregate(tokens, 'string_agg', ' '), '') AS tokens
 FROM t"""
 )
-def tokenize_(spark, sf):
+def tokenize_query(spark, sf):
     return i.document_tokens(spark, sf).select(
         "doc_id",
         F.size("tokens").cast("long").alias("n_tokens"),
@@ -42,15 +33,15 @@ def tokenize_(spark, sf):
     )
 
 
-@query(
+@query("join_tokens",
     f"""WITH t AS (SELECT doc_id, {i.tokens_sql('text')} AS tokens FROM documents)
 SELECT doc_id, coalesce(' ' || list_aggregate(tokens, 'string_agg', ' '), '') AS joined FROM t"""
 )
-def join_tokens_(spark, sf):
+def join_tokens_query(spark, sf):
     return i.document_tokens(spark, sf).select("doc_id", join_tokens("tokens").alias("joined"))
 
 
-@query(
+@query("drop_empty",
     f"""WITH t AS (SELECT doc_id, {i.tokens_sql('text')} AS tokens FROM documents)
 SELECT doc_id, len(tokens) AS n_tokens FROM t WHERE len(tokens) > 0"""
 )
@@ -59,7 +50,7 @@ def drop_empty(spark, sf):
     return kept.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
 
 
-@query(
+@query("label_encode",
     """WITH t AS (
   SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS label
   FROM labels)
@@ -81,7 +72,7 @@ def label_encode(spark, sf):
     )
 
 
-@query(
+@query("count_vectorize",
     f"""WITH t AS (
   SELECT doc_id, unnest({i.tokens_sql('text')}) AS term FROM documents)
 SELECT doc_id, term, count(*) AS tf FROM t WHERE length(term) >= 2 GROUP BY doc_id, term"""
@@ -90,12 +81,12 @@ def count_vectorize(spark, sf):
     return vectors.term_counts(i.document_tokens(spark, sf), "doc_id", min_length=2)
 
 
-@query(f"WITH {i.TERMS} SELECT term, doc_freq FROM vocab")
+@query("vocab_all_terms", f"WITH {i.TERMS} SELECT term, doc_freq FROM vocab")
 def vocab_all_terms(spark, sf):
     return vocab.doc_freq(i.document_tokens(spark, sf))
 
 
-@query(f"WITH {i.TERMS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM vocab")
+@query("vocab_index", f"WITH {i.TERMS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM vocab")
 def vocab_index(spark, sf):
     return vocab.assign_index(vocab.doc_freq(i.document_tokens(spark, sf))).select("term", "idx")
 
@@ -119,12 +110,12 @@ def significant(spark, sf):
     return vocab.significant_terms(docs, size=10_000)
 
 
-@query(f"WITH {SIGNIFICANT} SELECT label, rank, term, fg, bg, round(score, 6) AS score FROM best")
+@query("significant_terms", f"WITH {SIGNIFICANT} SELECT label, rank, term, fg, bg, round(score, 6) AS score FROM best")
 def significant_terms(spark, sf):
     return significant(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@query(
+@query("vocab_significant",
     f"""WITH {SIGNIFICANT}, terms AS (SELECT DISTINCT term FROM best)
 SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM terms"""
 )
@@ -132,7 +123,7 @@ def vocab_significant(spark, sf):
     return vocab.assign_index(significant(spark, sf).select("term").distinct())
 
 
-@query(
+@query("doc_vectors",
     f"""WITH {i.TERMS},
 spec AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM vocab),
 e AS (SELECT doc_id, idx FROM tok JOIN spec USING (term))
@@ -184,17 +175,17 @@ def bayes_predictions(spark, sf):
     return bayes.multinomial_predict(model, test, "doc_id", ["label"])
 
 
-@query(f"WITH {BAYES} SELECT term, label, CAST(n AS DOUBLE) AS count, round(weight, 6) AS weight FROM theta")
+@query("nb_fit", f"WITH {BAYES} SELECT term, label, CAST(n AS DOUBLE) AS count, round(weight, 6) AS weight FROM theta")
 def nb_fit(spark, sf):
     return fitted_bayes(spark, sf)[0].weights().withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {BAYES} SELECT doc_id, label, predicted, round(score, 6) AS score FROM pred")
+@query("nb_predict", f"WITH {BAYES} SELECT doc_id, label, predicted, round(score, 6) AS score FROM pred")
 def nb_predict(spark, sf):
     return bayes_predictions(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@query(
+@query("accuracy",
     f"""WITH {BAYES} SELECT round(avg(CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END), 9) AS accuracy,
   count(*) AS n FROM pred"""
 )
@@ -203,7 +194,7 @@ def accuracy(spark, sf):
     return found.withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query(
+@query("actual_vs_predicted",
     f"""WITH {BAYES} SELECT label, predicted, count(*) AS n, sum(count(*)) OVER (PARTITION BY label) AS bucket,
   row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, predicted) AS rank
 FROM pred GROUP BY label, predicted"""
@@ -212,7 +203,7 @@ def actual_vs_predicted(spark, sf):
     return score.nested_terms(bayes_predictions(spark, sf), "label", "predicted")
 
 
-@query(f"WITH {BAYES} SELECT doc_id, label, predicted, round(score, 6) AS score FROM pred")
+@query("model_roundtrip", f"WITH {BAYES} SELECT doc_id, label, predicted, round(score, 6) AS score FROM pred")
 def model_roundtrip(spark, sf):
     model, test = fitted_bayes(spark, sf)
     root = fresh_path(spark, "models")
@@ -266,7 +257,7 @@ w{t} AS MATERIALIZED (
     return ",\n".join(parts)
 
 
-@query(
+@query("svm_predict",
     f"""WITH {i.SPLIT}, {i.TERMS},
 tr AS (SELECT doc_id, CASE label WHEN 'positive' THEN 1e0 ELSE -1e0 END AS y FROM part WHERE train),
 x AS MATERIALIZED (SELECT doc_id, term FROM tok JOIN vocab USING (term) JOIN part USING (doc_id)),
@@ -282,19 +273,19 @@ def svm_predict(spark, sf):
     return found.withColumn("margin", F.round("margin", 6))
 
 
-@query()
+@query("lr_predict")
 def lr_predict(spark, sf):
     spec, length, train, test = training_vectors(spark, sf)
     return logistic_predictions(linear.logistic_fit(train), spec, length, test)
 
 
-@query()
+@query("lr_l2_predict")
 def lr_l2_predict(spark, sf):
     spec, length, train, test = training_vectors(spark, sf)
     return logistic_predictions(linear.logistic_l2_fit(train), spec, length, test)
 
 
-@query()
+@query("compare_models")
 def compare_models(spark, sf):
     spec, length, train, test = training_vectors(spark, sf)
     naive = bayes.multinomial_fit(i.split_tokens(spark, sf)[0], spec)
@@ -308,9 +299,3 @@ def compare_models(spark, sf):
         "label",
         "predicted",
     )
-
-
-# A trailing underscore keeps a query apart from the function of the same name.
-for _registry in (QUERIES, SQL):
-    for _name in [n for n in _registry if n.endswith("_")]:
-        _registry[_name.rstrip("_")] = _registry.pop(_name)

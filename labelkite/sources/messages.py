@@ -12,15 +12,17 @@ COMMENTS = "array<struct<body: string, labels: array<struct<name: string>>>>"
 NUMBERED_FILE = r"/(\d+)[^/]*$"
 
 
-def read_rooms(spark: SparkSession, root: str, schema: str = MESSAGES) -> DataFrame:
-    """One row by message of every ``*.json`` file below ``root``, with its text and room.
+def read_rooms(
+    spark: SparkSession, root: str, schema: str = MESSAGES, suffix: str = "*json"
+) -> DataFrame:
+    """One row by message of every file below ``root`` whose name ends in ``json``, with its text and room.
 
     The room is the file's folder without blanks and ``#``. A file that is not JSON is skipped, and
     so is a message without a text.
     """
     files = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*json")
+        .option("pathGlobFilter", suffix)
         .text(root, wholetext=True)
     )
     # A line break inside a JSON string is not valid; as a blank it is.
