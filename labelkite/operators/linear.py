@@ -197,7 +197,7 @@ def svm_rbf_fit(
     label: str = "label",
     c: float = 1.0,
     sigma: float = 0.1,
-    n: int = 256,
+    n: int = 128,
     seed: int = 42,
 ):
     """Support vectors on kernel features. Returns ``(model, features expression)``.
@@ -207,7 +207,7 @@ def svm_rbf_fit(
     """
     cells = F.array(*[F.col(x).cast("double") for x in columns])
     features = array_to_vector(fourier_features(cells, len(columns), sigma, n, seed))
-    train = written(df.select(label, features.alias("features")), "kernel-features")
+    train = written(df.select(label, features.alias("features")), "kernel-features", even=True)
     model = LinearSVC(
         labelCol=label, maxIter=100, regParam=1.0 / (c * train.count()), standardization=False
     ).fit(train)

@@ -16,13 +16,14 @@ def tree_fit(
     columns: list[str] | None = None,
     min_records: int = 2,
     max_depth: int = 30,
-    max_values: int = 64,
+    max_bins: int = 256,
     prediction: str = "predicted",
 ) -> PipelineModel:
     """Gini tree. Splits are binary; unseen values get a place of their own.
 
-    ``max_values`` is the largest number of values of a string column, and the number of candidate
-    split points of a numeric one: what the learner collects for each node stays small.
+    ``max_bins`` is the largest number of values of a string column, and the number of candidate
+    split points of a numeric one with more values than that: what the learner collects for each
+    node stays small.
     """
     numeric, nominal = split_kinds(df, target)
     if columns:
@@ -45,7 +46,7 @@ def tree_fit(
             impurity="gini",
             minInstancesPerNode=min_records,
             maxDepth=max_depth,
-            maxBins=max_values,
+            maxBins=max_bins,
         ),
     ]
     model = Pipeline(stages=stages).fit(df)

@@ -92,7 +92,7 @@ def ml_vectors(vectors: DataFrame, length: int) -> DataFrame:
         F.col("indices"),
         F.col("values"),
     )
-    vectors.select(*others, layout.alias("features")).write.parquet(path)
+    vectors.select(*others, layout.alias("features")).hint("rebalance").write.parquet(path)
     fields = [vectors.schema[c] for c in others]
     schema = T.StructType([*fields, T.StructField("features", VectorUDT())])
     return vectors.sparkSession.read.schema(schema).parquet(path)

@@ -45,12 +45,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, even: bool = False) -> DataFrame:
     """Store a table in the shared folder and read it back.
 
     Cuts the lineage: a table that is used twice is computed once, survives lost executors, and
-    has a known size, so that Spark can choose its joins.
+    has a known size, so that Spark can choose its joins. ``even`` writes files of about one size,
+    for tables that an iterative learner reads many times: few tasks for a small one, no large file.
     """
+    if even:
+        df = df.hint("rebalance")
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
