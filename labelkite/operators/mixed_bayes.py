@@ -19,6 +19,7 @@ from labelkite.operators.prepare import NUMERIC
 from labelkite.operators.rows import value_counts
 from labelkite.operators.skew import small_rows
 from labelkite.operators.vocab import MAX_CLASSES
+from labelkite.shared import written
 
 MAX_NOMINAL = 50
 
@@ -30,8 +31,11 @@ def split_kinds(df: DataFrame, target: str) -> tuple[list[str], list[str]]:
 
 
 def numeric_sums(df: DataFrame, target: str, numeric: list[str]) -> DataFrame:
-    """``(class, name, n, sum, square_sum, mean, std)`` over the non-missing cells, sample std."""
-    aggregates = []
+    """``(class, rows, name, n, sum, square_sum, mean, std)`` over the non-missing cells, sample std.
+
+    ``rows`` is the size of the class. Without numeric columns there is one row by class.
+    """
+    aggregates = [F.count("*").alias("rows")]
     for i, c in enumerate(numeric):
         x = F.col(c).cast("double")
         aggregates += [
@@ -55,13 +59,18 @@ def numeric_sums(df: DataFrame, target: str, numeric: list[str]) -> DataFrame:
             for i, c in enumerate(numeric)
         ]
     )
-    return by_class.agg(*aggregates).select("class", F.inline(cells))
+    sums = by_class.agg(*aggregates)
+    return sums.select("class", "rows", F.inline(cells)) if numeric else sums
 
 
 def nominal_counts(df: DataFrame, target: str, nominal: list[str], max_nominal: int) -> DataFrame:
-    """``(class, name, value, n)`` of the columns with at most ``max_nominal`` values."""
+    """``(class, name, value, n)`` of the columns with at most ``max_nominal`` values.
+
+    The counts are stored: the check of the widths reads them again, not the table.
+    """
     known = df.where(F.col(target).isNotNull()).withColumnRenamed(target, "class")
     counts = value_counts(known, nominal, ["class"]).where(F.col("value").isNotNull())
+    counts = written(counts, "value-counts")
     # At most one row for each column name, so this join is a broadcast by size.
     narrow = (
         counts.select("name", "value")
@@ -193,13 +202,13 @@ def mixed_fit(
     kinds = split_kinds(df, target)
     numeric = kinds[0] if numeric is None else numeric
     nominal = kinds[1] if nominal is None else nominal
-    known = df.where(F.col(target).isNotNull())
-    sizes = known.groupBy(target).agg(F.count("*").alias("n"))
-    classes = {r[0]: r[1] for r in small_rows(sizes, MAX_CLASSES, "classes")}
+    classes: dict = {}
     gauss: dict = {c: {} for c in numeric}
     counts: dict = {}
-    if numeric:
-        for r in numeric_sums(df, target, numeric).collect():
+    limit = MAX_CLASSES * max(1, len(numeric))
+    for r in small_rows(numeric_sums(df, target, numeric), limit, "class statistics"):
+        classes[r["class"]] = r["rows"]
+        if numeric:
             gauss[r["name"]][r["class"]] = (r["n"], r["mean"], r["std"])
     if nominal:
         limit = len(nominal) * max_nominal * len(classes)

@@ -9,7 +9,7 @@ from labelkite.functions import tokenize
 from labelkite.operators.rows import hash_split
 from labelkite.operators.vocab import doc_freq
 from labelkite.shared import written
-from labelkite.sources.tables import read_documents
+from labelkite.sources.tables import read_documents, spread_small
 
 CLASSES = ["negative", "positive"]
 WEIGHTS = [6, 4]
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf: str, name: str, fields: list[str] | None = No
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents", ["doc_id", "text"])
+    return spread_small(table(spark, sf, "documents", ["doc_id", "text"]))
 
 
 def document_tokens(spark: SparkSession, sf: str) -> DataFrame:

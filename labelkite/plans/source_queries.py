@@ -234,9 +234,7 @@ def rooms_json(spark, sf):
 THREADS = f"""c AS (
   SELECT conv_id * 1000 + turn // {PAGE} AS thread, text AS body,
     row_number() OVER (PARTITION BY conv_id, turn // {PAGE} ORDER BY turn DESC) - 1 AS position,
-    CASE WHEN role <> 'assistant' THEN role END AS label FROM conversations),
-r AS (SELECT thread, arg_max(label, position) AS root, count(*) AS n FROM c GROUP BY thread),
-m AS (SELECT thread, position, body, coalesce(label, root) AS label FROM c JOIN r USING (thread))"""
+    CASE WHEN role <> 'assistant' THEN role END AS label FROM conversations)"""
 
 
 def issue_threads(spark, sf) -> DataFrame:
@@ -260,35 +258,48 @@ def issue_threads_query(spark, sf):
     return found.select("thread", "position", "text", F.get("labels.name", F.lit(0)).alias("label"))
 
 
-@query("thread_inherit", f"WITH {THREADS} SELECT thread, position, body AS text, label FROM m")
+TALKS = """c AS (
+  SELECT conv_id, turn, role, text, CASE WHEN role <> 'assistant' THEN role END AS label FROM conversations),
+r AS (SELECT conv_id, arg_min(coalesce(label, ''), turn) AS root, count(*) AS n FROM c GROUP BY conv_id),
+m AS (SELECT conv_id, turn, text, coalesce(label, nullif(root, '')) AS label FROM c JOIN r USING (conv_id))"""
+
+
+def talks(spark, sf) -> DataFrame:
+    """Conversations as threads: the lowest turn opens, answers have no label of their own."""
+    label = F.when(F.col("role") != "assistant", F.col("role"))
+    return conversations(spark, sf).select("conv_id", "turn", "text", label.alias("label"))
+
+
+def inherited(spark, sf) -> DataFrame:
+    return threads.inherit_from_root(talks(spark, sf), "conv_id", "turn", ["label"])
+
+
+@query("thread_inherit", f"WITH {TALKS} SELECT conv_id, turn, text, label FROM m")
 def thread_inherit(spark, sf):
-    found = threads.inherit_from_root(
-        issue_threads(spark, sf), "thread", "position", ["labels"], root="last"
-    )
-    return found.select("thread", "position", "text", F.get("labels.name", F.lit(0)).alias("label"))
+    return inherited(spark, sf)
 
 
 @query(
     "thread_nested",
-    f"""WITH {THREADS} SELECT thread, any_value(r.n) AS messages, arg_max(body, position) AS opening,
-  arg_min(body, position) AS first, arg_max(body, position) AS last, count(*) AS comments,
-  count(coalesce(label)) AS labelled
-FROM m JOIN r USING (thread) GROUP BY thread""",
+    f"""WITH {TALKS} SELECT conv_id, turn // {PAGE} AS page, any_value(r.n) AS messages,
+  any_value(o.text) AS opening, arg_min(m.text, m.turn) AS first, arg_max(m.text, m.turn) AS last,
+  count(*) AS comments, count(label) AS labelled
+FROM m JOIN r USING (conv_id)
+  JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM c GROUP BY conv_id) o USING (conv_id)
+GROUP BY conv_id, page""",
 )
 def thread_nested(spark, sf):
-    flat = threads.inherit_from_root(
-        issue_threads(spark, sf), "thread", "position", ["labels"], root="last"
-    )
-    nested = threads.collect_thread(flat, "thread", "position", ["body", "text", "labels"], "last")
+    nested = threads.collect_thread(inherited(spark, sf), "conv_id", "turn", ["text", "label"], page_size=PAGE)
     comments = F.col("comments")
     return nested.select(
-        "thread",
+        "conv_id",
+        "page",
         "messages",
-        F.col("original_request.body").alias("opening"),
+        F.col("original_request.text").alias("opening"),
         F.get(comments, F.lit(0))["text"].alias("first"),
         F.element_at(comments, -1)["text"].alias("last"),
         F.size(comments).cast("long").alias("comments"),
-        F.size(F.filter(comments, lambda c: c["labels"].isNotNull())).cast("long").alias("labelled"),
+        F.size(F.filter(comments, lambda c: c["label"].isNotNull())).cast("long").alias("labelled"),
     )
 
 

@@ -8,7 +8,7 @@ from labelkite.functions import missing_token
 from labelkite.operators import linear, mixed_bayes, prepare, rows, score, tree
 from labelkite.plans import inputs as i
 from labelkite.plans.registry import Registry
-from labelkite.shared import fresh_path
+from labelkite.shared import fresh_path, written
 from labelkite.sources import models
 
 registry = Registry()
@@ -201,12 +201,14 @@ pred AS (
   QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, predicted) = 1)"""
 
 
-def mixed_model(spark, sf):
-    return mixed_bayes.mixed_fit(classed(spark, sf), TARGET)
+def mixed_model(table):
+    return mixed_bayes.mixed_fit(table, TARGET, NUMERIC, NOMINAL)
 
 
 def mixed_predictions(spark, sf):
-    df = mixed_model(spark, sf).predict(classed(spark, sf, "o_orderkey"), "predicted")
+    """Learner and predictor read one stored table: the joins run once."""
+    table = written(classed(spark, sf, "o_orderkey"), "orders")
+    df = mixed_model(table).predict(table, "predicted")
     return df.select("o_orderkey", F.col(TARGET).alias("label"), "predicted")
 
 
@@ -240,7 +242,7 @@ UNION ALL SELECT name, value, class, n, NULL, NULL FROM grid
 UNION ALL SELECT '{TARGET}', NULL, class, docs, NULL, NULL FROM num""",
 )
 def nb_statistics(spark, sf):
-    found = mixed_model(spark, sf).statistics(spark)
+    found = mixed_model(classed(spark, sf)).statistics(spark)
     return found.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
 
 
@@ -251,7 +253,7 @@ UNION ALL SELECT '{TARGET}', NULL, class, docs, round(prior, 9) FROM num""",
 )
 def nb_mixed_fit(spark, sf):
     root = fresh_path(spark, "models")
-    models.write_model(mixed_model(spark, sf), root, "orders")
+    models.write_model(mixed_model(classed(spark, sf)), root, "orders")
     stored = models.load_parameters(spark, root, "table_bayes", "orders")
     # One row by value and class: a small table.
     share = F.sum("count").over(mixed_bayes.share_of(TARGET))
@@ -282,8 +284,9 @@ SELECT class AS actual,
 FROM k LEFT JOIN c ON label = class GROUP BY class""",
 )
 def confusion_matrix(spark, sf):
-    model = mixed_model(spark, sf)
-    predicted = model.predict(classed(spark, sf), "predicted")
+    table = written(classed(spark, sf), "orders")
+    model = mixed_model(table)
+    predicted = model.predict(table, "predicted")
     return score.confusion_matrix(predicted, TARGET, "predicted", list(model.classes))
 
 

@@ -15,6 +15,16 @@ def read_documents(
     return df.select(*fields) if fields else df
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out to all cores, where the work on a row is heavy.
+
+    A file split has at least 4 MB by default, so a scan with fewer splits than half the cores is
+    only a few MB by core, and moving its rows is cheap. Any larger table is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def write_documents(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Create or replace a table (``overwrite``), or add to it (``append``)."""
     df.write.mode(mode).parquet(path)
