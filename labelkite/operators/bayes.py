@@ -14,12 +14,13 @@ from labelkite.operators.vocab import class_sizes
 from labelkite.shared import written
 
 
-def best_class(classes: list[str], scores: list[Column]) -> Column:
-    """Class with the largest score; ties go to the smaller class."""
-    ranked = F.array_max(
-        F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("place")) for i, s in enumerate(scores)])
-    )
-    return F.element_at(F.array(*[F.lit(c) for c in classes]), 1 - ranked["place"])
+def best_class(classes: list[str], scores: list[str]) -> Column:
+    """Class whose score column is the largest; ties go to the smaller class."""
+    top = F.greatest(*scores) if len(scores) > 1 else F.col(scores[0])
+    found = F.lit(classes[-1])
+    for c, s in zip(classes[-2::-1], scores[-2::-1]):
+        found = F.when(F.col(s) == top, F.lit(c)).otherwise(found)
+    return found
 
 
 @dataclass
@@ -116,14 +117,16 @@ def multinomial_predict(
         ],
     )
     priors, bases = model.priors(), model.bases()
-    scores = [
-        F.round(F.lit(priors[i]) + F.col(f"_s{i}") - F.col("_n") * F.lit(bases[i]), 9) for i in k
-    ]
-    return sums.select(
-        id,
-        *keep,
-        best_class(model.classes, scores).alias("predicted"),
-        F.array_max(F.array(*scores)).alias("score"),
+    names = [f"_score{i}" for i in k]
+    scored = sums.withColumns(
+        {
+            names[i]: F.round(F.lit(priors[i]) + F.col(f"_s{i}") - F.col("_n") * F.lit(bases[i]), 9)
+            for i in k
+        }
+    )
+    top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+    return scored.select(
+        id, *keep, best_class(model.classes, names).alias("predicted"), top.alias("score")
     )
 
 

@@ -158,16 +158,18 @@ class MixedBayes:
                 part = F.greatest(part, F.lit(math.log(self.threshold)))
         return F.when(x.isNull(), 0.0).otherwise(part)
 
-    def _count_log(self, name: str, label: str) -> Column:
-        by_value = self.counts[name]
-        total = sum(by_class.get(label, 0) for by_class in by_value.values())
-        logs = {
-            v: self._floor(by_class.get(label, 0) / total if total else 0.0)
-            for v, by_class in by_value.items()
-        }
-        table = F.create_map(*[F.lit(x) for pair in logs.items() for x in pair])
-        found = F.coalesce(F.try_element_at(table, F.col(name)), F.lit(self._floor(0.0)))
-        return F.when(F.col(name).isNull(), 0.0).otherwise(found)
+    def _count_logs(self, name: str) -> Column:
+        """Log probability of the cell's value in each class, by one lookup."""
+        by_value, classes = self.counts[name], list(self.classes)
+        totals = [sum(by_class.get(c, 0) for by_class in by_value.values()) for c in classes]
+
+        def logs(by_class):
+            shares = [by_class.get(c, 0) / t if t else 0.0 for c, t in zip(classes, totals)]
+            return F.array(*[F.lit(self._floor(p)) for p in shares])
+
+        table = F.create_map(*[x for v, by_class in by_value.items() for x in (F.lit(v), logs(by_class))])
+        found = F.coalesce(F.try_element_at(table, F.col(name)), logs({}))
+        return F.when(F.col(name).isNull(), F.array(*[F.lit(0.0)] * len(classes))).otherwise(found)
 
     def predict(self, df: DataFrame, name: str) -> DataFrame:
         """One more column with the class; where all classes score zero, the most frequent one.
@@ -175,19 +177,22 @@ class MixedBayes:
         A missing cell is skipped. An unseen value has probability 0 (or the threshold).
         """
         total = sum(self.classes.values())
-        scores = []
-        for label, n in self.classes.items():
+        looked_up = df.withColumns({f"_log{j}": self._count_logs(c) for j, c in enumerate(self.counts)})
+        scores = {}
+        for i, (label, n) in enumerate(self.classes.items()):
             score = F.lit(math.log(n / total))
             for c in self.gauss:
                 score = score + self._gauss_log(c, label)
-            for c in self.counts:
-                score = score + self._count_log(c, label)
-            scores.append(F.round(score, 9))
+            for j in range(len(self.counts)):
+                score = score + F.get(F.col(f"_log{j}"), F.lit(i))
+            scores[f"_score{i}"] = F.round(score, 9)
+        names = list(scores)
         prior = min(self.classes, key=lambda c: (-self.classes[c], c))
-        dead = F.array_max(F.array(*scores)) == F.lit(-math.inf)
-        return df.withColumn(
-            name, F.when(dead, F.lit(prior)).otherwise(best_class(list(self.classes), scores))
+        top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+        best = F.when(top == F.lit(-math.inf), F.lit(prior)).otherwise(
+            best_class(list(self.classes), names)
         )
+        return looked_up.withColumns(scores).select(*df.columns, best.alias(name))
 
 
 def mixed_fit(

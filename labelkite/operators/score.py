@@ -19,8 +19,11 @@ def top_terms(df: DataFrame, field: str, size: int = 10) -> DataFrame:
 
 
 def nested_terms(df: DataFrame, outer: str, inner: str, size: int = 10) -> DataFrame:
-    """The ``size`` most frequent ``outer`` values, and inside each the ``size`` inner ones."""
-    counts = df.groupBy(outer, inner).agg(F.count("*").alias("n"))
+    """The ``size`` most frequent ``outer`` values, and inside each the ``size`` inner ones.
+
+    The pair counts are stored, as both rounds read them.
+    """
+    counts = written(df.groupBy(outer, inner).agg(F.count("*").alias("n")), "pair-counts")
     buckets = (
         counts.groupBy(outer)
         .agg(F.sum("n").alias("bucket"))

@@ -51,10 +51,8 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_table(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customer and nation: the table with a class (``o_orderstatus``)."""
-    orders = table(
-        spark, sf, "orders",
-        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-    )
+    fields = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    orders = spread_small(table(spark, sf, "orders", fields))
     customer = table(spark, sf, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     nation = table(spark, sf, "nation", ["n_nationkey", "n_name"])
     return orders.join(customer, orders.o_custkey == customer.c_custkey).join(
