@@ -47,6 +47,8 @@ def tree_fit(
             minInstancesPerNode=min_records,
             maxDepth=max_depth,
             maxBins=max_bins,
+            # More nodes by pass over the data: each pass serves a group of nodes of this size.
+            maxMemoryInMB=1024,
         ),
     ]
     model = Pipeline(stages=stages).fit(df)

@@ -10,6 +10,7 @@ from labelkite.plans import inputs as i
 from labelkite.plans.registry import Registry
 from labelkite.shared import fresh_path, written
 from labelkite.sources import models
+from labelkite.sources.tables import spread_small
 
 registry = Registry()
 query = registry.query
@@ -339,10 +340,9 @@ RETURNED, KEPT = "R", "N"
 
 def lines(spark, sf):
     returned = F.when(F.col("l_returnflag") == "R", RETURNED).otherwise(KEPT)
-    return i.table(
-        spark, sf, "lineitem",
-        ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_returnflag"],
-    ).withColumn("l_returnflag", returned)
+    fields = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_returnflag"]
+    scan = spread_small(i.table(spark, sf, "lineitem", fields))
+    return scan.withColumn("l_returnflag", returned)
 
 
 @query("logit_table")

@@ -240,19 +240,28 @@ def logistic_predictions(model, spec, length, test):
     return out.select("doc_id", "label", named.alias("predicted"))
 
 
-def descent_sql(iterations: int = 10, step: float = 0.1, reg: float = 0.01) -> str:
-    """Ten steps of full-batch descent on hinge loss, each step two common table expressions."""
-    parts = ["w0 AS (SELECT term, 0e0 AS w FROM vocab)"]
+def descent_sql(iterations: int = 10, step: float = 0.1, reg: float = 0.01, tol: float = 0.001) -> str:
+    """Full-batch descent on hinge loss, a few common table expressions by step.
+
+    As the learner does, it stops after the step (the second at the earliest) that moves the weights
+    by less than ``tol`` of their length, or of 1: later steps then copy the weights. Margins are
+    compared to 12 digits, so that one of exactly 1 does not depend on the order of the addition.
+    """
+    parts = ["w0 AS (SELECT term, 0e0 AS w FROM vocab), c0 AS (SELECT false AS stop)"]
     for t in range(1, iterations + 1):
         rate = f"({step!r}e0 / sqrt({t}e0))"
+        still = f"sqrt(sum(pow(a.w - b.w, 2))) < {tol!r}e0 * greatest(sqrt(sum(a.w * a.w)), 1)"
         parts.append(
             f"""m{t} AS MATERIALIZED (
   SELECT p.doc_id, p.y FROM tr p LEFT JOIN x ON x.doc_id = p.doc_id LEFT JOIN w{t - 1} USING (term)
-  GROUP BY p.doc_id, p.y HAVING p.y * coalesce(sum(w), 0) < 1),
+  GROUP BY p.doc_id, p.y HAVING round(p.y * coalesce(sum(w), 0), 12) < 1),
 g{t} AS MATERIALIZED (SELECT term, sum(-y) AS g FROM x JOIN m{t} USING (doc_id) GROUP BY term),
 w{t} AS MATERIALIZED (
-  SELECT term, w * (1 - {rate} * {reg!r}e0) - {rate} * coalesce(g, 0) / (SELECT count(*) FROM tr) AS w
-  FROM w{t - 1} LEFT JOIN g{t} USING (term))"""
+  SELECT term, CASE WHEN (SELECT stop FROM c{t - 1}) THEN w ELSE
+    w * (1 - {rate} * {reg!r}e0) - {rate} * coalesce(g, 0) / (SELECT count(*) FROM tr) END AS w
+  FROM w{t - 1} LEFT JOIN g{t} USING (term)),
+c{t} AS MATERIALIZED (
+  SELECT {still if t > 1 else "bool_and(false)"} AS stop FROM w{t} a JOIN w{t - 1} b USING (term))"""
         )
     return ",\n".join(parts)
 
