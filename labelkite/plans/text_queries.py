@@ -271,7 +271,7 @@ c{t} AS MATERIALIZED (
 tr AS (SELECT doc_id, CASE label WHEN 'positive' THEN 1e0 ELSE -1e0 END AS y FROM part WHERE train),
 x AS MATERIALIZED (SELECT doc_id, term FROM tok JOIN vocab USING (term) JOIN part USING (doc_id)),
 {descent_sql()}
-SELECT p.doc_id, p.label, round(coalesce(sum(w), 0), 6) AS margin,
+SELECT p.doc_id, p.label, round(round(coalesce(sum(w), 0), 9), 6) AS margin,
   CASE WHEN coalesce(sum(w), 0) > 0 THEN 'positive' ELSE 'negative' END AS predicted
 FROM part p LEFT JOIN x ON x.doc_id = p.doc_id LEFT JOIN w10 USING (term)
 WHERE NOT p.train GROUP BY p.doc_id, p.label"""
