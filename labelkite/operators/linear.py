@@ -75,19 +75,19 @@ def logistic_l2_fit(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> Lo
 
 
 def term_weights(spec: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Stored ``(term, doc_freq, weight)`` table of a fitted linear model."""
+    """``(term, doc_freq, weight)`` of a fitted linear model, to be stored with ``write_parameters``."""
     spark = spec.sparkSession
     rows = pd.DataFrame({"idx": np.arange(len(weights), dtype="int64"), "weight": weights})
-    return written(
-        spec.join(spark.createDataFrame(rows), "idx").select("term", "doc_freq", "weight"),
-        "term-weights",
-    )
+    return spec.join(spark.createDataFrame(rows), "idx").select("term", "doc_freq", "weight")
 
 
 def score_by_model(
     docs: DataFrame, weights: DataFrame, id: str, keep: list[str], tokens: str = "tokens"
 ) -> DataFrame:
-    """``(id, keep..., margin)``: stored term weights applied to every document."""
+    """``(id, keep..., margin)``: stored term weights applied to every document.
+
+    A document without a known term has margin 0.
+    """
     terms = occurrences(docs, [id, *keep], tokens)
     found = lookup_join(terms, weights, "term", "doc_freq", [id], how="left")
     total = F.coalesce(F.sum("weight"), F.lit(0.0))

@@ -36,10 +36,12 @@ def inherit_from_root(
     Where that has none either, the cell stays empty. All other columns are untouched.
     """
     roots = thread_roots(messages, thread, position, columns, root).select(
-        thread, "messages", *[F.col("opening")[c].alias(f"_root_{c}") for c in columns]
+        thread,
+        F.col("messages").alias("_size"),
+        *[F.col("opening")[c].alias(f"_root_{c}") for c in columns],
     )
     joined = lookup_join(
-        messages, written(roots, "roots"), thread, "messages", [thread, position], how="left"
+        messages, written(roots, "roots"), thread, "_size", [thread, position], how="left"
     )
     return joined.withColumns({c: F.coalesce(c, f"_root_{c}") for c in columns}).select(
         *messages.columns

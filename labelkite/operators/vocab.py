@@ -81,6 +81,6 @@ def assign_index(terms: DataFrame, term: str = "term") -> DataFrame:
 
 
 def vocabulary_spec(terms: DataFrame, spec_id: str) -> tuple[DataFrame, int]:
-    """Feature spec ``(spec_id, idx, term, ...)`` and its length (the number of features)."""
+    """Feature spec ``(term, ..., idx, spec_id)`` and its length (the number of features)."""
     spec = assign_index(terms).withColumn("spec_id", F.lit(spec_id))
     return spec, spec.count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from labelkite.functions import clean_text, encode_label, join_tokens
@@ -228,14 +229,23 @@ def training_vectors(spark, sf):
 
 
 def linear_predictions(spec, weights, test):
-    scored = linear.score_by_model(test, linear.term_weights(spec, weights), "doc_id", ["label"])
+    """The weights are stored under a model id, and the stored model is applied."""
+    spark = test.sparkSession
+    root = fresh_path(spark, "models")
+    table = linear.term_weights(spec, weights)
+    models.write_parameters(table, root, "term_weights", "svm", "all_terms")
+    stored = models.load_parameters(spark, root, "term_weights", "svm", "all_terms")
+    scored = linear.score_by_model(test, stored, "doc_id", ["label"])
     return scored.withColumn("predicted", linear.margin_class(F.col("margin")))
 
 
 def logistic_predictions(model, spec, length, test):
-    """Predictions of a fitted logistic model for the test documents."""
+    """The fitted model is stored under a model id, loaded, and applied to the test documents."""
+    root = fresh_path(test.sparkSession, "models")
+    models.write_model(model, root, "logistic", "all_terms")
+    stored = models.load_ml_model(LogisticRegressionModel, root, "logistic", "all_terms")
     coded = vectors.doc_vectors(test, spec, "doc_id", ["label"])
-    out = model.transform(vectors.ml_vectors(coded, length))
+    out = stored.transform(vectors.ml_vectors(coded, length))
     named = F.when(F.col("prediction") == 1.0, "positive").otherwise("negative")
     return out.select("doc_id", "label", named.alias("predicted"))
 

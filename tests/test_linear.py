@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import functions as F
 
 from labelkite.operators import linear, tree
+from labelkite.shared import fresh_path
+from labelkite.sources import models
 
 
 def separable(spark, n=200):
@@ -115,6 +117,20 @@ def test_tree(spark):
     assert tree.tree_predict(model, new).count() == 1
 
 
+def test_stored_table_models(spark):
+    """A tree and a logistic model, read back, give the same classes."""
+    df, _ = mixed(spark, 200)
+    root = fresh_path(spark, "models")
+    for name, model in (("tree", tree.tree_fit(df, "class", max_depth=4)), ("logit", linear.logit_fit(df, "class", "high"))):
+        models.write_model(model, root, name)
+        loaded = models.load_ml_model(PipelineModel, root, name)
+        if name == "tree":
+            a, b = tree.tree_predict(model, df), tree.tree_predict(loaded, df)
+        else:
+            a, b = (linear.logit_predict(m, df, "high", "low", "predicted") for m in (model, loaded))
+        assert a.collect() == b.collect()
+
+
 def test_kernel_features_tell_what_a_line_cannot(spark):
     rng = np.random.default_rng(4)
     rows = [(float(a), float(b), float(a * b > 0)) for a, b in rng.uniform(-1, 1, size=(400, 2))]
