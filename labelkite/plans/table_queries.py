@@ -31,15 +31,17 @@ def classed(spark, sf, *more):
 n AS (
   {' UNION ALL '.join(
       f"SELECT '{c}' AS name, 'double' AS type, min({c}) AS lower, max({c}) AS upper, "
-      f"NULL::BIGINT AS n_values, count(*) - count({c}) AS missing FROM t" for c in NUMERIC)}),
+      f"NULL::BIGINT AS n_values, NULL AS values, count(*) - count({c}) AS missing FROM t" for c in NUMERIC)}),
 s AS (
   {' UNION ALL '.join(
       f"SELECT '{c}' AS name, 'string' AS type, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, "
-      f"count(DISTINCT {c}) AS n_values, count(*) - count({c}) AS missing FROM t" for c in [*NOMINAL, TARGET])})
+      f"count(DISTINCT {c}) AS n_values, string_agg(DISTINCT {c}, '|' ORDER BY {c}) AS values, count(*) - count({c}) AS missing FROM t" for c in [*NOMINAL, TARGET])})
 SELECT * FROM n UNION ALL SELECT * FROM s""",
 )
 def column_profile(spark, sf):
-    return rows.profile(classed(spark, sf), NUMERIC, [*NOMINAL, TARGET])
+    found = rows.profile(classed(spark, sf), NUMERIC, [*NOMINAL, TARGET])
+    joined = F.when(F.col("values").isNotNull(), F.concat_ws("|", "values"))
+    return found.withColumn("values", joined)
 
 
 @query(
