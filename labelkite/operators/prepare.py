@@ -64,7 +64,7 @@ class ImputeModel:
 def impute_fit(df: DataFrame, rules: dict[str, tuple]) -> ImputeModel:
     """Fit the filling values: all means in one aggregate, all most frequent values in another.
 
-    Most frequent: the largest count, ties to the smaller value. Values are counted before the
+    Most frequent: the largest count, ties to the smaller value (numbers by size). Values are counted before the
     shuffle, so one that fills its column is cheap.
     """
     fills: dict[str, object] = {c: r[1] for c, r in rules.items() if r[0] == "fixed"}
@@ -74,12 +74,16 @@ def impute_fit(df: DataFrame, rules: dict[str, tuple]) -> ImputeModel:
         fills.update({c: row[c] for c in means if row[c] is not None})
     modes = [c for c, r in rules.items() if r[0] == "most_frequent"]
     if modes:
-        counts = value_counts(df, modes).where(F.col("value").isNotNull())
-        best = counts.groupBy("name").agg(F.min(F.struct(-F.col("n"), "value")).alias("b"))
         types = dict(df.dtypes)
-        for r in best.select("name", "b.value").collect():
-            number = types[r["name"]] in NUMERIC
-            fills[r["name"]] = float(r["value"]) if number else r["value"]
+        numbers = [c for c in modes if types[c] in NUMERIC]
+        counts = value_counts(df, modes).where(F.col("value").isNotNull())
+        size = F.when(F.col("name").isin(numbers), F.col("value").try_cast("double"))
+        best = counts.groupBy("name").agg(
+            F.min(F.struct(-F.col("n"), size.alias("size"), F.col("value"))).alias("b")
+        )
+        for r in best.select("name", "b.size", "b.value").collect():
+            whole = types[r["name"]] in NUMERIC[:4]
+            fills[r["name"]] = r["value"] if r["size"] is None else int(r["value"]) if whole else r["size"]
     return ImputeModel({c: fills[c] for c in df.columns if c in fills})
 
 

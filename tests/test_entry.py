@@ -23,3 +23,25 @@ def test_entry(spark):
 def test_query_equals_sql(spark, con, name):
     result = compare(spark, con, SMALL, name)
     assert result.startswith("equal"), result
+
+
+def test_compared_models_have_their_own_accuracy(spark):
+    """Two of the three figures follow from queries that SQL confirms."""
+    q = entry.queries()
+    got = {r["model"]: (r["accuracy"], r["n"]) for r in q["compare_models"](spark, SMALL).collect()}
+    naive = q["accuracy"](spark, SMALL).first()
+    svm = q["svm_predict"](spark, SMALL).selectExpr(
+        "avg(cast(label = predicted as double)) a", "count(*) n"
+    ).first()
+    assert got["naive_bayes"] == (pytest.approx(naive["accuracy"], abs=1e-9), naive["n"])
+    assert got["svm"] == (pytest.approx(svm["a"]), svm["n"])
+    assert got["logistic"][1] == naive["n"]
+
+
+@pytest.mark.parametrize("name", ["lr_predict", "lr_l2_predict", "logit_predict", "tree_predict"])
+def test_learners_return_one_class_by_row(spark, name):
+    df = entry.queries()[name](spark, SMALL)
+    assert df.where("predicted is null").count() == 0
+    table = "lineitem" if name in ("logit_predict", "tree_predict") else None
+    if table:
+        assert df.count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()

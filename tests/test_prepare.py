@@ -28,6 +28,15 @@ def test_impute_rules(spark):
     assert prepare.ImputeModel.from_table(model.table(spark)).fills == model.fills
 
 
+def test_most_frequent_number(spark):
+    df = spark.createDataFrame([(10, 2.5), (9, 10.0), (10, 2.5), (9, 10.0), (None, 1.0)], "i int, d double")
+    model = prepare.impute_fit(df, {"i": ("most_frequent",), "d": ("most_frequent",)})
+    assert model.fills == {"i": 9, "d": 2.5}
+    assert model.apply(df).dtypes == df.dtypes
+    empty = df.where("i > 100")
+    assert prepare.impute(empty, {"i": ("mean",), "d": ("most_frequent",)}).count() == 0
+
+
 def test_one_hot(spark):
     df = table(spark)
     got = prepare.one_hot(df, ["s", "u"])
