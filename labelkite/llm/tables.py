@@ -13,6 +13,13 @@ def shards(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of ``rows`` to the stored table ``groups``, unique on ``key``.
 
@@ -30,11 +37,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
 
 def only(docs: DataFrame, ids: DataFrame, id: str) -> DataFrame:
     """The documents whose id is in the one column of ``ids``; a null id matches a null."""
-    wanted = ids.toDF("_wanted")
-    return docs.join(wanted, docs[id].eqNullSafe(wanted["_wanted"]), "left_semi")
+    name = free_name(docs, "wanted")
+    return docs.join(ids.toDF(name), F.col(id).eqNullSafe(F.col(name)), "left_semi")
 
 
 def without(docs: DataFrame, ids: DataFrame, id: str) -> DataFrame:
     """The documents whose id is not in the one column of ``ids``; a null id matches a null."""
-    unwanted = ids.toDF("_unwanted")
-    return docs.join(unwanted, docs[id].eqNullSafe(unwanted["_unwanted"]), "left_anti")
+    name = free_name(docs, "unwanted")
+    return docs.join(ids.toDF(name), F.col(id).eqNullSafe(F.col(name)), "left_anti")
