@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.tables import join_groups, only, shards
+from labelkite.llm.tables import free_name, join_groups, only, shards
 from labelkite.shared import written
 
 SLOTS = 4
@@ -39,6 +39,10 @@ def normal_text(text: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def digest_of(text: str) -> Column:
+    return F.unhex(F.sha2(normal_text(text), 256))
+
+
 class CuckooFilter:
     """16-bit fingerprints of digests, four to a bucket, each in one of two buckets."""
 
@@ -201,8 +205,7 @@ def _adds(keyed: DataFrame, n_shards: int) -> DataFrame:
 
 def digests(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored ``(doc_id, digest)``: SHA-256 of the normalised text."""
-    digest = F.unhex(F.sha2(normal_text(text), 256))
-    return written(docs.select(F.col(id).cast("long").alias("doc_id"), digest.alias("digest")), "digests")
+    return written(docs.select(F.col(id).cast("long").alias("doc_id"), digest_of(text).alias("digest")), "digests")
 
 
 def _in_shards(changes: DataFrame, n: int) -> DataFrame:
@@ -268,5 +271,7 @@ def groups_of(keyed: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: of equal texts the smallest id."""
     groups = groups_of(digests(docs, id, text))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id")
-    return only(docs, kept, id)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    name, own = free_name(docs, "kept_id"), free_name(docs, "kept_digest")
+    kept = kept.select(F.col("doc_id").alias(name), F.col("digest").alias(own))
+    return docs.join(kept, F.col(id).eqNullSafe(F.col(name)) & (digest_of(text) == F.col(own)), "left_semi")

@@ -59,8 +59,9 @@ def kinds_of(raw: np.ndarray) -> np.ndarray:
     lead = _LETTER_LEADS[raw]
     if lead.any():
         at = np.flatnonzero(lead)
-        signs = (raw[at] == 0xC3) & np.isin(raw[at + 1], [0x97, 0xB7])  # multiplication, division
-        at = at[~signs]
+        # Not the signs of multiplication and division, nor U+0130, whose lower case is two characters.
+        odd = (raw[at] == 0xC3) & np.isin(raw[at + 1], [0x97, 0xB7]) | (raw[at] == 0xC4) & (raw[at + 1] == 0xB0)
+        at = at[~odd]
         kinds[at] = LETTER
         kinds[at + 1] = LETTER
     return kinds

@@ -2,11 +2,10 @@
 
 Voters are lexicons and patterns. Lexicon entries are words and beginnings of words that the learning
 rows' toxic documents have far more often than the others; they are cut into lexicons by
-significance, each of which votes on whether a document has one of its entries. Patterns vote on signs such as shouting or a high
-share of lexicon words. The label model is fitted by expectation-maximisation: each voter has its chance
-to vote in toxic and in other documents, and the correlation of voters given the label lowers the weight
-of those that say the same thing. Its posterior labels, not the given ones, train the logistic
-classifier that scores all texts.
+significance, each of which votes on whether a document has one of its entries. Patterns vote on signs
+such as shouting or a high share of lexicon words. The label model estimates each voter's accuracy, and
+the correlation of voters given the label by latent kinds of documents. Its posterior labels, not the
+given ones, train the logistic classifier that scores all texts.
 
 Everything is learned from at most ``per_class`` learning rows of each label; statistics of their words
 are summed by Spark, and at most ``ENTRIES`` entries reach the driver. Scoring is one pass without a
@@ -37,8 +36,10 @@ LEXICONS = 16
 BEGINNINGS = range(4, 10)  # bytes
 LEAST_DOCS = 4
 LEAST_Z = 4.0
-LEAST_RATIO = 4.0  # share of toxic documents with an entry by that of the others
+LEAST_RATIO = 5.0  # share of toxic documents with an entry by that of the others
 ROUNDS = 30
+KINDS = 8, 8  # latent kinds of toxic and of other documents
+GIVEN = 0.9  # accuracy of the given labels
 
 
 def entries_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -115,28 +116,33 @@ def votes(x: np.ndarray, entries: int) -> np.ndarray:
     return np.stack([*lexicons, *patterns], 1).astype(float)
 
 
-def posterior_labels(v: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Chance of a toxic label for each row of votes, by a label model with correlated voters.
+def posterior_labels(v: np.ndarray, given: np.ndarray, kinds: tuple[int, int] = KINDS, rounds: int = ROUNDS) -> np.ndarray:
+    """Chance of a toxic label for each row of votes, by a generative model with correlated voters.
 
-    ``start`` is a first guess. Each round estimates the voters' chances given the label and their
-    correlation given the label, which divides their weights, and then the labels.
+    Documents of a label come in several latent kinds. Within a kind each voter has its own chance to
+    vote and votes alone; the kinds make the voters of a label correlated, as lexicons of one language
+    are. They start as the documents whose first voter is the same. Chances and kinds are estimated by expectation-maximisation. The given label is one voter more,
+    of a fixed accuracy, which ties the kinds to the labels.
     """
-    q = start.astype(float)
-    prior = np.log(q.mean() / (1 - q.mean()))  # of the sample; it is not estimated
+    toxic, other = kinds
+    first = np.where(v.any(1), v.argmax(1), v.shape[1])
+    r = np.zeros((len(v), toxic + other))
+    for label, n, start in ((1, toxic, 0), (0, other, toxic)):
+        rows = np.flatnonzero(given == label)
+        which, place, count = np.unique(first[rows], return_inverse=True, return_counts=True)
+        rank = np.empty(len(which), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(which))
+        r[rows, start + np.minimum(rank[place], n - 1)] = 1
+    is_toxic = np.arange(toxic + other) < toxic
+    agrees = is_toxic[None, :] == (given == 1)[:, None]
+    says = np.where(agrees, np.log(GIVEN), np.log(1 - GIVEN))
     for _ in range(rounds):
-        n1, n0 = q.sum() + 1, (1 - q).sum() + 1
-        p1 = (q @ v + 0.5) / n1
-        p0 = ((1 - q) @ v + 0.5) / n0
-        p1, p0 = p1.clip(1e-3, 1 - 1e-3), p0.clip(1e-3, 1 - 1e-3)
-        e1 = (v - p1) * np.sqrt(q)[:, None] / np.sqrt(p1 * (1 - p1))
-        e0 = (v - p0) * np.sqrt(1 - q)[:, None] / np.sqrt(p0 * (1 - p0))
-        related = np.maximum((e1.T @ e1 + e0.T @ e0) / len(v), 0)
-        np.fill_diagonal(related, 0)
-        weight = 1 / (1 + related.sum(1))
-        says = v * np.log(p1 / p0) + (1 - v) * np.log((1 - p1) / (1 - p0))
-        z = prior + says @ weight
-        q = 1 / (1 + np.exp(-z.clip(-30, 30)))
-    return q
+        size = r.sum(0) + 1
+        p = ((r.T @ v + 0.1) / (size + 0.2)[:, None]).clip(1e-4, 1 - 1e-4)
+        z = v @ np.log(p).T + (1 - v) @ np.log(1 - p).T + np.log(size / size.sum()) + says
+        r = np.exp(z - z.max(1, keepdims=True))
+        r /= r.sum(1, keepdims=True)
+    return r[:, :toxic].sum(1)
 
 
 @dataclass
@@ -209,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     label = found["label"].to_numpy()
     x = found["x"].combine_chunks().flatten().to_numpy().reshape(len(label), -1)
     v = votes(x, len(lexicon.known))
-    target = posterior_labels(v, np.where(label == 1, 0.9, 0.1))
+    target = posterior_labels(v, label)
     weights, shift = fit_classifier(x, target)
     # The sample has another share of toxic rows than all learning rows.
     base = min(max(float(share), 1e-6), 1 - 1e-6)
