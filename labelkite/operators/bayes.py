@@ -107,7 +107,7 @@ def multinomial_predict(
     ``prior - n * base + sum(log(count + smoothing))``: absent terms need no rows.
     """
     terms = occurrences(docs, [id, *keep], tokens)
-    found = lookup_join(terms, model.counts, "term", "doc_freq", [id], how="left")
+    found = lookup_join(terms, model.counts, "term", how="left")
     k = range(len(model.classes))
     sums = found.groupBy(id, *keep).agg(
         F.count("doc_freq").alias("_n"),

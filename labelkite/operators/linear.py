@@ -11,9 +11,6 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticReg
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.mllib.classification import SVMWithSGD
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.regression import LabeledPoint
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +21,51 @@ from labelkite.operators.vectors import occurrences
 from labelkite.shared import written
 
 
-def svm_sgd_fit(
-    train: DataFrame,
+def hinge_descent(
+    points: DataFrame,
+    terms: DataFrame,
+    rows: int,
+    id: str,
     iterations: int = 10,
     step: float = 0.1,
     reg: float = 0.01,
-    batch: float = 1.0,
-) -> np.ndarray:
-    """Weights of a linear support vector machine, by gradient descent on hinge loss.
+    tol: float = 1e-3,
+) -> DataFrame:
+    """Stored ``(term, weight)`` of a linear support vector machine, by full-batch descent on hinge loss.
 
-    ``train`` has ``label`` (0.0 / 1.0) and sparse ``features``. This learner takes points, not a
-    DataFrame: the rows are handed over once, and it keeps them over its iterations.
+    ``points`` is a stored table ``(id, y, term, value)``, one row for each feature of a document,
+    ``y`` being 1 or -1; ``terms`` has the column ``term``, ``rows`` is the number of documents. A step
+    is a join of the points with the weights, a sum by document, and a sum by term over the documents
+    inside the margin; weights stay a table. It stops after the step, the second at the earliest, that
+    moves them by less than ``tol`` of their length, or of 1.
     """
-    points = train.select("label", "features").rdd.map(
-        lambda r: LabeledPoint(r["label"], OldVectors.fromML(r["features"]))
-    )
-    model = SVMWithSGD.train(
-        points, iterations=iterations, step=step, regParam=reg, miniBatchFraction=batch
-    )
-    return model.weights.toArray()
+    weights = terms.select("term", F.lit(0.0).alias("weight"))
+    for t in range(1, iterations + 1):
+        rate = step / math.sqrt(t)
+        margin = F.round(F.col("y") * F.sum(F.col("weight") * F.col("value")), 12)
+        inside = lookup_join(points, weights, "term").groupBy(id, "y").agg(margin.alias("m")).where("m < 1")
+        pull = points.join(inside.select(id), id, "left_semi").groupBy("term").agg(
+            F.sum(F.col("y") * F.col("value")).alias("pull")
+        )
+        moved = F.col("weight") * (1 - rate * reg) + rate * F.coalesce("pull", F.lit(0.0)) / rows
+        found = weights.join(pull, "term", "left").select("term", moved.alias("weight"), F.col("weight").alias("last"))
+        found = written(found, "weights")
+        weights = found.select("term", "weight")
+        change = F.sum((F.col("weight") - F.col("last")) ** 2)
+        moved, length = (math.sqrt(x or 0.0) for x in found.agg(change, F.sum(F.col("weight") ** 2)).first())
+        if t > 1 and moved < tol * max(length, 1.0):
+            break
+    return weights
+
+
+def svm_sgd_fit(docs: DataFrame, spec: DataFrame, id: str, label: str, positive: str, **options) -> DataFrame:
+    """``(term, doc_freq, weight)``: descent on the presence of the spec's terms in token lists."""
+    sign = F.when(F.col(label) == positive, 1.0).otherwise(-1.0).alias("y")
+    signed = docs.select(id, sign, "tokens")
+    there = occurrences(signed, [id, "y"]).where(F.col("term").isNotNull())
+    known = lookup_join(there, spec.select("term"), "term").withColumn("value", F.lit(1.0))
+    weights = hinge_descent(written(known, "points"), spec, docs.count(), id, **options)
+    return spec.join(weights, "term").select("term", "doc_freq", "weight")
 
 
 def svm_fit(train: DataFrame, iterations: int = 10, reg: float = 0.01) -> np.ndarray:
@@ -74,13 +97,6 @@ def logistic_l2_fit(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> Lo
     ).fit(train)
 
 
-def term_weights(spec: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``(term, doc_freq, weight)`` of a fitted linear model, to be stored with ``write_parameters``."""
-    spark = spec.sparkSession
-    rows = pd.DataFrame({"idx": np.arange(len(weights), dtype="int64"), "weight": weights})
-    return spec.join(spark.createDataFrame(rows), "idx").select("term", "doc_freq", "weight")
-
-
 def score_by_model(
     docs: DataFrame, weights: DataFrame, id: str, keep: list[str], tokens: str = "tokens"
 ) -> DataFrame:
@@ -89,7 +105,7 @@ def score_by_model(
     A document without a known term has margin 0.
     """
     terms = occurrences(docs, [id, *keep], tokens)
-    found = lookup_join(terms, weights, "term", "doc_freq", [id], how="left")
+    found = lookup_join(terms, weights, "term", how="left")
     total = F.coalesce(F.sum("weight"), F.lit(0.0))
     return found.groupBy(id, *keep).agg(F.round(total, 9).alias("margin"))
 

@@ -1,14 +1,14 @@
 """Naive Bayes on table columns: Gaussian for numbers, counts for strings.
 
 The learner's state is a mergeable aggregate, one pass for each kind of column. It is small by rule
-(columns with more than ``max_nominal`` values are left out), so predicting is a projection: no
+(columns with more than ``max_nominal`` values are left out and listed), so predicting is a projection: no
 join, no shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,24 +63,21 @@ def numeric_sums(df: DataFrame, target: str, numeric: list[str]) -> DataFrame:
     return sums.select("class", "rows", F.inline(cells)) if numeric else sums
 
 
-def nominal_counts(df: DataFrame, target: str, nominal: list[str], max_nominal: int) -> DataFrame:
-    """``(class, name, value, n)`` of the columns with at most ``max_nominal`` values.
+def nominal_counts(
+    df: DataFrame, target: str, nominal: list[str], max_nominal: int
+) -> tuple[DataFrame, list[str]]:
+    """``(class, name, value, n)`` of the columns with at most ``max_nominal`` values, and the others' names.
 
     The counts are stored: the check of the widths reads them again, not the table.
     """
     known = df.where(F.col(target).isNotNull()).withColumnRenamed(target, "class")
     counts = value_counts(known, nominal, ["class"]).where(F.col("value").isNotNull())
     counts = written(counts, "value-counts")
-    # At most one row for each column name, so this join is a broadcast by size.
-    narrow = (
-        counts.select("name", "value")
-        .distinct()
-        .groupBy("name")
-        .agg(F.count("*").alias("_values"))
-        .where(F.col("_values") <= max_nominal)
-        .select("name")
-    )
-    return counts.join(F.broadcast(narrow), "name").select("class", "name", "value", "n")
+    widths = counts.select("name", "value").distinct().groupBy("name").agg(F.count("*").alias("values"))
+    wide = small_rows(widths.where(F.col("values") > max_nominal), len(nominal), "columns")
+    skipped = sorted(r["name"] for r in wide)
+    kept = counts.where(~F.col("name").isin(skipped)) if skipped else counts
+    return kept.select("class", "name", "value", "n"), skipped
 
 
 def sufficient_stats(
@@ -90,7 +87,7 @@ def sufficient_stats(
     numbers = numeric_sums(df, target, numeric).select(
         "class", "name", F.lit(None).cast("string").alias("value"), "n", "sum", "square_sum"
     )
-    strings = nominal_counts(df, target, nominal, max_nominal).withColumns(
+    strings = nominal_counts(df, target, nominal, max_nominal)[0].withColumns(
         {"sum": F.lit(None).cast("double"), "square_sum": F.lit(None).cast("double")}
     )
     return numbers.unionByName(strings)
@@ -112,10 +109,14 @@ class MixedBayes:
     gauss: dict[str, dict[str, tuple[int, float, float]]]
     counts: dict[str, dict[str, dict[str, int]]]
     threshold: float = 0.0
+    skipped: list[str] = field(default_factory=list)
 
     def statistics(self, spark) -> DataFrame:
-        """``(attribute, value, class, count, mean, std)``, zero counts included."""
-        rows = []
+        """``(attribute, value, class, count, mean, std)``, zero counts included.
+
+        A column that was skipped for its many values has one row without a class.
+        """
+        rows = [(name, None, None, None, None, None) for name in self.skipped]
         for name, by_class in self.gauss.items():
             rows += [(name, None, c, *by_class.get(c, (0, None, None))) for c in self.classes]
         for name, by_value in self.counts.items():
@@ -129,16 +130,18 @@ class MixedBayes:
 
     @classmethod
     def from_statistics(cls, table: DataFrame, target: str, threshold: float = 0.0) -> "MixedBayes":
-        classes, gauss, counts = {}, {}, {}
+        classes, gauss, counts, skipped = {}, {}, {}, []
         for r in table.collect():
-            if r["attribute"] == target:
+            if r["class"] is None:
+                skipped.append(r["attribute"])
+            elif r["attribute"] == target:
                 classes[r["class"]] = r["count"]
             elif r["value"] is None:
                 gauss.setdefault(r["attribute"], {})[r["class"]] = (r["count"], r["mean"], r["std"])
             else:
                 by_value = counts.setdefault(r["attribute"], {})
                 by_value.setdefault(r["value"], {})[r["class"]] = r["count"]
-        return cls(target, dict(sorted(classes.items())), gauss, counts, threshold)
+        return cls(target, dict(sorted(classes.items())), gauss, counts, threshold, sorted(skipped))
 
     def _floor(self, p: float) -> float:
         p = max(p, self.threshold)
@@ -203,13 +206,17 @@ def mixed_fit(
     threshold: float = 0.0,
     max_nominal: int = MAX_NOMINAL,
 ) -> MixedBayes:
-    """Fit on all columns but the class, or on the given ones."""
+    """Fit on all columns but the class, or on the given ones.
+
+    String columns with more than ``max_nominal`` values are left out and listed in ``skipped``.
+    """
     kinds = split_kinds(df, target)
     numeric = kinds[0] if numeric is None else numeric
     nominal = kinds[1] if nominal is None else nominal
     classes: dict = {}
     gauss: dict = {c: {} for c in numeric}
     counts: dict = {}
+    skipped: list[str] = []
     limit = MAX_CLASSES * max(1, len(numeric))
     for r in small_rows(numeric_sums(df, target, numeric), limit, "class statistics"):
         classes[r["class"]] = r["rows"]
@@ -217,7 +224,8 @@ def mixed_fit(
             gauss[r["name"]][r["class"]] = (r["n"], r["mean"], r["std"])
     if nominal:
         limit = len(nominal) * max_nominal * len(classes)
-        rows = small_rows(nominal_counts(df, target, nominal, max_nominal), limit, "value counts")
+        kept, skipped = nominal_counts(df, target, nominal, max_nominal)
+        rows = small_rows(kept, limit, "value counts")
         for r in sorted(rows, key=lambda r: (r["name"], r["value"], r["class"])):
             counts.setdefault(r["name"], {}).setdefault(r["value"], {})[r["class"]] = r["n"]
-    return MixedBayes(target, dict(sorted(classes.items())), gauss, counts, threshold)
+    return MixedBayes(target, dict(sorted(classes.items())), gauss, counts, threshold, skipped)

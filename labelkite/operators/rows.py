@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelkite.functions.values import unit_hash
-from labelkite.shared import written
 
 
 def project_fields(df: DataFrame, names: list[str]) -> DataFrame:
@@ -73,15 +72,12 @@ def count_documents(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
 
-def profile(
-    df: DataFrame, numeric: list[str], nominal: list[str], max_values: int = 60
-) -> DataFrame:
-    """Domain of each column: ``(name, type, lower, upper, n_values, values, missing)``.
+def profile(df: DataFrame, numeric: list[str], nominal: list[str]) -> DataFrame:
+    """Domain of each column: ``(name, type, lower, upper, n_values, missing)``.
 
-    Numbers have bounds, strings the number of their values, and the sorted values themselves where
-    there are at most ``max_values``. One pass for the numbers (a one-row result) and one for the
-    strings. The latter counts each (column, value) before the shuffle, so a value that fills its
-    column costs one row by task; the counts are stored, as both parts of the answer read them.
+    Numbers have bounds, strings the number of their values; ``column_values`` has the values
+    themselves. One pass for the numbers (a one-row result) and one for the strings, which counts
+    each (column, value) before the shuffle, so a value that fills its column costs one row by task.
     """
     types = dict(df.dtypes)
     parts = []
@@ -97,43 +93,27 @@ def profile(
                 F.lit(types[c]).alias("type"),
                 F.col(f"lo_{c}").alias("lower"),
                 F.col(f"hi_{c}").alias("upper"),
+                F.lit(None).cast("long").alias("n_values"),
                 F.col(f"na_{c}").alias("missing"),
             )
             for c in numeric
         ]
         parts.append(low_high.select(F.inline(F.array(*cells))))
     if nominal:
-        counts = written(value_counts(df, nominal), "value-counts")
-        widths = counts.groupBy("name").agg(
+        widths = value_counts(df, nominal).groupBy("name").agg(
+            F.lit("string").alias("type"),
+            F.lit(None).cast("double").alias("lower"),
+            F.lit(None).cast("double").alias("upper"),
             F.count("value").alias("n_values"),
             F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
         )
-        # One row for each column; the lists hold ``max_values`` at most.
-        narrow = widths.where(F.col("n_values") <= max_values).select("name")
-        lists = (
-            counts.join(F.broadcast(narrow), "name")
-            .groupBy("name")
-            .agg(F.array_sort(F.collect_list("value")).alias("values"))
-        )
-        parts.append(
-            widths.join(F.broadcast(lists), "name", "left").withColumn("type", F.lit("string"))
-        )
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    columns = {
-        "name": "string",
-        "type": "string",
-        "lower": "double",
-        "upper": "double",
-        "n_values": "long",
-        "values": "array<string>",
-        "missing": "long",
-    }
-    return whole.select(
-        *[
-            (F.col(c) if c in whole.columns else F.lit(None)).cast(t).alias(c)
-            for c, t in columns.items()
-        ]
-    )
+        parts.append(widths)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def column_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(name, value, n)``: every value of each column and its rows, however many there are."""
+    return value_counts(df, columns).where(F.col("value").isNotNull())
 
 
 def value_counts(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

@@ -9,51 +9,61 @@ from pyspark.sql.window import Window
 from labelkite.shared import written
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-SPREAD = 512
+HOT_SHARE = 512
+
+
+def table_bytes(table: DataFrame, columns: list[str] | None = None) -> tuple[int, int]:
+    """Number of rows and bytes of a table's cells, as measured."""
+    cells = F.octet_length(F.to_json(F.struct(*(columns or table.columns))))
+    n, total = table.agg(F.count("*"), F.sum(cells.cast("long"))).first()
+    return n, total or 0
 
 
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
     key: str,
-    weight: str,
-    spread: list[str],
     how: str = "inner",
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``rows`` to ``table``, which is unique on ``key``, without a hot partition.
 
-    ``table`` should be a stored table, as its size is looked at first. One that fits in
-    ``max_bytes`` is broadcast. Of a larger one only its heaviest keys are (``weight``: about how
-    many rows have the key), as many as fit in ``max_bytes``. Rows with those keys are then done,
-    and rows without a key have no partner: both are spread over ``SPREAD`` salts in the shuffled
-    join that serves the rest. With H broadcast keys no other key has more than 1/H of the rows.
+    ``table`` should be a stored table, as its cells are measured first. One that fits in ``max_bytes``
+    is broadcast. With a larger one, the keys that have more than 1/512 of the rows are hot, whether
+    the table knows them or not; there are at most 512. Their rows never enter the shuffle by key: they
+    meet the hot keys' values by a broadcast, or, if those values are too wide for it, by a join on key
+    and salt, to which each hot key comes once for each salt. All other rows are joined by a shuffle in
+    which no key is hot. Rows without a key have no partner.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join {how!r}")
-    values = [c for c in table.columns if c != key]
-    length = F.octet_length(F.col(key).cast("string"))
-    n, total, longest = table.agg(F.count("*"), F.sum(length), F.max(length)).first()
-    width = 16 * (1 + len(values))
-    if n == 0 or total + n * width <= max_bytes:
+    if table_bytes(table)[1] <= max_bytes:
         return rows.join(F.broadcast(table), key, how)
 
-    hot_keys = max_bytes // (longest + width)
-    hot = table.orderBy(F.desc(weight), key).limit(hot_keys)
-    hot = hot.select(key, F.struct(*values).alias("_hot"))
-    settled = F.col("_hot").isNotNull() | F.col(key).isNull()
-    marked = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(settled, 1 + F.pmod(F.xxhash64(*spread), F.lit(SPREAD))).otherwise(F.lit(0)),
-    )
-    cold = table.select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_cold"))
-    found = marked.join(cold, [key, "_salt"], "left").withColumn(
-        "_found", F.coalesce("_hot", "_cold")
-    )
-    if how == "inner":
-        found = found.where(F.col("_found").isNotNull())
+    counts = written(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.where(F.col("_n") > total / HOT_SHARE).select(key)
+    values = [c for c in table.columns if c != key]
+    found = (F.struct(*values) if values else F.struct(F.lit(1).alias("_there"))).alias("_found")
+    hot = written(hot.join(table.select(key, found), key, "left"), "hot-keys")
     others = [c for c in rows.columns if c != key]
-    return found.select(key, *others, *[F.col("_found")[v].alias(v) for v in values])
+    out = [key, *others, *[F.col("_found")[v].alias(v) for v in values]]
+
+    if table_bytes(hot)[1] <= max_bytes:
+        settled = rows.join(F.broadcast(hot), key)
+    else:
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SHARE))
+        each = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOT_SHARE - 1).cast("long"))))
+        only_hot = rows.join(F.broadcast(hot.select(key)), key, "left_semi")
+        settled = only_hot.withColumn("_salt", salt).join(each, [key, "_salt"])
+    settled = settled.where(F.col("_found").isNotNull()) if how == "inner" else settled
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").where(F.col(key).isNotNull())
+    rest = cold.join(table, key, how)
+    parts = settled.select(*out).unionByName(rest.select(key, *others, *values))
+    if how == "left":
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in table.dtypes if c != key]
+        parts = parts.unionByName(rows.where(F.col(key).isNull()).select(key, *others, *nothing))
+    return parts
 
 
 def top_k_per_group(
@@ -63,13 +73,15 @@ def top_k_per_group(
     k: int,
     spread: list[str],
     rank: str = "rank",
-    salts: int = 64,
+    salts: int | None = None,
 ) -> DataFrame:
     """First ``k`` rows of each group by ``order``, numbered from 1.
 
     Two rounds: at most ``k`` rows of each (group, salt), then of each group. The last round gets
-    at most ``salts * k`` rows of a group, however large the group is.
+    at most ``salts * k`` rows of a group, however large the group is. By default there are as many
+    salts as shuffle partitions.
     """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     near = (
         salted.withColumn(

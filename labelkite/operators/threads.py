@@ -37,12 +37,9 @@ def inherit_from_root(
     """
     roots = thread_roots(messages, thread, position, columns, root).select(
         thread,
-        F.col("messages").alias("_size"),
         *[F.col("opening")[c].alias(f"_root_{c}") for c in columns],
     )
-    joined = lookup_join(
-        messages, written(roots, "roots"), thread, "_size", [thread, position], how="left"
-    )
+    joined = lookup_join(messages, written(roots, "roots"), thread, how="left")
     return joined.withColumns({c: F.coalesce(c, f"_root_{c}") for c in columns}).select(
         *messages.columns
     )
@@ -54,20 +51,35 @@ def collect_thread(
     position: str,
     columns: list[str],
     root: str = "first",
-    page_size: int = 10_000,
+    max_messages: int = 100_000,
 ) -> DataFrame:
-    """``(thread, page, messages, original_request, comments)``: a thread as nested rows.
+    """``(thread, messages, original_request, comments)``: one nested row by thread.
 
-    ``comments`` holds all messages, the opening one included, in order. A row has the messages at
-    positions ``page * page_size`` and on, so that no row grows with a hot thread; a thread shorter
-    than that is one row. Every page carries the opening message.
+    ``comments`` holds all messages, the opening one included, in order. A row must fit in a task's
+    memory, so a thread with more than ``max_messages`` stops the job; ``thread_rows`` has no such
+    bound. The opening is joined by a plain shuffle on the thread, as both sides are unique on it.
     """
     roots = thread_roots(messages, thread, position, columns, root)
-    page = F.floor(F.col(position) / F.lit(page_size)).cast("long")
-    pages = messages.groupBy(thread, page.alias("page")).agg(
+    size = F.when(F.col("messages") <= max_messages, F.col("messages")).otherwise(
+        F.raise_error(F.concat(F.lit("too many messages for one row: thread "), F.col(thread).cast("string")))
+    )
+    roots = written(roots.withColumn("messages", size), "roots")
+    nested = messages.groupBy(thread).agg(
         F.array_sort(F.collect_list(F.struct(position, *columns))).alias("comments")
     )
-    joined = lookup_join(pages, written(roots, "roots"), thread, "messages", [thread, "page"])
-    return joined.select(
-        thread, "page", "messages", F.col("opening").alias("original_request"), "comments"
+    return nested.hint("merge").join(roots.hint("merge"), thread).select(
+        thread, "messages", F.col("opening").alias("original_request"), "comments"
     )
+
+
+def thread_rows(
+    messages: DataFrame, thread: str, position: str, columns: list[str], root: str = "first"
+) -> DataFrame:
+    """``(thread, position, opens, <columns>)``: a thread in long form, however large it is.
+
+    ``opens`` marks the opening message. Only its position is looked up, so no text is copied.
+    """
+    pick = F.min if root == "first" else F.max
+    roots = messages.groupBy(thread).agg(pick(position).alias("_root"))
+    joined = lookup_join(messages, written(roots, "roots"), thread, how="left")
+    return joined.select(thread, position, (F.col(position) == F.col("_root")).alias("opens"), *columns)

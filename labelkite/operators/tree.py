@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from labelkite.operators.mixed_bayes import split_kinds
 
@@ -18,13 +19,24 @@ def tree_fit(
     max_depth: int = 30,
     max_bins: int = 256,
     prediction: str = "predicted",
+    keys: list[str] | None = None,
+    max_rows: int = 200_000,
 ) -> PipelineModel:
     """Gini tree. Splits are binary; unseen values get a place of their own.
 
+    The tree lives on the driver and grows with the rows it is fitted on, so it is fitted on about
+    ``max_rows`` rows at most: those with the smallest hash of all their cells. ``keys`` are columns
+    that tell rows apart and are no features.
+
     ``max_bins`` is the largest number of values of a string column, and the number of candidate
     split points of a numeric one with more values than that: what the learner collects for each
     node stays small.
     """
+    rows = df.count()
+    if rows > max_rows:
+        share = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)) < int((1 << 20) * max_rows / rows)
+        df = df.where(share)
+    df = df.drop(*(keys or []))
     numeric, nominal = split_kinds(df, target)
     if columns:
         numeric = [c for c in numeric if c in columns]

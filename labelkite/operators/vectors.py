@@ -50,7 +50,7 @@ def apply_spec(
     else:
         raise ValueError(f"unknown number rule {number!r}")
     table = spec.select("term", "idx", "doc_freq")
-    found = lookup_join(terms, table, "term", "doc_freq", [id], how="left")
+    found = lookup_join(terms, table, "term", how="left")
     return found.select(id, *keep, "idx", "value")
 
 

@@ -9,7 +9,7 @@ from labelkite.functions import tokenize
 from labelkite.operators.rows import hash_split
 from labelkite.operators.vocab import doc_freq
 from labelkite.shared import written
-from labelkite.sources.tables import read_documents, spread_small
+from labelkite.sources.tables import read_documents
 
 CLASSES = ["negative", "positive"]
 WEIGHTS = [6, 4]
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf: str, name: str, fields: list[str] | None = No
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_small(table(spark, sf, "documents", ["doc_id", "text"]))
+    return table(spark, sf, "documents", ["doc_id", "text"])
 
 
 def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,8 +52,8 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 def order_table(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customer and nation: the table with a class (``o_orderstatus``)."""
     fields = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
-    orders = spread_small(table(spark, sf, "orders", fields))
-    customer = table(spark, sf, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    orders = table(spark, sf, "orders", fields)
+    customer = table(spark, sf, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
     nation = table(spark, sf, "nation", ["n_nationkey", "n_name"])
     return orders.join(customer, orders.o_custkey == customer.c_custkey).join(
         nation, customer.c_nationkey == nation.n_nationkey

@@ -1,7 +1,7 @@
 """Readers, writers, row operators and threads.
 
-The file readers need files: each such query first writes the given tables as files of the kind,
-with Spark, to the shared folder.
+The readers of lines get files that Spark writes to the shared folder first. The readers of one file
+by document or thread are parsers over rows of path and content, which are made from the given tables.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelkite.functions import clean_text
+from labelkite.functions.text import keyword
 from labelkite.operators import rows, score, threads
 from labelkite.plans import inputs as i
 from labelkite.plans.registry import Registry
@@ -19,18 +20,6 @@ from labelkite.sources import census, labelled, messages, tables
 registry = Registry()
 query = registry.query
 
-PAGE = 1000
-
-
-def by_label(docs: DataFrame, root: str) -> dict[str, str]:
-    """One folder by label, one file by document (below a folder by id)."""
-    folders = {}
-    for label in i.CLASSES[::-1]:
-        folders[label] = f"{root}/{label}"
-        part = docs.where(F.col("label") == label).select("doc_id", "text")
-        part.write.partitionBy("doc_id").text(folders[label])
-    return folders
-
 
 # Readers
 
@@ -42,14 +31,8 @@ SELECT label, translate(text || chr(10), chr(10) || '"\\', '   ') AS text
 FROM documents JOIN lab USING (doc_id)""",
 )
 def read_labelled_dirs(spark, sf):
-    root = fresh_path(spark, "reviews")
-    docs = i.labelled(spark, sf)
-    folders = {}
-    for label in i.CLASSES:
-        folders[label] = f"{root}/{label}"
-        part = docs.where(F.col("label") == label).select("text")
-        part.write.option("maxRecordsPerFile", 1).text(folders[label])
-    return labelled.read_labelled_dirs(spark, folders)
+    value = F.concat("text", F.lit("\n")).alias("value")
+    return labelled.labelled_texts(i.labelled(spark, sf).select("label", value))
 
 
 @query(
@@ -61,15 +44,15 @@ SELECT row_number() OVER (ORDER BY label DESC, CAST(doc_id AS VARCHAR)) AS id, d
 FROM documents JOIN lab USING (doc_id)""",
 )
 def sequential_ids(spark, sf):
-    folders = by_label(i.labelled(spark, sf), fresh_path(spark, "reviews"))
-    found = labelled.read_sequential_docs(
-        spark, {"pos": folders["positive"], "neg": folders["negative"]}
-    )
+    """Documents as files of two folders, numbered, and appended class by class."""
+    name = F.when(F.col("label") == "positive", "pos").otherwise("neg").alias("class")
+    path = F.concat_ws("/", F.lit("reviews"), "label", F.concat("doc_id", F.lit(".txt"))).alias("path")
+    files = i.labelled(spark, sf).select(name, path, F.concat("text", F.lit("\n")).alias("value"))
+    found = labelled.number_files(files, ["pos", "neg"])
     path = fresh_path(spark, "reviews-indexed")
     tables.bulk_write([found.where(F.col("class") == c) for c in ("pos", "neg")], path)
-    doc_id = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long")
-    stored = tables.read_documents(spark, path)
-    return stored.select("id", doc_id.alias("doc_id"), "class", "text")
+    doc_id = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
+    return tables.read_documents(spark, path).select("id", doc_id.alias("doc_id"), "class", "text")
 
 
 POLARITY = f"""{i.LABELS}, line AS (
@@ -201,7 +184,7 @@ def census_reader(spark, sf):
     return census.read_census(spark, path, mode="reader")
 
 
-# Chat rooms and issue threads. Files hold a page of a conversation, so that no file grows with it.
+# Chat rooms and issue threads: a conversation is a file.
 
 
 def conversations(spark, sf) -> DataFrame:
@@ -210,52 +193,50 @@ def conversations(spark, sf) -> DataFrame:
 
 @query(
     "rooms_json",
-    """SELECT 'conv_id=' || conv_id AS room, replace(text, chr(10), ' ') AS text, role AS name
+    """SELECT 'room' || conv_id AS room, replace(text, chr(10), ' ') AS text, role AS name, turn
 FROM conversations WHERE role <> 'system'""",
 )
 def rooms_json(spark, sf):
+    """Messages with a field beyond the named ones, which the whole object keeps."""
     message = F.struct(
         "turn",
         F.when(F.col("role") != "system", F.col("text")).alias("message"),
         F.struct(F.col("role").alias("name")).alias("from"),
     )
-    pages = conversations(spark, sf).groupBy("conv_id", F.floor(F.col("turn") / PAGE)).agg(
+    files = conversations(spark, sf).groupBy("conv_id").agg(
         F.to_json(F.array_sort(F.collect_list(message))).alias("value")
     )
-    root = fresh_path(spark, "rooms")
-    pages.select("conv_id", "value").write.option("maxRecordsPerFile", 1).partitionBy(
-        "conv_id"
-    ).option("compression", "none").text(f"{root}/json")
-    found = messages.read_rooms(spark, root, suffix="*.txt")
+    path = F.concat(F.lit("/rooms/%23room%20"), "conv_id", F.lit("/day.json")).alias("path")
+    found = messages.parse_rooms(files.select(path, "value"))
+    turn = F.variant_get("object", "$.turn", "long")
     line = F.regexp_replace("text", "\n", " ")
-    return found.select("room", line.alias("text"), F.col("from.name").alias("name"))
+    return found.select("room", line.alias("text"), F.col("from.name").alias("name"), turn.alias("turn"))
 
 
-THREADS = f"""c AS (
-  SELECT conv_id * 1000 + turn // {PAGE} AS thread, text AS body,
-    row_number() OVER (PARTITION BY conv_id, turn // {PAGE} ORDER BY turn DESC) - 1 AS position,
+THREADS = """c AS (
+  SELECT conv_id AS thread, text AS body, turn, role,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS position,
     CASE WHEN role <> 'assistant' THEN role END AS label FROM conversations)"""
 
 
 def issue_threads(spark, sf) -> DataFrame:
     """Comments of issue files: a file has its opening issue last, only some comments have labels."""
-    page = F.floor(F.col("turn") / PAGE).cast("long")
     label = F.when(F.col("role") != "assistant", F.array(F.struct(F.col("role").alias("name"))))
-    comment = F.struct(F.col("text").alias("body"), label.alias("labels"))
-    # A page has at most PAGE turns.
+    comment = F.struct(F.col("text").alias("body"), label.alias("labels"), F.col("role").alias("author"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("turn"), comment.alias("c"))))
-    files = conversations(spark, sf).groupBy((F.col("conv_id") * 1000 + page).alias("thread")).agg(
+    files = conversations(spark, sf).groupBy("conv_id").agg(
         F.to_json(F.transform(ordered, lambda x: x["c"])).alias("value")
     )
-    root = fresh_path(spark, "issues")
-    files.write.partitionBy("thread").text(root)
-    return messages.read_issue_threads(spark, root, number=r"thread=(\d+)/")
+    path = F.concat(F.lit("/issues/"), "conv_id", F.lit(".txt")).alias("path")
+    return messages.parse_issue_threads(files.select(path, "value"))
 
 
-@query("issue_threads", f"WITH {THREADS} SELECT thread, position, body AS text, label FROM c")
+@query("issue_threads", f"WITH {THREADS} SELECT thread, position, body AS text, label, role AS author FROM c")
 def issue_threads_query(spark, sf):
     found = issue_threads(spark, sf)
-    return found.select("thread", "position", "text", F.get("labels.name", F.lit(0)).alias("label"))
+    label = F.get("labels.name", F.lit(0)).alias("label")
+    author = F.variant_get("object", "$.author", "string").alias("author")
+    return found.select("thread", "position", "text", label, author)
 
 
 TALKS = """c AS (
@@ -281,19 +262,18 @@ def thread_inherit(spark, sf):
 
 @query(
     "thread_nested",
-    f"""WITH {TALKS} SELECT conv_id, turn // {PAGE} AS page, any_value(r.n) AS messages,
+    f"""WITH {TALKS} SELECT conv_id, any_value(r.n) AS messages,
   any_value(o.text) AS opening, arg_min(m.text, m.turn) AS first, arg_max(m.text, m.turn) AS last,
   count(*) AS comments, count(label) AS labelled
 FROM m JOIN r USING (conv_id)
   JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM c GROUP BY conv_id) o USING (conv_id)
-GROUP BY conv_id, page""",
+GROUP BY conv_id""",
 )
 def thread_nested(spark, sf):
-    nested = threads.collect_thread(inherited(spark, sf), "conv_id", "turn", ["text", "label"], page_size=PAGE)
+    nested = threads.collect_thread(inherited(spark, sf), "conv_id", "turn", ["text", "label"])
     comments = F.col("comments")
     return nested.select(
         "conv_id",
-        "page",
         "messages",
         F.col("original_request.text").alias("opening"),
         F.get(comments, F.lit(0))["text"].alias("first"),
@@ -303,6 +283,14 @@ def thread_nested(spark, sf):
     )
 
 
+@query(
+    "thread_rows",
+    """SELECT conv_id, turn, turn = min(turn) OVER (PARTITION BY conv_id) AS opens, text, role FROM conversations""",
+)
+def thread_rows(spark, sf):
+    return threads.thread_rows(conversations(spark, sf), "conv_id", "turn", ["text", "role"])
+
+
 # Scans, filters, splits, unions
 
 
@@ -388,6 +376,14 @@ def terms_agg(spark, sf):
     return score.top_terms(i.table(spark, sf, "documents", ["source"]), "source", 10)
 
 
+@query("keyword", "SELECT event_id, [event_type] AS tokens FROM events")
+def keyword_query(spark, sf):
+    """Whole values as their only tokens."""
+    return i.table(spark, sf, "events", ["event_id", "event_type"]).select(
+        "event_id", keyword("event_type").alias("tokens")
+    )
+
+
 # Writers
 
 
@@ -421,6 +417,20 @@ def variant_roundtrip(spark, sf):
     )
 
 
+@query(
+    "new_ids",
+    """SELECT user_id, event_type, count(*) AS n, count(*) AS ids FROM events GROUP BY ALL""",
+)
+def new_ids(spark, sf):
+    """Rows without an id get one when they are appended; each id is there once."""
+    path = fresh_path(spark, "events")
+    tables.write_documents(tables.with_new_ids(i.table(spark, sf, "events", ["user_id", "event_type"])), path)
+    stored = tables.read_documents(spark, path)
+    return stored.groupBy("user_id", "event_type").agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("ids")
+    )
+
+
 @query(
     "upsert_by_key",
     """WITH n AS (SELECT o_custkey AS c_custkey, arg_max(o_totalprice, o_orderkey) AS c_acctbal

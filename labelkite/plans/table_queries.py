@@ -10,7 +10,6 @@ from labelkite.plans import inputs as i
 from labelkite.plans.registry import Registry
 from labelkite.shared import fresh_path, written
 from labelkite.sources import models
-from labelkite.sources.tables import spread_small
 
 registry = Registry()
 query = registry.query
@@ -31,17 +30,33 @@ def classed(spark, sf, *more):
 n AS (
   {' UNION ALL '.join(
       f"SELECT '{c}' AS name, 'double' AS type, min({c}) AS lower, max({c}) AS upper, "
-      f"NULL::BIGINT AS n_values, NULL AS values, count(*) - count({c}) AS missing FROM t" for c in NUMERIC)}),
+      f"NULL::BIGINT AS n_values, count(*) - count({c}) AS missing FROM t" for c in NUMERIC)}),
 s AS (
   {' UNION ALL '.join(
       f"SELECT '{c}' AS name, 'string' AS type, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, "
-      f"count(DISTINCT {c}) AS n_values, string_agg(DISTINCT {c}, '|' ORDER BY {c}) AS values, count(*) - count({c}) AS missing FROM t" for c in [*NOMINAL, TARGET])})
+      f"count(DISTINCT {c}) AS n_values, count(*) - count({c}) AS missing FROM t" for c in [*NOMINAL, TARGET])})
 SELECT * FROM n UNION ALL SELECT * FROM s""",
 )
 def column_profile(spark, sf):
-    found = rows.profile(classed(spark, sf), NUMERIC, [*NOMINAL, TARGET])
-    joined = F.when(F.col("values").isNotNull(), F.concat_ws("|", "values"))
-    return found.withColumn("values", joined)
+    return rows.profile(classed(spark, sf), NUMERIC, [*NOMINAL, TARGET])
+
+
+@query(
+    "column_values",
+    f"""WITH {i.ORDER_TABLE} {' UNION ALL '.join(
+        f"SELECT '{c}' AS name, {c} AS value, count(*) AS n FROM t GROUP BY ALL" for c in [*NOMINAL, TARGET])}
+UNION ALL SELECT 'c_name', c_name, count(*) FROM t GROUP BY ALL""",
+)
+def column_values(spark, sf):
+    """The values of each column, one of them with a value for nearly every row."""
+    return rows.column_values(classed(spark, sf, "c_name"), [*NOMINAL, TARGET, "c_name"])
+
+
+@query("keep_columns", f"WITH {i.ORDER_TABLE} SELECT o_orderkey, c_name FROM t")
+def keep_columns(spark, sf):
+    """The order table without the columns that the learners read."""
+    table = classed(spark, sf, "o_orderkey", "c_name")
+    return rows.keep_columns(table, table.columns, [*NUMERIC, *NOMINAL, TARGET])
 
 
 @query(
@@ -252,11 +267,14 @@ def nb_statistics(spark, sf):
 @query(
     "nb_mixed_fit",
     f"""WITH {MIXED} SELECT name, value, class, n, round(p, 9) AS probability FROM prob
-UNION ALL SELECT '{TARGET}', NULL, class, docs, round(prior, 9) FROM num""",
+UNION ALL SELECT '{TARGET}', NULL, class, docs, round(prior, 9) FROM num
+UNION ALL SELECT 'c_name', NULL, NULL, NULL, NULL""",
 )
 def nb_mixed_fit(spark, sf):
+    """The stored model; one column has too many values and is listed as skipped."""
     root = fresh_path(spark, "models")
-    models.write_model(mixed_model(classed(spark, sf)), root, "orders")
+    model = mixed_bayes.mixed_fit(classed(spark, sf, "c_name"), TARGET, NUMERIC, [*NOMINAL, "c_name"])
+    models.write_model(model, root, "orders")
     stored = models.load_parameters(spark, root, "table_bayes", "orders")
     # One row by value and class: a small table.
     share = F.sum("count").over(mixed_bayes.share_of(TARGET))
@@ -274,6 +292,15 @@ def nb_mixed_predict(spark, sf):
     return mixed_predictions(spark, sf)
 
 
+@query("stored_model_predict", f"WITH {MIXED_PREDICT} SELECT * FROM pred")
+def stored_model_predict(spark, sf):
+    """A table model stored under an id, loaded by it and applied."""
+    table, root = classed(spark, sf, "o_orderkey"), fresh_path(spark, "models")
+    models.write_model(mixed_model(table), root, "orders")
+    df = models.load_table_bayes(spark, root, "orders", TARGET).predict(table, "predicted")
+    return df.select("o_orderkey", F.col(TARGET).alias("label"), "predicted")
+
+
 # Scores
 
 CELLS = f"{MIXED_PREDICT}, c AS (SELECT label, predicted, count(*) AS n FROM pred GROUP BY ALL)"
@@ -338,39 +365,40 @@ def scorer_totals(spark, sf):
 # Learners of the ML library: the class is whether a line was returned
 
 RETURNED, KEPT = "R", "N"
+LINE_KEY = ["l_orderkey", "l_linenumber"]
 
 
 def lines(spark, sf):
+    """Lines with their key and class; the learners do not see the key."""
     returned = F.when(F.col("l_returnflag") == "R", RETURNED).otherwise(KEPT)
     fields = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_returnflag"]
-    scan = spread_small(i.table(spark, sf, "lineitem", fields))
-    return scan.withColumn("l_returnflag", returned)
+    return i.table(spark, sf, "lineitem", [*LINE_KEY, *fields]).withColumn("l_returnflag", returned)
 
 
 @query("logit_table")
 def logit_table(spark, sf):
     df = lines(spark, sf)
-    model = linear.logit_fit(df, "l_returnflag", RETURNED)
+    model = linear.logit_fit(df.drop(*LINE_KEY), "l_returnflag", RETURNED)
     return linear.logit_table(model, spark, RETURNED)
 
 
 @query("logit_predict")
 def logit_predict(spark, sf):
     df = lines(spark, sf)
-    model = linear.logit_fit(df, "l_returnflag", RETURNED)
+    model = linear.logit_fit(df.drop(*LINE_KEY), "l_returnflag", RETURNED)
     return linear.logit_predict(model, df, RETURNED, KEPT, "predicted")
 
 
 @query("tree_predict")
 def tree_predict(spark, sf):
     df = lines(spark, sf)
-    return tree.tree_predict(tree.tree_fit(df, "l_returnflag"), df)
+    return tree.tree_predict(tree.tree_fit(df, "l_returnflag", keys=LINE_KEY), df)
 
 
 @query("svm_rbf_predict")
 def svm_rbf_predict(spark, sf):
     coded = prepare.one_hot(lines(spark, sf), ["l_linestatus"])
-    columns = [c for c, t in coded.dtypes if t in prepare.NUMERIC]
+    columns = [c for c, t in coded.dtypes if t in prepare.NUMERIC and c not in LINE_KEY]
     scaled = prepare.min_max(coded, columns).withColumn(
         "label", (F.col("l_returnflag") == RETURNED).cast("double")
     )

@@ -214,25 +214,33 @@ def model_roundtrip(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query("predicted_field", f"WITH {BAYES} SELECT doc_id, lang, p.predicted FROM pred p JOIN documents USING (doc_id)")
+def predicted_field(spark, sf):
+    """Documents of the test part with the predicted class as one more field."""
+    model, test = fitted_bayes(spark, sf)
+    docs = i.table(spark, sf, "documents", ["doc_id", "lang", "text"]).join(test.select("doc_id"), "doc_id", "left_semi")
+    return bayes.predicted_field(docs, model, "doc_id", i.tokenize("text")).select("doc_id", "lang", "predicted")
+
+
 # Iterative learners
 
 
 def training_vectors(spark, sf):
-    """Feature spec and the stored training vectors ``(label, features)``."""
+    """Feature spec, the stored training vectors ``(label, features)``, and both parts as tokens."""
     train, test = i.split_tokens(spark, sf)
     spec, length = vocab.vocabulary_spec(vocab.doc_freq(i.document_tokens(spark, sf)), "all_terms")
     spec = written(spec, "spec")
     coded = vectors.doc_vectors(train, spec, "doc_id", ["label"]).select(
         encode_label(F.col("label")).alias("label"), "indices", "values"
     )
-    return spec, length, vectors.ml_vectors(coded, length), test
+    return spec, length, vectors.ml_vectors(coded, length), train, test
 
 
-def linear_predictions(spec, weights, test):
+def svm_predictions(spec, train, test):
     """The weights are stored under a model id, and the stored model is applied."""
     spark = test.sparkSession
     root = fresh_path(spark, "models")
-    table = linear.term_weights(spec, weights)
+    table = linear.svm_sgd_fit(train, spec, "doc_id", "label", "positive")
     models.write_parameters(table, root, "term_weights", "svm", "all_terms")
     stored = models.load_parameters(spark, root, "term_weights", "svm", "all_terms")
     scored = linear.score_by_model(test, stored, "doc_id", ["label"])
@@ -287,32 +295,33 @@ FROM part p LEFT JOIN x ON x.doc_id = p.doc_id LEFT JOIN w10 USING (term)
 WHERE NOT p.train GROUP BY p.doc_id, p.label"""
 )
 def svm_predict(spark, sf):
-    spec, _, train, test = training_vectors(spark, sf)
-    found = linear_predictions(spec, linear.svm_sgd_fit(train), test)
+    train, test = i.split_tokens(spark, sf)
+    spec, _ = vocab.vocabulary_spec(vocab.doc_freq(i.document_tokens(spark, sf)), "all_terms")
+    found = svm_predictions(written(spec, "spec"), train, test)
     return found.withColumn("margin", F.round("margin", 6))
 
 
 @query("lr_predict")
 def lr_predict(spark, sf):
-    spec, length, train, test = training_vectors(spark, sf)
+    spec, length, train, _, test = training_vectors(spark, sf)
     return logistic_predictions(linear.logistic_fit(train), spec, length, test)
 
 
 @query("lr_l2_predict")
 def lr_l2_predict(spark, sf):
-    spec, length, train, test = training_vectors(spark, sf)
+    spec, length, train, _, test = training_vectors(spark, sf)
     return logistic_predictions(linear.logistic_l2_fit(train), spec, length, test)
 
 
 @query("compare_models")
 def compare_models(spark, sf):
-    spec, length, train, test = training_vectors(spark, sf)
-    naive = bayes.multinomial_fit(i.split_tokens(spark, sf)[0], spec)
-    logistic = linear.logistic_fit(train)
+    spec, length, vectors_, train, test = training_vectors(spark, sf)
+    naive = bayes.multinomial_fit(train, spec)
+    logistic = linear.logistic_fit(vectors_)
     return score.compare_accuracy(
         {
             "naive_bayes": bayes.multinomial_predict(naive, test, "doc_id", ["label"]),
-            "svm": linear_predictions(spec, linear.svm_sgd_fit(train), test),
+            "svm": svm_predictions(spec, train, test),
             "logistic": logistic_predictions(logistic, spec, length, test),
         },
         "label",

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
-    """A one-machine session for tests and timing; a cluster brings its own."""
-    return (
+    """A one-machine session for tests and timing; a cluster brings its own.
+
+    Its shared folder is below the warehouse, unless one is set already.
+    """
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("labelkite")
         .config("spark.driver.memory", "12g")
@@ -21,28 +23,26 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )
+    if spark.sparkContext.getConf().get("spark.checkpoint.dir") is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/shared")
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary one; a cluster must name its own, because
-    a machine-local folder is lost with its machine.
-    """
+    """Folder named by ``spark.checkpoint.dir``; tests and timing set one where it is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named is None and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        named = tempfile.mkdtemp(prefix="labelkite-")
-        spark.sparkContext.setCheckpointDir(named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other job uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other job uses; it goes when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return path.toString()
 
 
 def written(df: DataFrame, name: str, even: bool = False) -> DataFrame:

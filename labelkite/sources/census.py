@@ -39,25 +39,39 @@ def read_census(spark: SparkSession, path: str, mode: str = "loader") -> DataFra
     empty in three columns, a short or blank line becomes a row of nulls, and an unreadable capital
     loss or number of hours stops the job.
 
-    ``reader``: quoted fields, blanks trimmed, empty lines skipped, short lines stop the job, all
-    three money and hour columns are whole numbers, ``?`` is missing in every string column.
+    ``reader``: fields in single or double quotes, blanks trimmed, empty lines skipped, lines that have
+    not 15 fields and unreadable numbers stop the job, all three money and hour columns are whole
+    numbers, ``?`` is missing in every string column.
     """
     if mode == "loader":
         return parse_census(spark.read.text(path), "value")
     if mode != "reader":
         raise ValueError(f"unknown mode {mode!r}")
-    schema = ", ".join(f"{c} {'string' if t == 'string' else 'int'}" for c, t in CENSUS)
-    rows = spark.read.csv(
-        path,
-        schema=schema,
-        nullValue=MISSING,
-        ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True,
-        mode="FAILFAST",
-    )
-    # The CSV reader knows one quote character; the other one is taken off here.
-    unquoted = {c: F.regexp_replace(c, "^'(.*)'$", "$1") for c, t in CENSUS if t == "string"}
-    return rows.withColumns({c: F.nullif(v, F.lit(MISSING)) for c, v in unquoted.items()})
+    return parse_quoted_census(spark.read.text(path), "value")
+
+
+# A field up to its comma, in double quotes, in single quotes, or in none.
+QUOTED_FIELD = r"""\s*("[^"]*"|'[^']*'|[^,]*?)\s*,"""
+
+
+def parse_quoted_census(lines: DataFrame, column: str) -> DataFrame:
+    """Reader rules on a column of lines; a comma inside either quote belongs to its field."""
+    some = lines.where(F.trim(column) != "")
+    fields = F.regexp_extract_all(F.concat(column, F.lit(",")), F.lit(QUOTED_FIELD), F.lit(1))
+    cells = some.select(F.transform(fields, lambda x: F.regexp_replace(x, r"""^(["'])(.*)\1$""", "$2")).alias("p"))
+    short = F.size("p") != len(CENSUS)
+    columns = []
+    for i, (name, kind) in enumerate(CENSUS):
+        piece = F.nullif(F.get("p", F.lit(i)), F.lit(""))
+        if kind == "string":
+            value = F.nullif(piece, F.lit(MISSING))
+        else:
+            number = F.try_to_number(piece, F.lit("S999999999")).cast("int")
+            bad = piece.isNotNull() & number.isNull()
+            value = F.when(bad, F.raise_error(F.concat(F.lit(f"{name}: "), piece))).otherwise(number)
+        stop = F.raise_error(F.concat(F.lit("not 15 fields: "), F.concat_ws(",", "p")))
+        columns.append(F.when(short, stop).otherwise(value).cast("string" if kind == "string" else "int").alias(name))
+    return cells.select(*columns)
 
 
 def parse_census(lines: DataFrame, column: str) -> DataFrame:

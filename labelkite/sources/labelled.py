@@ -9,35 +9,41 @@ from labelkite.functions.text import blank_text, clean_text
 from labelkite.functions.values import trim_blanks
 from labelkite.operators.rows import union_labelled
 from labelkite.operators.skew import dense_index
+from labelkite.sources.messages import read_files
+
+
+def labelled_texts(files: DataFrame) -> DataFrame:
+    """``(label, text)`` of ``(label, value)`` rows, each a whole file."""
+    return files.select("label", blank_text("value").alias("text"))
 
 
 def read_labelled_dirs(spark: SparkSession, folders: dict[str, str | list[str]]) -> DataFrame:
     """``(label, text)``: every file of a folder is one document of the folder's label."""
-    parts = []
-    for label, paths in folders.items():
-        files = spark.read.text(paths, wholetext=True)
-        parts.append(files.select(F.lit(label).alias("label"), blank_text("value").alias("text")))
-    return union_labelled(parts)
+    parts = [
+        spark.read.text(paths, wholetext=True).select(F.lit(label).alias("label"), "value")
+        for label, paths in folders.items()
+    ]
+    return labelled_texts(union_labelled(parts))
 
 
-def read_sequential_docs(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """``(id, text, class, path)`` of all files below each folder.
+def number_files(files: DataFrame, classes: list[str]) -> DataFrame:
+    """``(id, text, class, path)`` of ``(class, path, value)`` rows, a path being unique in its class.
 
-    Ids run from 1 over the classes in the given order, and by path inside a class.
+    Ids run from 1 over the classes in the given order, and by path inside a class. Only class and
+    path are sorted, not the texts.
     """
-    parts = []
-    for place, (name, path) in enumerate(folders.items()):
-        files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-        parts.append(
-            files.select(
-                F.lit(place).alias("_place"),
-                F.lit(name).alias("class"),
-                F.col("_metadata.file_path").alias("path"),
-                clean_text("value").alias("text"),
-            )
-        )
-    numbered = dense_index(union_labelled(parts), ["_place", "path"], "id", start=1)
-    return numbered.select("id", "text", "class", "path")
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class"))
+    numbered = dense_index(files.select("class", "path", place.alias("_place")), ["_place", "path"], "id", start=1)
+    text = clean_text("value").alias("text")
+    return files.join(numbered.drop("_place"), ["class", "path"]).select("id", text, "class", "path")
+
+
+def read_sequential_docs(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """``number_files`` of all files below each class's folder."""
+    parts = [
+        read_files(spark, path).select(F.lit(name).alias("class"), "path", "value") for name, path in folders.items()
+    ]
+    return number_files(union_labelled(parts), list(folders))
 
 
 # The columns of the polarity file, and the code of a positive text.

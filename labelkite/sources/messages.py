@@ -1,54 +1,80 @@
-"""Chat rooms and issue threads: files that hold a JSON array."""
+"""Chat rooms and issue threads: files that hold a JSON array.
+
+Each reader is a scan of whole files, ``(path, value)``, and a parser over such rows, so that the same
+rules serve files, archives and tables. The parsed fields stand beside the whole object, a VARIANT,
+which keeps every other field.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelkite.functions.text import room_name
 
-MESSAGES = "array<struct<message: string, `from`: struct<name: string, user_id: string>>>"
-COMMENTS = "array<struct<body: string, labels: array<struct<name: string>>>>"
+MESSAGE = {"message": "string", "from": "struct<name: string, user_id: string>"}
+COMMENT = {"body": "string", "labels": "array<struct<name: string>>"}
 NUMBERED_FILE = r"/(\d+)[^/]*$"
 
 
-def read_rooms(
-    spark: SparkSession, root: str, schema: str = MESSAGES, suffix: str = "*json"
-) -> DataFrame:
-    """One row by message of every file below ``root`` whose name ends in ``json``, with its text and room.
+def read_files(spark: SparkSession, root: str, suffix: str | None = None) -> DataFrame:
+    """``(path, value)`` of every file below a folder, or of those whose name fits ``suffix``."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    reader = reader.option("pathGlobFilter", suffix) if suffix else reader
+    return reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def fields_of(item: Column, fields: dict[str, str]) -> list[Column]:
+    """Fields of a VARIANT object, null where it lacks them."""
+    return [F.try_variant_get(item, f"$.{name}", kind).alias(name) for name, kind in fields.items()]
+
+
+def parse_rooms(files: DataFrame, fields: dict[str, str] = MESSAGE) -> DataFrame:
+    """One row by message of ``(path, value)`` rows: its fields, text, room and whole ``object``.
 
     The room is the file's folder without blanks and ``#``. A file that is not JSON is skipped, and
     so is a message without a text.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", suffix)
-        .text(root, wholetext=True)
-    )
     # A line break inside a JSON string is not valid; as a blank it is.
-    body = F.from_json(F.translate("value", "\n", " "), schema)
-    rows = files.select(
-        room_name("_metadata.file_path").alias("room"), F.explode(body).alias("m")
-    )
-    texts = rows.select("m.*", F.col("m.message").alias("text"), "room")
-    return texts.where(F.col("message").isNotNull())
+    body = F.try_parse_json(F.translate("value", "\n", " "))
+    items = F.try_variant_get(body, "$", "array<variant>")
+    rows = files.select(room_name("path").alias("room"), F.explode(items).alias("object"))
+    parsed = rows.select(*fields_of(F.col("object"), fields), "room", "object")
+    return parsed.withColumn("text", F.col("message")).where(F.col("message").isNotNull())
 
 
-def read_issue_threads(
-    spark: SparkSession, path: str, schema: str = COMMENTS, number: str = NUMBERED_FILE
+def read_rooms(
+    spark: SparkSession, root: str, fields: dict[str, str] = MESSAGE, suffix: str = "*json"
+) -> DataFrame:
+    """``parse_rooms`` of every file below ``root`` whose name ends in ``json``."""
+    return parse_rooms(read_files(spark, root, suffix), fields)
+
+
+def parse_issue_threads(
+    files: DataFrame, fields: dict[str, str] = COMMENT, number: str = NUMBERED_FILE
 ) -> DataFrame:
-    """One row by comment: ``(thread, position, text, <comment fields>)``.
+    """One row by comment: ``(thread, position, text, <comment fields>, object)``.
 
     A file is one thread, its last element is the opening issue, and its number is what ``number``
     finds in the path (by default the number that the file's name starts with). A file that is not
     JSON stops the job.
     """
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    body = F.from_json("value", schema, {"mode": "FAILFAST"})
+    items = F.variant_get(F.parse_json("value"), "$", "array<variant>")
     rows = files.select(
-        F.regexp_extract("_metadata.file_path", number, 1).cast("long").alias("thread"),
-        F.posexplode(body).alias("position", "c"),
+        F.regexp_extract("path", number, 1).cast("long").alias("thread"),
+        F.posexplode(items).alias("position", "object"),
     )
     return rows.select(
-        "thread", F.col("position").cast("long").alias("position"), F.col("c.body").alias("text"), "c.*"
+        "thread",
+        F.col("position").cast("long").alias("position"),
+        F.try_variant_get("object", "$.body", "string").alias("text"),
+        *fields_of(F.col("object"), fields),
+        "object",
     )
+
+
+def read_issue_threads(
+    spark: SparkSession, path: str, fields: dict[str, str] = COMMENT, number: str = NUMBERED_FILE
+) -> DataFrame:
+    """``parse_issue_threads`` of every file below a folder."""
+    return parse_issue_threads(read_files(spark, path), fields, number)

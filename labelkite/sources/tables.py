@@ -15,14 +15,9 @@ def read_documents(
     return df.select(*fields) if fields else df
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small scan out to all cores, where the work on a row is heavy.
-
-    A file split has at least 4 MB by default, so a scan with fewer splits than half the cores is
-    only a few MB by core, and moving its rows is cheap. Any larger table is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+def spread(df: DataFrame, parts: int | None) -> DataFrame:
+    """Deal the rows out to ``parts`` tasks, for a small table with heavy work on a row; None leaves it."""
+    return df.repartition(parts) if parts else df
 
 
 def write_documents(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -44,17 +39,23 @@ def with_new_ids(rows: DataFrame, name: str = "id") -> DataFrame:
 def upsert_documents(
     target: DataFrame, rows: DataFrame, key: str, version: str | None = None
 ) -> DataFrame:
-    """Target rows whose key is not among the new rows, and the new rows.
+    """One row for each key: a new row where there is one, else the target's.
 
-    ``version`` orders new rows of the same key: the last one stays. They are reduced by a partial
-    aggregate, so many copies of one key are cheap, and the join sees every key once on each side.
+    ``version`` orders new rows of the same key: the last one stays. Among rows that it leaves equal,
+    the one with the largest hash of its cells stays, so a repeated run keeps the same one. One
+    aggregate over both tables, partial before the shuffle: many copies of a key are cheap.
     """
-    if version:
-        fields = [c for c in rows.columns if c != key]
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*fields), version).alias("_r"))
-        rows = last.select(key, *[F.col("_r")[c].alias(c) for c in fields])
-    rows = rows.select(*target.columns)
-    return target.join(rows.select(key), key, "left_anti").unionByName(rows)
+    fields = [c for c in target.columns if c != key]
+    order = F.col(version) if version else F.lit(0)
+    cells = F.struct(*fields).alias("_r")
+    new = rows.select(key, F.struct(F.lit(1).alias("new"), order.alias("v"), F.xxhash64(*fields).alias("h")).alias("_o"), cells)
+    kind = dict(new.select("_o.v").dtypes)["v"]
+    no_order = F.lit(None).cast(kind)
+    old = target.select(
+        key, F.struct(F.lit(0).alias("new"), no_order.alias("v"), F.xxhash64(*fields).alias("h")).alias("_o"), cells
+    )
+    last = old.unionByName(new).groupBy(key).agg(F.max_by("_r", "_o").alias("_r"))
+    return last.select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in target.columns])
 
 
 def as_variant(json_text: Column) -> Column:

@@ -210,7 +210,10 @@ def test_mixed_bayes_by_hand(spark):
 
 def test_mixed_bayes_skips_wide_columns_and_merges(spark):
     df = mixed_data(spark)
-    assert set(mixed_bayes.mixed_fit(df, "class", max_nominal=2).counts) == {"t"}
+    narrow = mixed_bayes.mixed_fit(df, "class", max_nominal=2)
+    assert set(narrow.counts) == {"t"} and narrow.skipped == ["s"]
+    again = mixed_bayes.MixedBayes.from_statistics(narrow.statistics(spark), "class")
+    assert again.skipped == ["s"] and again.counts == narrow.counts and again.classes == narrow.classes
     whole = mixed_bayes.sufficient_stats(df, "class", ["v"], ["s", "t"])
     halves = [
         mixed_bayes.sufficient_stats(df.where(w), "class", ["v"], ["s", "t"])

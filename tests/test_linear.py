@@ -4,7 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
 
 from labelkite.operators import linear, tree
-from labelkite.shared import fresh_path
+from labelkite.shared import fresh_path, written
 from labelkite.sources import models
 
 
@@ -35,11 +35,16 @@ def descent(points, iterations, step, reg):
 
 def test_svm_is_plain_descent(spark):
     df = separable(spark)
-    got = linear.svm_sgd_fit(df, 10, 0.1, 0.01)
-    assert got == pytest.approx(descent(df.collect(), 10, 0.1, 0.01), abs=1e-9)
+    points = df.collect()
+    rows = [(i, 2 * r["label"] - 1, f"t{j}", float(v)) for i, r in enumerate(points) for j, v in enumerate(r["features"].toArray())]
+    terms = spark.createDataFrame([(f"t{j}",) for j in range(4)], "term string")
+    table = spark.createDataFrame(rows, "id long, y double, term string, value double")
+    found = linear.hinge_descent(written(table, "points"), terms, len(points), "id", 10, 0.1, 0.01)
+    got = np.array([r["weight"] for r in found.orderBy("term").collect()])
+    assert got == pytest.approx(descent(points, 10, 0.1, 0.01), abs=1e-9)
     quasi = linear.svm_fit(df)
     for w in (got, quasi):
-        right = [(r["features"].toArray() @ w > 0) == (r["label"] == 1.0) for r in df.collect()]
+        right = [(r["features"].toArray() @ w > 0) == (r["label"] == 1.0) for r in points]
         assert np.mean(right) > 0.97
 
 

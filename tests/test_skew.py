@@ -2,37 +2,41 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelkite.operators.skew import dense_index, lookup_join, small_rows, top_k_per_group
+from labelkite.shared import written
 
 
-@pytest.mark.parametrize("max_bytes", [10**9, 400])
+@pytest.mark.parametrize("max_bytes", [10**9, 40_000, 400])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_lookup_join_with_a_hot_key(spark, rows, max_bytes, how):
-    """A third of the rows has one key, a tenth none; all ways give the plain join."""
-    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 10 == 1, None).otherwise(
-        F.concat(F.lit("k"), F.col("id") % 97)
-    )
-    big = spark.range(3000).select("id", key.alias("key"))
-    table = big.where("key is not null and key != 'k5'").groupBy("key").agg(F.count("*").alias("n"))
-    table = table.withColumn("value", F.length("key"))
-    got = lookup_join(big, table, "key", "n", ["id"], how, max_bytes=max_bytes)
+def test_lookup_join_with_hot_keys(spark, rows, max_bytes, how):
+    """A third of the rows has a known key, a sixth an unknown one, a tenth none; all ways give the plain join."""
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 6 == 1, "unknown").when(F.col("id") % 10 == 2, None)
+    big = spark.range(6000).select("id", key.otherwise(F.concat(F.lit("k"), F.col("id") % 1500)).alias("key"))
+    table = big.where("key is not null and key not in ('k5', 'unknown')").groupBy("key").agg(F.count("*").alias("n"))
+    table = written(table.withColumn("value", F.repeat("key", 5)), "lookup")
+    got = lookup_join(big, table, "key", how, max_bytes=max_bytes)
     want = big.join(table, "key", how)
     columns = ["id", "key", "n", "value"]
     assert rows(got, *columns) == rows(want, *columns)
 
 
-def test_lookup_join_spreads_the_hot_key(spark):
-    """Beyond the broadcast size no task of the shuffled join holds the hot key's rows."""
+@pytest.mark.parametrize("width", [5, 3000])
+def test_lookup_join_spreads_hot_keys(spark, width):
+    """Of a known and an unknown hot key, no row is in the shuffle by key; wide values are not broadcast."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        big = spark.range(40000).select(
-            "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("key")
-        )
-        table = big.groupBy("key").agg(F.count("*").alias("n"))
-        got = lookup_join(big, table, "key", "n", ["id"], "left", max_bytes=2000)
-        sizes = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("c")).collect()
-        assert sum(r["c"] for r in sizes) == 40000
-        assert max(r["c"] for r in sizes) < 13000
+        key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "unknown")
+        big = written(spark.range(40000).select(
+            "id", key.otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("key")
+        ), "rows")
+        table = big.where("key != 'unknown'").groupBy("key").agg(F.count("*").alias("n"))
+        table = written(table.withColumn("value", F.repeat(F.lit("x"), width)), "lookup")
+        got = lookup_join(big, table, "key", "left", max_bytes=2000).select("id", "n", "value")
+        assert got.where("n is null").count() == 13333
+        sizes = [r["c"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("c")).collect()]
+        assert sum(sizes) == 40000 and max(sizes) < 13000
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == (1 if width == 5 else 2)
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

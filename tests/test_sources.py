@@ -73,6 +73,13 @@ def test_census_reader(spark, tmp_path):
     assert len(got) == 2
     assert (got[0]["workclass"], got[0]["education"], got[0]["race"]) == ("State-gov", "Bachelors", None)
     assert got[0]["occupation"] is None and got[0]["capital_gain"] == 2174
+    inner = GOOD.replace("State-gov", "'State, local'").replace("Bachelors", '"B, \'A\'"')
+    path = put(tmp_path / "d", f__data=inner + "\n")
+    got = census.read_census(spark, path, mode="reader").first()
+    assert (got["workclass"], got["education"], got["education_num"], got["label"]) == ("State, local", "B, 'A'", 13, "<=50K")
+    path = put(tmp_path / "e", f__data=GOOD.replace("39,", "?,") + "\n")
+    with pytest.raises(Exception, match="age"):
+        census.read_census(spark, path, mode="reader").collect()
     path = put(tmp_path / "short", f__data="1, 2\n")
     with pytest.raises(Exception):
         census.read_census(spark, path, mode="reader").collect()
@@ -91,6 +98,8 @@ def test_rooms(spark, rows, tmp_path):
     assert rows(got, "room", "text", "name", "user") == [
         ("BigRoom", "bye", "Bob", "api"), ("BigRoom", "hi all", "Ann", "7")
     ]
+    more = got.select(F.try_variant_get("object", "$.more", "int").alias("more"))
+    assert sorted(r["more"] or 0 for r in more.collect()) == [0, 1]
 
 
 def issues(tmp_path):
@@ -104,7 +113,7 @@ def issues(tmp_path):
 
 def test_issue_threads(spark, rows, tmp_path):
     flat = messages.read_issue_threads(spark, issues(tmp_path))
-    assert flat.columns == ["thread", "position", "text", "body", "labels"]
+    assert flat.columns == ["thread", "position", "text", "body", "labels", "object"]
     full = threads.inherit_from_root(flat, "thread", "position", ["labels"], root="last")
     names = full.withColumn("l", F.concat_ws("+", "labels.name")).withColumn("none", F.col("labels").isNull())
     assert rows(names, "thread", "position", "text", "l", "none") == [
@@ -115,10 +124,11 @@ def test_issue_threads(spark, rows, tmp_path):
     got = {r["thread"]: r for r in whole.collect()}
     assert got[12]["original_request"]["body"] == "open" and got[12]["messages"] == 3
     assert [c["body"] for c in got[12]["comments"]] == ["c1", "c2", "open"]
-    pages = threads.collect_thread(full, "thread", "position", ["body"], root="last", page_size=2)
-    assert sorted((r["thread"], r["page"], len(r["comments"])) for r in pages.collect()) == [
-        (7, 0, 2), (12, 0, 2), (12, 1, 1)
-    ]
+    with pytest.raises(Exception, match="too many messages"):
+        threads.collect_thread(full, "thread", "position", ["body"], root="last", max_messages=2).collect()
+    long = threads.thread_rows(full, "thread", "position", ["body"], root="last")
+    assert rows(long.where("opens"), "thread", "body") == [(12, "open"), (7, "b")]
+    assert long.count() == 5
     path = put(tmp_path / "bad", **{"3__txt": "[{"})
     with pytest.raises(Exception):
         messages.read_issue_threads(spark, path).collect()
@@ -134,6 +144,9 @@ def test_tables(spark, rows, tmp_path):
     new = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (9, "d", 1)], "id long, s string, v int")
     got = tables.upsert_documents(df, new, "id", version="v")
     assert rows(got, "id", "s") == [(0, "a"), (1, "c"), (2, "a"), (3, "a"), (4, "a"), (9, "d")]
+    twice = spark.createDataFrame([(1, "b"), (1, "c"), (7, "d"), (7, "d")], "id long, s string")
+    again = [rows(tables.upsert_documents(df, twice.orderBy("s", ascending=a), "id"), "id", "s") for a in (True, False)]
+    assert again[0] == again[1] and [i for i, _ in again[0]] == [0, 1, 2, 3, 4, 7]
     assert tables.with_new_ids(df, "key").select("key").distinct().count() == 5
 
 
