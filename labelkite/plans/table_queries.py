@@ -129,7 +129,8 @@ def rounded(df):
 
 @query("impute", filled_sql("true", "true"))
 def impute(spark, sf):
-    df = gaps(spark, sf)
+    """Fitting and filling read one stored table: the joins run once."""
+    df = written(gaps(spark, sf), "gaps")
     return rounded(prepare.impute(df, rules(df)))
 
 
