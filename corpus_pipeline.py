@@ -7,6 +7,8 @@ of tables has ``documents``, ``labels`` and ``benchmark``.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from labelkite.shared import written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
+WORDS, SIMILARITY = 5, Fraction(8, 10)  # of near duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of similar texts."""
-    return jaccard_join.first_of_groups(docs)
+    return jaccard_join.first_of_groups(docs, words=WORDS, similarity=SIMILARITY)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

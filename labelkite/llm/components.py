@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelkite.llm.tables import join_groups
 from labelkite.shared import written
 
 ROUNDS = 100
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    """``(a, least)``: the smallest of each vertex and its neighbours. A partial sum for hot vertices."""
-    return edges.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges with ``least``, the smallest of vertex ``a`` and its neighbours; a hot vertex is broadcast."""
+    sums = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("least"), F.count("*").alias("degree"))
+    return join_groups(edges, written(sums, "least"), "a", "degree")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour is linked to the smallest vertex around."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    joined = both.join(_smallest(both), "a").where("b > a")
-    return joined.select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each smaller neighbour, and the vertex itself, is linked to the smallest of them."""
-    joined = edges.join(_smallest(edges), "a")
+    joined = _with_least(edges)
     near = joined.select(F.col("b").alias("a"), F.col("least").alias("b"))
     own = joined.select("a", F.col("least").alias("b"))
     return near.unionByName(own).where("a != b").distinct()

@@ -7,9 +7,11 @@ of them, so that one pair is untouched: linked sets share a signature. A set has
 own band, and those of the next if it is large enough to be linked with a set there.
 
 Links are found in two rounds. First each signature's smallest and largest set are compared with all
-its other sets (stars, not pairs). Then only sets that share a signature and are not yet in one
-component are compared with each other. Every comparison is exact, on the sets of 64-bit hashes of the
-whole texts. Copies are one set: only the first row of a set in an Arrow batch carries signatures.
+its other sets (stars, not pairs). Then sets that share a signature and are not yet in one component
+are compared in blocks inside a task, by a sketch: counts of shingles by hash cell, whose distance is
+never above the number of differing shingles. Only pairs that the sketch cannot tell apart come out.
+Every link is verified on the full sets of 64-bit hashes of the whole texts. Copies are one set: only
+the first row of a set in an Arrow batch carries signatures.
 
 Nulls: a null text has no shingles, as an empty one, and is linked with nothing. A row without an id is
 linked with nothing and has no group. Rows that repeat an id are one document and should repeat its
@@ -20,10 +22,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelkite.llm import bytehash
@@ -34,10 +37,13 @@ from labelkite.shared import written
 
 WORDS = 3
 SIMILARITY = Fraction(90, 100)
-BAND = Fraction(5, 4)
+BAND = Fraction(5, 4)  # by which the sizes of a band grow, at least
 SUBPARTS = 3
-MEMBERS = 256  # sets that a task compares with one copy of a star's centre
-CELLS = 1 << 22  # of the bitmap that tells which documents are compared at all
+SLICE_BYTES = 1 << 19  # of texts at a time; their hashes take some fifty times as much
+MEMBERS = 256  # sets that are compared with one copy of a star's centre
+BLOCK = 512  # sketches of a signature that are compared with one block of others
+SKETCH = 256  # cells of a sketch
+CELLS = 1 << 24  # of a bitmap of keys that are needed at all: two megabytes, however many keys there are
 
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -66,10 +72,12 @@ class Bands:
     """Size bands from 1 to ``largest``: first size, bound of differences and parts of each."""
 
     def __init__(self, largest: int, similarity: Fraction = SIMILARITY):
+        # Each start is at least the one before by the similarity, so that links span two bands at most.
+        growth = max(BAND, 1 / similarity)
         starts = [1]
         while starts[-1] <= largest:
-            starts.append(max(starts[-1] + 1, int(starts[-1] * BAND)))
-        starts.append(max(starts[-1] + 1, int(starts[-1] * BAND)))
+            starts.append(max(starts[-1] + 1, ceil(starts[-1] * growth)))
+        starts.append(max(starts[-1] + 1, ceil(starts[-1] * growth)))
         share = (1 - similarity) / (1 + similarity)
         self.starts = np.array(starts, np.int64)
         differences = [int(share * 2 * (b - 1)) for b in starts[1:]]
@@ -127,66 +135,97 @@ def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[order].view(np.int64)))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(h: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Shingles of each row by hash cell, 255 at most."""
+    n = len(borders) - 1
+    cell = np.repeat(np.arange(n), np.diff(borders)) * SKETCH + (bytehash.mixed(h ^ _SALTS[2]) % SKETCH).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=n * SKETCH), 255).astype(np.uint8).reshape(n, SKETCH)
+
+
+def _sets_of(column, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """By slices of rows ``a:b``: the hashes of their shingles, and the borders of the rows."""
+    raw, borders = bytehash.text_bytes(column)
+    for a, b in bytehash.slices(borders, SLICE_BYTES):
+        yield a, b, *shingle_sets(raw[borders[a] : borders[b]], borders[a : b + 1] - borders[a], words)
+
+
+def _described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, borders = bytehash.text_bytes(batch.column(1))
-        seen: set[bytes] = set()
-        for a, b in bytehash.slices(borders):
-            h, ends = shingle_sets(raw[borders[a] : borders[b]], borders[a : b + 1] - borders[a])
-            digest = _digests(h, ends)
-            keys = [d.tobytes() for d in digest]
-            carries = np.zeros(b - a, bool)
-            for i, key in enumerate(keys):
-                if key not in seen:
-                    seen.add(key)
-                    carries[i] = True
-            found, rows = signatures(h, ends)
-            mine = carries[rows]
+        for a, b, h, ends in _sets_of(batch.column(1), words):
+            keys = [d.tobytes() for d in _digests(h, ends)]
+            sketches = [x.tobytes() for x in _sketches(h, ends)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
                     pa.array(np.diff(ends), pa.int64()),
                     pa.array(keys, pa.binary()),
-                    pa.array(carries),
-                    _lists(found[mine], rows[mine], b - a),
+                    pa.array(sketches, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "digest", "carries", "signatures"],
+                ["doc_id", "n_shingles", "digest", "sketch"],
             )
 
 
-def _set_rows(cells: np.ndarray):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column(2).to_numpy(zero_copy_only=False) - 1
-            chosen = batch.filter(pa.array((cells[wanted >> 3] >> (wanted & 7) & 1).astype(bool)))
-            raw, borders = bytehash.text_bytes(chosen.column(1))
-            for a, b in bytehash.slices(borders):
-                h, ends = shingle_sets(raw[borders[a] : borders[b]], borders[a : b + 1] - borders[a])
-                sets = [h[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [chosen.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "shingles"]
-                )
+def _signed(
+    batches: Iterator[pa.RecordBatch], words: int, similarity: Fraction, wanted: np.ndarray | None
+) -> Iterator[pa.RecordBatch]:
+    """A row for each signature whose cell is in the bitmap ``wanted``; for all without one."""
+    for batch in batches:
+        seen: set[bytes] = set()
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for a, b, h, ends in _sets_of(batch.column(1), words):
+            carries = np.zeros(b - a, bool)
+            for i, key in enumerate(map(bytes, _digests(h, ends))):
+                carries[i] = key not in seen
+                seen.add(key)
+            found, row = signatures(h, ends, similarity)
+            mine = carries[row]
+            if wanted is not None:
+                mine &= _marked(wanted, found & np.uint64(CELLS - 1))
+            row = row[mine]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found[mine].view(np.int64)),
+                    pa.array(ids[a:b][row], pa.int64()),
+                    pa.array(np.diff(ends)[row], pa.int64()),
+                ],
+                ["signature", "doc_id", "n_shingles"],
+            )
 
-    return rows
 
+def _set_rows(batches: Iterator[pa.RecordBatch], words: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sets of documents whose cell is in the bitmap."""
+    for batch in batches:
+        cell = batch.column(2).to_numpy(zero_copy_only=False)
+        chosen = batch.filter(pa.array(_marked(wanted, cell)))
+        for a, b, h, ends in _sets_of(chosen.column(1), words):
+            sets = [h[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [chosen.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "shingles"]
+            )
 
-def _cell(id: str):
-    return F.pmod(F.xxhash64(id), F.lit(CELLS)) + 1  # bitmap buckets hold 1..32768, and so on
 
+def _marked(bitmap: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    cell = cell.astype(np.int64)
+    return (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """One bit for each cell that an id falls in: half a megabyte, however many ids there are."""
-    cell = _cell("doc_id")
+
+def _bitmap(cells: DataFrame):
+    """Broadcast bitmap of the one column of ``cells``, numbers below ``CELLS``."""
+    cell = F.col(cells.columns[0]) + 1  # the functions number their bits from 1
     parts = (
-        ids.groupBy(F.bitmap_bucket_number(cell).alias("bucket"))
+        cells.groupBy(F.bitmap_bucket_number(cell).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits"))
         .collect()
     )
-    cells = np.zeros(CELLS // 8, np.uint8)
+    bitmap = np.zeros(CELLS // 8, np.uint8)
     for r in parts:
         bits = np.frombuffer(r["bits"], np.uint8)
-        cells[(r["bucket"] - 1) * len(bits) : r["bucket"] * len(bits)] = bits
-    return cells
+        bitmap[(r["bucket"] - 1) * len(bits) : r["bucket"] * len(bits)] = bits
+    return cells.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _cell(id: str) -> Column:
+    return F.pmod(F.xxhash64(id), F.lit(CELLS))
 
 
 def _compared(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterator[pa.RecordBatch]:
@@ -195,10 +234,13 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterat
     centre, own = None, None
     for batch in batches:
         a, b = [], []
-        for x, salt, member, shingles in zip(*[c.to_pylist() for c in batch.columns]):
-            shingles = np.frombuffer(shingles, np.uint64)
+        sets = batch.column(3).cast(pa.large_binary())
+        _, ends, data = sets.buffers()
+        ends = np.frombuffer(ends, np.int64)[sets.offset :]
+        for i, (x, salt, member) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(3)])):
+            shingles = np.frombuffer(data, np.uint64, (ends[i + 1] - ends[i]) // 8, ends[i])
             if member is None:
-                centre, own = (x, salt), shingles
+                centre, own = (x, salt), shingles.copy()
             elif centre == (x, salt):
                 spot = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
                 common = int(np.count_nonzero(own[spot] == shingles))
@@ -208,20 +250,79 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """The stored pairs ``(a, b)`` whose sets reach the similarity.
+def _block_pairs(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterator[pa.RecordBatch]:
+    """Rows come by signature and pair of blocks; pairs of sets that the sketch cannot tell apart come out."""
+
+    def compared(block: list) -> tuple[list, list]:
+        docs, own, parts, sizes, sketches = zip(*block)
+        docs, own, parts, n = (np.array(x) for x in (docs, own, parts, sizes))
+        sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(n), SKETCH).astype(np.int16)
+        a, b = [], []
+        for i in range(len(n) - 1):
+            rest = np.arange(i + 1, len(n))
+            rest = rest[(parts[rest] != parts[i]) & ((own[rest] != own[i]) | one)]
+            small, large = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
+            rest = rest[small * similarity.denominator >= large * similarity.numerator]
+            differ = np.abs(sketch[rest] - sketch[i]).sum(1, dtype=np.int64)
+            limit = (similarity.denominator - similarity.numerator) * (n[i] + n[rest])
+            near = docs[rest[differ * (similarity.denominator + similarity.numerator) <= limit]]
+            a += np.minimum(near, docs[i]).tolist()
+            b += np.maximum(near, docs[i]).tolist()
+        return a, b
+
+    now, block, one = None, [], True
+    for batch in batches:
+        a, b = [], []
+        for signature, low, high, *row in zip(*[c.to_pylist() for c in batch.columns]):
+            if now != (signature, low, high):
+                for x, more in zip((a, b), compared(block) if block else ([], [])):
+                    x += more
+                now, block, one = (signature, low, high), [], low == high
+            block.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    if block:
+        a, b = compared(block)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _still_apart(members: DataFrame, part_of: DataFrame, found: DataFrame, similarity: Fraction) -> DataFrame:
+    """Pairs that share a signature, lie in two components and may be linked.
+
+    A signature's sets are cut into blocks; each block meets each block in a task of its own.
+    """
+    named = members.join(part_of, F.col("doc_id") == F.col("vertex"), "left")
+    named = named.select("signature", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    named = written(named, "named-members")
+    parts = named.groupBy("signature").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")
+    )
+    open_signatures = parts.where("x < y").select("signature", "blocks")
+    apart = named.join(open_signatures, "signature").join(found.select("doc_id", "sketch"), "doc_id")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    paired = apart.withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    )
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    dealt = paired.select("signature", low, high, "doc_id", "own", "component", "n_shingles", "sketch")
+    dealt = dealt.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
+    return dealt.mapInArrow(lambda batches: _block_pairs(batches, similarity), "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets reach the similarity, as a stored table.
 
     Sets are made from the texts once more, only for the documents of pairs. A centre with many
     members has them dealt out to several tasks, 256 or so to each.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    cells = rows.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    wanted = _bitmap(ids.select(_cell("doc_id")))
     sets = rows.select("doc_id", "text", _cell("doc_id").alias("cell")).mapInArrow(
-        lambda batches: _set_rows(cells.value)(batches), "doc_id long, shingles binary"
+        lambda batches: _set_rows(batches, words, wanted.value), "doc_id long, shingles binary"
     )
     sets = written(only(sets, ids.distinct(), "doc_id"), "shingle-sets")
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
-    salted = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEMBERS).alias("salts"))
+    sizes = written(sizes, "centres")
+    salted = join_groups(pairs, sizes, "a", "n").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     members = salted.join(sets, F.col("b") == F.col("doc_id")).select("a", "salt", "b", "shingles")
     centres = (
         sizes.join(sets, F.col("a") == F.col("doc_id"))
@@ -232,71 +333,85 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: Fraction = SIMILARIT
     return written(dealt.mapInArrow(lambda batches: _compared(batches, similarity), "a long, b long"), "verified")
 
 
-def _candidates(members: DataFrame, low: str, high: str) -> DataFrame:
-    return members.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b")).where("a < b")
+def _pairs(members: DataFrame, x: str, y: str) -> DataFrame:
+    return members.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b")
+
+
+def _possible(pairs: DataFrame, found: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs that sizes and sketches allow to be linked."""
 
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above, below = similarity.numerator, similarity.denominator
+        for batch in batches:
+            m, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            x, y = (
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+                for i in (4, 5)
+            )
+            differ = np.abs(x - y).sum(1, dtype=np.int64)
+            yes = (np.minimum(m, n) * below >= np.maximum(m, n) * above) & (
+                differ * (below + above) <= (below - above) * (m + n)
+            )
+            yield batch.select([0, 1]).filter(pa.array(yes))
 
-def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``: the smallest id that links lead to."""
+    described = found.select("doc_id", "n_shingles", "sketch")
+    both = pairs.join(described.toDF("a", "m", "x"), "a").join(described.toDF("b", "n", "y"), "b")
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(kept, "a long, b long")
+
+
+def similar_groups(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    words: int = WORDS,
+    similarity: Fraction = SIMILARITY,
+) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``: the smallest id that links lead to.
+
+    The texts are read once for digests and sketches, twice for signatures (all of them to count
+    them, then only shared ones) and once or twice for the sets to be compared, so that neither sets
+    nor signatures are stored for documents that have no partner.
+    """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = rows.mapInArrow(
-        _signed, "doc_id long, n_shingles long, digest binary, carries boolean, signatures array<long>"
+    found = written(
+        rows.mapInArrow(
+            lambda batches: _described(batches, words), "doc_id long, n_shingles long, digest binary, sketch binary"
+        ),
+        "described",
     )
-    found = written(found, "signatures")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = found.where(linkable).groupBy("digest")
     classes = written(classes.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("size")), "classes")
 
-    # Sets that share a signature; most signatures have one set only.
-    carriers = found.where(F.col("carries") & linkable)
-    signed = carriers.select(F.explode("signatures").alias("signature"), "doc_id", "n_shingles")
-    ends = signed.groupBy("signature").agg(
+    def signed(wanted=None) -> DataFrame:
+        return rows.where("doc_id IS NOT NULL").mapInArrow(
+            lambda batches: _signed(batches, words, similarity, wanted and wanted.value),
+            "signature long, doc_id long, n_shingles long",
+        )
+
+    # Most signatures have one set only; the others' rows are made once more.
+    ends = signed().groupBy("signature").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")
     )
     shared = written(ends.where("n > 1"), "shared-signatures")
-    members = written(signed.join(shared.where("n > 2").drop("n"), "signature"), "members")
+    larger = shared.where("n > 2").drop("n")
+    wanted = _bitmap(larger.select(F.col("signature").bitwiseAND(F.lit(CELLS - 1))))
+    members = written(signed(wanted).join(larger, "signature"), "members")
     stars = (
-        _candidates(shared, "low", "high")
-        .unionByName(_candidates(members, "low", "doc_id"))
-        .unionByName(_candidates(members, "doc_id", "high"))
+        _pairs(shared, "low", "high")
+        .unionByName(_pairs(members, "low", "doc_id"))
+        .unionByName(_pairs(members, "doc_id", "high"))
         .distinct()
     )
-    stars = written(_of_near_size(stars, found), "stars")
-    links = verified(stars, rows)
-
-    # Rows that carry one set are joined to the set's first row.
-    several = carriers.join(classes.where("size > 1"), "digest")
-    equal = several.where("doc_id != first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
-    linked = written(links.unionByName(equal), "links")
-    part_of = components(linked)
-
-    # Sets of one signature that are still apart.
-    named = members.select("signature", "doc_id", "n_shingles").join(
-        part_of, F.col("doc_id") == F.col("vertex"), "left"
-    )
-    named = written(
-        named.select("signature", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")),
-        "named-members",
-    )
-    parts = named.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    apart = written(named.join(parts.where("x < y").select("signature"), "signature", "left_semi"), "apart")
-    left, right = apart.alias("l"), apart.alias("r")
-    more = (
-        left.join(
-            right,
-            (F.col("l.signature") == F.col("r.signature"))
-            & (F.col("l.doc_id") < F.col("r.doc_id"))
-            & (F.col("l.component") != F.col("r.component"))
-            & (F.least("l.n_shingles", "r.n_shingles") * SIMILARITY.denominator
-               >= F.greatest("l.n_shingles", "r.n_shingles") * SIMILARITY.numerator),
-        )
-        .select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    stars = written(_possible(stars, found, similarity), "stars")
+    links = verified(stars, rows, words, similarity)
+    part_of = components(_with_copies(links, found, classes))
+
+    more = _still_apart(members.drop("low", "high"), part_of, found, similarity).join(stars, ["a", "b"], "left_anti")
     more = written(more, "more-pairs")
     if not more.isEmpty():
-        part_of = components(linked.unionByName(verified(more, rows)))
+        links = links.unionByName(verified(more, rows, words, similarity))
+        part_of = components(_with_copies(links, found, classes))
 
     first = classes.join(part_of, F.col("first_id") == F.col("vertex"), "left").select(
         "digest", "size", F.coalesce("component", "first_id").alias("component_id")
@@ -308,15 +423,21 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     return full.unionByName(alone, allowMissingColumns=True).select("doc_id", "n_shingles", "component_id")
 
 
-def _of_near_size(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    sizes = found.select("doc_id", "n_shingles")
-    both = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b")
-    near = F.least("m", "n") * SIMILARITY.denominator >= F.greatest("m", "n") * SIMILARITY.numerator
-    return both.where(near).select("a", "b")
+def _with_copies(links: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links, and one from each linked document to the first with an equal set."""
+    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
+    equal = found.select("doc_id", "digest").join(ends, "doc_id").join(classes, "digest")
+    equal = equal.where("doc_id != first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
+    return links.unionByName(equal)
 
 
-def first_of_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_groups(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    words: int = WORDS,
+    similarity: Fraction = SIMILARITY,
+) -> DataFrame:
     """The documents that stay, with all their columns: of each group the smallest id; all without an id."""
-    groups = similar_groups(docs, id, text)
+    groups = similar_groups(docs, id, text, words, similarity)
     return only(docs, groups.where("doc_id <=> component_id").select("doc_id"), id)

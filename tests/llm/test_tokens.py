@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -16,9 +17,13 @@ from labelkite.shared import fresh_path
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
+@cache
+def library(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def ids_of(name, texts):
-    full = Tokenizer.from_file(public_tokenizers.path(name))
-    return [e.ids for e in full.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return [e.ids for e in library(name).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def encoded(coder, texts, most=1 << 20):
