@@ -52,9 +52,13 @@ def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, classes: list[str]) -> DataFrame:
     """One row for each actual class, one column ``p_<class>`` for each predicted one, zeros filled.
 
-    Each row of the data gives a count to its own cell; the grid rows add the empty classes.
+    Each row of the data gives a count to its own cell; the grid rows add the empty classes. A
+    predicted class that is not among ``classes`` stops the job.
     """
     counts = confusion_counts(df, actual, predicted)
+    unknown = F.col("predicted").isNotNull() & ~F.col("predicted").isin(*classes)
+    stop = F.raise_error(F.concat(F.lit("unknown class: "), F.col("predicted").cast("string")))
+    counts = counts.withColumn("n", F.when(unknown, stop.cast("long")).otherwise(F.col("n")))
     grid = df.sparkSession.createDataFrame([(c,) for c in classes], "actual string").withColumns(
         {"predicted": F.lit(None).cast("string"), "n": F.lit(0).cast("long")}
     )

@@ -22,10 +22,10 @@ def doc_freq(docs: DataFrame, tokens: str = "tokens", min_doc_freq: int = 2) ->
     )
 
 
-def class_sizes(docs: DataFrame, label: str = "label") -> dict[str, int]:
-    """Documents of each class, in class order; the number of classes is checked."""
+def class_sizes(docs: DataFrame, label: str = "label", max_classes: int = MAX_CLASSES) -> dict[str, int]:
+    """Documents of each class, in class order; more than ``max_classes`` raise."""
     sizes = docs.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    rows = small_rows(sizes, MAX_CLASSES, "classes")
+    rows = small_rows(sizes, max_classes, "classes")
     return {r[0]: r[1] for r in sorted(rows, key=lambda r: r[0])}
 
 

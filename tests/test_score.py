@@ -62,3 +62,9 @@ def test_buckets(spark, rows):
     assert [tuple(r) for r in score.top_terms(df, "o", 2).collect()] == [("b", 4), ("a", 3)]
     got = rows(score.nested_terms(df, "o", "i", 2), "o", "i", "n", "rank")
     assert got == [("a", 1, 3, 1), ("b", 1, 2, 1), ("b", 2, 2, 2)]
+
+
+def test_an_unknown_predicted_class_stops_the_matrix(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "c")], "label string, predicted string")
+    with pytest.raises(Exception, match="unknown class"):
+        score.confusion_matrix(df, "label", "predicted", ["a", "b"]).collect()
