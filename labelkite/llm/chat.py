@@ -124,9 +124,7 @@ def format_conversations(
         F.coalesce(F.col(text), empty).alias("text"),
     )
     ordered = ordered.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(
-        lambda batches: rendered(batches), CHUNKS
-    )
+    return ordered.select("conv_id", "role", "text").mapInArrow(rendered, CHUNKS)
 
 
 def _recovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ own band, and those of the next if it is large enough to be linked with a set th
 Links are found in two rounds. First each signature's smallest and largest set are compared with all
 its other sets (stars, not pairs). Then sets that share a signature and are not yet in one component
 are compared in blocks inside a task, by a sketch: counts of shingles by hash cell, whose distance is
-never above the number of differing shingles. Only pairs that the sketch cannot tell apart come out.
+never above the number of differing shingles. Only pairs that the sketch cannot tell apart come out, and
+a sketch of more cells looks at those again.
 Every link is verified on the full sets of 64-bit hashes of the whole texts. Copies are one set: only
 the first row of a set in an Arrow batch carries signatures.
 
@@ -42,7 +43,7 @@ SUBPARTS = 3
 SLICE_BYTES = 1 << 19  # of texts at a time; their hashes take some fifty times as much
 MEMBERS = 256  # sets that are compared with one copy of a star's centre
 BLOCK = 512  # sketches of a signature that are compared with one block of others
-SKETCH = 256  # cells of a sketch
+SKETCH, SMALL = 256, 64  # cells of a sketch, and of the one that goes along with a signature
 CELLS = 1 << 24  # of a bitmap of keys that are needed at all: two megabytes, however many keys there are
 
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -153,15 +154,18 @@ def _described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
     for batch in batches:
         for a, b, h, ends in _sets_of(batch.column(1), words):
             keys = [d.tobytes() for d in _digests(h, ends)]
-            sketches = [x.tobytes() for x in _sketches(h, ends)]
+            sketches = _sketches(h, ends)
+            folded = sketches.reshape(-1, SMALL, SKETCH // SMALL).sum(2, dtype=np.int64)
+            small = np.minimum(folded, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
                     pa.array(np.diff(ends), pa.int64()),
                     pa.array(keys, pa.binary()),
-                    pa.array(sketches, pa.binary()),
+                    pa.array([x.tobytes() for x in sketches], pa.binary()),
+                    pa.array([x.tobytes() for x in small], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                ["doc_id", "n_shingles", "digest", "sketch", "small"],
             )
 
 
@@ -256,7 +260,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Ite
     def compared(block: list) -> tuple[list, list]:
         docs, own, parts, sizes, sketches = zip(*block)
         docs, own, parts, n = (np.array(x) for x in (docs, own, parts, sizes))
-        sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(n), SKETCH).astype(np.int16)
+        sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(n), SMALL).astype(np.int16)
         a, b = [], []
         for i in range(len(n) - 1):
             rest = np.arange(i + 1, len(n))
@@ -288,24 +292,28 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Ite
 def _still_apart(members: DataFrame, part_of: DataFrame, found: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs that share a signature, lie in two components and may be linked.
 
-    A signature's sets are cut into blocks; each block meets each block in a task of its own.
+    Many signatures have the same sets: one of them is enough, and two hashes of its sets tell which are
+    the same. A signature's sets are cut into blocks; each block meets each block in a task of its own.
     """
     named = members.join(part_of, F.col("doc_id") == F.col("vertex"), "left")
     named = named.select("signature", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     named = written(named, "named-members")
+    own_hash = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"sets{i}") for i in (1, 2)]
     parts = named.groupBy("signature").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), *own_hash
     )
-    open_signatures = parts.where("x < y").select("signature", "blocks")
-    apart = named.join(open_signatures, "signature").join(found.select("doc_id", "sketch"), "doc_id")
+    distinct = parts.where("x < y").groupBy("sets1", "sets2", "n").agg(F.min("signature").alias("signature"))
+    open_signatures = distinct.select("signature", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    apart = named.join(open_signatures, "signature").join(found.select("doc_id", "small"), "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     paired = apart.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     )
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    dealt = paired.select("signature", low, high, "doc_id", "own", "component", "n_shingles", "sketch")
+    dealt = paired.select("signature", low, high, "doc_id", "own", "component", "n_shingles", "small")
     dealt = dealt.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
-    return dealt.mapInArrow(lambda batches: _block_pairs(batches, similarity), "a long, b long").distinct()
+    pairs = dealt.mapInArrow(lambda batches: _block_pairs(batches, similarity), "a long, b long").distinct()
+    return _possible(pairs, found, similarity)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: Fraction) -> DataFrame:
@@ -375,7 +383,8 @@ def similar_groups(
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = written(
         rows.mapInArrow(
-            lambda batches: _described(batches, words), "doc_id long, n_shingles long, digest binary, sketch binary"
+            lambda batches: _described(batches, words),
+            "doc_id long, n_shingles long, digest binary, sketch binary, small binary",
         ),
         "described",
     )

@@ -39,9 +39,3 @@ def only(docs: DataFrame, ids: DataFrame, id: str) -> DataFrame:
     """The documents whose id is in the one column of ``ids``; a null id matches a null."""
     name = free_name(docs, "wanted")
     return docs.join(ids.toDF(name), F.col(id).eqNullSafe(F.col(name)), "left_semi")
-
-
-def without(docs: DataFrame, ids: DataFrame, id: str) -> DataFrame:
-    """The documents whose id is not in the one column of ``ids``; a null id matches a null."""
-    name = free_name(docs, "unwanted")
-    return docs.join(ids.toDF(name), F.col(id).eqNullSafe(F.col(name)), "left_anti")
