@@ -413,11 +413,14 @@ def similar_groups(
         .distinct()
     )
     stars = written(_possible(stars, found, similarity), "stars")
-    links = verified(stars, rows, words, similarity)
-    part_of = components(_with_copies(links, found, classes))
-
-    more = _still_apart(members.drop("low", "high"), part_of, found, similarity).join(stars, ["a", "b"], "left_anti")
-    more = written(more, "more-pairs")
+    # One centre for each document first: the others are compared only if that leaves them apart.
+    first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    links = verified(first, rows, words, similarity)
+    part_of = written(components(_with_copies(links, found, classes)), "parts")
+
+    other = _apart(stars.join(first, ["a", "b"], "left_anti"), part_of)
+    more = _still_apart(members.drop("low", "high"), part_of, found, similarity)
+    more = written(more.unionByName(other).distinct().join(first, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
         links = links.unionByName(verified(more, rows, words, similarity))
         part_of = components(_with_copies(links, found, classes))
@@ -432,6 +435,12 @@ def similar_groups(
     return full.unionByName(alone, allowMissingColumns=True).select("doc_id", "n_shingles", "component_id")
 
 
+def _apart(pairs: DataFrame, part_of: DataFrame) -> DataFrame:
+    """The pairs whose documents lie in two components."""
+    both = pairs.join(part_of.toDF("a", "x"), "a", "left").join(part_of.toDF("b", "y"), "b", "left")
+    return both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def _with_copies(links: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
     """The links, and one from each linked document to the first with an equal set."""
     ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
