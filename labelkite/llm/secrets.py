@@ -1,7 +1,7 @@
 """Secrets in texts: patterns of known forms, and a battery of randomness tests on other strings.
 
 The known forms are three patterns. The battery looks at every other long string of letters, digits
-and ``+/_-=`` that has a digit. Its encoding is inferred (hex, base 32, base 36, base 64), and three
+and ``+/_-`` that has a digit; ``=`` ends a string, so the value of ``NAME=VALUE`` is one of its own. Its encoding is inferred (hex, base 32, base 36, base 64), and three
 tests say how well it looks like independent, even draws from that alphabet: chi-squared of the
 character counts, runs above and below the middle of the alphabet, and serial correlation. Each gives a
 z-score of the departure from randomness, and the score is the largest.
@@ -37,7 +37,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 KINDS = ["assign", "access", "hex", "random"]
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+# With up to six signs of padding, as base 32 has; after another "=" the next string begins.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,6}")
 LETTERS = re.compile(r"[A-Za-z]+")
 LENGTHS = np.array([20, 24, 28, 32, 40, 48, 64, 96, 128])  # first length of each class
 LONGEST = 256  # characters of a string that are tested

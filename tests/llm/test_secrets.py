@@ -73,6 +73,22 @@ def test_the_battery_finds_random_strings(spark, planted):
     assert got[None] == [(0, 0, 12)] and got[500] == got[501] == []
 
 
+def test_the_value_after_a_name_is_found(spark):
+    names = ["AWS_SECRET_ACCESS_KEY", "sig", "PRIVATE_KEY"]
+    rows, secrets = [(i, prose(120)) for i in range(400)], {}
+    for i in range(0, 400, 8):
+        secrets[i] = "7" + secret(40)[1:] + ("==" if i % 16 else "")
+        rows[i] = (i, f"{rows[i][1]} {names[i % 3]}={secrets[i]} {prose(30)}")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = dict(rows)
+    got = S.spans(docs, S.thresholds(docs)).collect()
+    added = {r["doc_id"]: [texts[r["doc_id"]][a:b] for a, kind, b in r["spans"] if kind == 3] for r in got}
+    assert sum(added[i] == [s] for i, s in secrets.items()) >= 0.9 * len(secrets)
+    assert not any(added[i] for i in added if i not in secrets)
+    padded = "MFRGG43UNRUW4ZZAORSXQ5BAMZXXE===="
+    assert [c[:2] for c in S.candidates(f"a {padded} b")] == [(2, 2 + len(padded))]
+
+
 def test_nothing(spark, no_documents):
     assert S.spans(no_documents, S.thresholds(no_documents)).count() == 0
     docs = spark.createDataFrame([(1, "plain words")], "doc_id long, text string")
