@@ -7,8 +7,8 @@ character counts, runs above and below the middle of the alphabet, and serial co
 z-score of the departure from randomness, and the score is the largest.
 
 A short string of ordinary text can pass such tests by luck, so a score is compared with ordinary text
-of the same length: the letters of each document's own words, put together to strings of that length
-and tested in the same way. The share of ordinary strings that look at least as random is the
+of the same length: the letters of each document's own words, all of them but those of the strings that
+are tested themselves, cut into consecutive strings of that length and tested in the same way. The share of ordinary strings that look at least as random is the
 candidate's p-value, and the Benjamini-Hochberg rule over all candidates keeps the share of false
 discoveries below ``rate``. Both distributions are counts by length class and score, over all
 documents; only these counts, at most some thousands, reach the driver.
@@ -39,11 +39,12 @@ KINDS = ["assign", "access", "hex", "random"]
 
 # With up to six signs of padding, as base 32 has; after another "=" the next string begins.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,6}")
-LETTERS = re.compile(r"[A-Za-z]+")
+NOT_LETTERS = bytes(c for c in range(256) if not (c < 128 and chr(c).isalpha()))
 LENGTHS = np.array([20, 24, 28, 32, 40, 48, 64, 96, 128])  # first length of each class
 LONGEST = 256  # characters of a string that are tested
 SCORES = 64  # score classes of 1/8 each
 RATE = 0.01
+POOL = 1 << 18  # characters whose strings are scored at a time
 
 # The alphabets, in order.
 ALPHABETS = {
@@ -54,6 +55,31 @@ ALPHABETS = {
 }
 
 
+def _tables() -> tuple[np.ndarray, list[tuple[np.ndarray, int, int]]]:
+    """By character code: bits of the alphabets it is in; and for each alphabet its places, its bits and its size.
+
+    Hex and base 36 are in one case, either one: they have a bit for each.
+    """
+    fits, places = np.zeros(256, np.uint8), []
+    bit = 1
+    for name, letters in ALPHABETS.items():
+        place, bits = np.zeros(256, np.int32), 0
+        for t in (letters, letters.upper()) if name in ("hex", "base36") else (letters,):
+            codes = np.frombuffer(t.encode(), np.uint8)
+            fits[codes] |= bit
+            place[codes] = np.arange(len(codes))
+            bits, bit = bits | bit, bit << 1
+        places.append((place, bits, len(letters)))
+    for a, b in (("-", "+"), ("_", "/")):
+        fits[ord(a)] = fits[ord(b)]
+        for place, _, _ in places:
+            place[ord(a)] = place[ord(b)]
+    return fits, places
+
+
+FITS, PLACES = _tables()
+
+
 def symbols(s: str) -> tuple[np.ndarray, int] | None:
     """The string as numbers in the smallest alphabet that has all its characters, and the alphabet's size."""
     s = s.rstrip("=").replace("-", "+").replace("_", "/")[:LONGEST]
@@ -65,29 +91,51 @@ def symbols(s: str) -> tuple[np.ndarray, int] | None:
     return None
 
 
-def departure(x: np.ndarray, m: int) -> float:
-    """The largest of three z-scores that say how far from even, independent draws of 0..m-1 this is."""
-    n = len(x)
+def departures(x: np.ndarray, m: int) -> np.ndarray:
+    """For each row the largest of three z-scores that say how far from even, independent draws of 0..m-1 it is."""
+    rows, n = x.shape
     if n < 8:
-        return float("inf")
-    counts = np.bincount(x, minlength=m)
+        return np.full(rows, np.inf)
+    counts = np.bincount((x + m * np.arange(rows)[:, None]).ravel(), minlength=rows * m).reshape(rows, m)
     expected = n / m
-    chi = float(((counts - expected) ** 2).sum() / expected)
+    chi = ((counts - expected) ** 2).sum(1) / expected
     free = m - 1
     # Wilson and Hilferty: the cube root of chi-squared is about normal.
     z_even = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5
     high = x >= m / 2
-    a = int(high.sum())
+    a = high.sum(1)
     b = n - a
-    if a == 0 or b == 0:
-        return float("inf")
     mean = 2 * a * b / n + 1
-    spread = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
-    z_runs = abs(1 + int((high[1:] != high[:-1]).sum()) - mean) / spread**0.5
-    centred = x - x.mean()
-    square = float((centred**2).sum())
-    z_serial = abs(float((centred[1:] * centred[:-1]).sum()) / square * n**0.5) if square else float("inf")
-    return max(z_even, z_runs, z_serial)
+    spread = np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+    z_runs = np.abs(1 + (high[:, 1:] != high[:, :-1]).sum(1) - mean) / spread**0.5
+    # The sums of the serial correlation, times n: whole numbers.
+    total, x64 = counts @ np.arange(m), x.astype(np.int64)
+    square = n * (counts @ np.arange(m) ** 2) - total**2
+    ends = x64[:, 0] + x64[:, -1]
+    pairs = n * (x64[:, 1:] * x64[:, :-1]).sum(1) - total * (2 * total - ends) + (n - 1) * total**2 / n
+    z_serial = np.abs(pairs) / np.maximum(square, 1) * n**0.5
+    z = np.maximum(np.maximum(z_even, z_runs), z_serial)
+    return np.where((a == 0) | (b == 0) | (square == 0), np.inf, z)
+
+
+def departure(x: np.ndarray, m: int) -> float:
+    return float(departures(np.asarray(x)[None], m)[0])
+
+
+def score_classes(strings: np.ndarray) -> np.ndarray:
+    """Class of the departure of each row of characters, 0 the most random; -1 if it fits no alphabet."""
+    out = np.full(len(strings), -1, np.int8)
+    step = max(1, POOL // max(1, strings.shape[1]))
+    for start in range(0, len(strings), step):
+        part = strings[start : start + step]
+        fits = np.bitwise_and.reduce(FITS[part], 1)
+        for place, bits, m in PLACES:
+            rows = np.flatnonzero(fits & bits)
+            fits[rows] = 0
+            if len(rows):
+                d = departures(place[part[rows]], m)
+                out[start + rows] = np.minimum(np.maximum(d, 0.0) * 8, SCORES - 1).astype(np.int8)
+    return out
 
 
 def score_class(s: str) -> int | None:
@@ -129,31 +177,42 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     return [f for f in found if not any(a < f[1] and f[0] < b for a, _, b in known)]
 
 
-def ordinary(text: str) -> list[tuple[int, int]]:
-    """``(length class, score class)`` of one string of ordinary letters for each length class."""
-    letters, found = "", []
-    for m in LETTERS.finditer(text):
-        letters += m[0]
-        if len(letters) >= LENGTHS[-1]:
-            break
+def ordinary_letters(text: str) -> bytes:
+    """The letters of the whole text, without the strings that are tested themselves."""
+    parts, end = [], 0
+    for m in CANDIDATE.finditer(text):
+        if any(c.isdigit() for c in m[0]):
+            parts.append(text[end : m.start()])
+            end = m.end()
+    parts.append(text[end:])
+    return "".join(parts).encode("utf-8", "replace").translate(None, NOT_LETTERS)
+
+
+def ordinary_counts(letters: list[bytes]) -> np.ndarray:
+    """Counts by (length class, score class) of the consecutive strings of each length of each text's letters."""
+    counts = np.zeros((len(LENGTHS), SCORES), np.int64)
     for k, n in enumerate(LENGTHS.tolist()):
-        if len(letters) >= n:
-            score = score_class(letters[:n])
-            if score is not None:
-                found.append((k, score))
-    return found
+        strings = np.frombuffer(b"".join(x[: len(x) // n * n] for x in letters), np.uint8).reshape(-1, n)
+        scores = score_classes(strings)
+        counts[k] += np.bincount(scores[scores >= 0], minlength=SCORES)
+    return counts
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of candidates (0) and ordinary strings (1) by length and score class, one set for a task."""
     counts = np.zeros((2, len(LENGTHS), SCORES), np.int64)
+    letters, held = [], 0
     for batch in batches:
         for text in batch.column(0):
             text = text.as_py()
             for _, _, k, score in candidates(text):
                 counts[0, k, score] += 1
-            for k, score in ordinary(text):
-                counts[1, k, score] += 1
+            letters.append(ordinary_letters(text))
+            held += len(letters[-1])
+            if held >= POOL or len(letters) >= POOL:
+                counts[1] += ordinary_counts(letters)
+                letters, held = [], 0
+    counts[1] += ordinary_counts(letters)
     what, k, score = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays(
         [pa.array(x, pa.int32()) for x in (what, k, score)] + [pa.array(counts[what, k, score])],

@@ -89,6 +89,37 @@ def test_the_value_after_a_name_is_found(spark):
     assert [c[:2] for c in S.candidates(f"a {padded} b")] == [(2, 2 + len(padded))]
 
 
+def test_ordinary_text_is_the_whole_text(spark):
+    while True:  # a header that looks random where a string of 40 letters begins
+        words = [re.sub("[^A-Za-z]", "", secret(48))[:8] for _ in range(20)]
+        if S.score_class("".join(words)[:40]) <= 2:
+            break
+    header = " ".join(words)
+    rows = [(i, f"{header if i % 3 == 0 else ''} {prose(1500)}") for i in range(300)]
+    secrets = {i: "7" + secret(40)[1:] for i in range(0, 300, 5)}
+    rows = [(i, f"{t} {secrets[i]} end" if i in secrets else t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = dict(rows)
+    got = S.spans(docs, S.thresholds(docs)).collect()
+    added = {r["doc_id"]: [texts[r["doc_id"]][a:b] for a, kind, b in r["spans"] if kind == 3] for r in got}
+    assert sum(added[i] == [s] for i, s in secrets.items()) >= 0.9 * len(secrets)
+    assert not any(added[i] for i in added if i not in secrets)
+
+
+def test_every_letter_is_counted_once_for_each_length():
+    texts = [f"é {prose(700)} 12 {prose(3)}", "", "ab", f"{prose(40)} {secret(40)}1 {prose(40)}"]
+    letters = [re.sub("[^A-Za-z]", "", t) for t in texts[:3]]
+    letters.append(re.sub("[^A-Za-z]", "", " ".join(w for w in texts[3].split() if not any(map(str.isdigit, w)))))
+    assert [S.ordinary_letters(t).decode() for t in texts] == letters
+    counts = S.ordinary_counts([S.ordinary_letters(t) for t in texts])
+    want = np.zeros_like(counts)
+    for t in letters:
+        for k, n in enumerate(S.LENGTHS.tolist()):
+            for i in range(0, len(t) - n + 1, n):
+                want[k, S.score_class(t[i : i + n])] += 1
+    assert (counts == want).all() and want[0].sum() > 200
+
+
 def test_nothing(spark, no_documents):
     assert S.spans(no_documents, S.thresholds(no_documents)).count() == 0
     docs = spark.createDataFrame([(1, "plain words")], "doc_id long, text string")
