@@ -6,6 +6,10 @@ tests say how well it looks like independent, even draws from that alphabet: chi
 character counts, runs above and below the middle of the alphabet, and serial correlation. Each gives a
 z-score of the departure from randomness, and the score is the largest.
 
+A string of more than 128 characters is tested in overlapping stretches of each class length, from its
+start to its end, and those that pass are united: a secret after or before ordinary characters of the same
+run is found, and of these only what shares a stretch with it is marked.
+
 A short string of ordinary text can pass such tests by luck, so a score is compared with ordinary text
 of the same length: the letters of each document's own words, all of them but those of the strings that
 are tested themselves, cut into consecutive strings of that length and tested in the same way. The share of ordinary strings that look at least as random is the
@@ -20,7 +24,7 @@ empty table, or one without candidates, gives no added spans. Other columns are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,7 @@ KINDS = ["assign", "access", "hex", "random"]
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,6}")
 NOT_LETTERS = bytes(c for c in range(256) if not (c < 128 and chr(c).isalpha()))
 LENGTHS = np.array([20, 24, 28, 32, 40, 48, 64, 96, 128])  # first length of each class
-LONGEST = 256  # characters of a string that are tested
+WHOLE = 1 << 20  # what a string counts, shared by its stretches
 SCORES = 64  # score classes of 1/8 each
 RATE = 0.01
 POOL = 1 << 18  # characters whose strings are scored at a time
@@ -82,7 +86,7 @@ FITS, PLACES = _tables()
 
 def symbols(s: str) -> tuple[np.ndarray, int] | None:
     """The string as numbers in the smallest alphabet that has all its characters, and the alphabet's size."""
-    s = s.rstrip("=").replace("-", "+").replace("_", "/")[:LONGEST]
+    s = s.rstrip("=").replace("-", "+").replace("_", "/")
     for name, letters in ALPHABETS.items():
         for t in (s, s.lower()) if name in ("hex", "base36") and (s.isupper() or s.islower()) else (s,):
             if set(t) <= set(letters):
@@ -122,12 +126,13 @@ def departure(x: np.ndarray, m: int) -> float:
     return float(departures(np.asarray(x)[None], m)[0])
 
 
-def score_classes(strings: np.ndarray) -> np.ndarray:
-    """Class of the departure of each row of characters, 0 the most random; -1 if it fits no alphabet."""
-    out = np.full(len(strings), -1, np.int8)
+def score_classes(strings: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
+    """Class of the departure of each (chosen) row of characters, 0 the most random; -1 if it fits no alphabet."""
+    size = len(strings) if chosen is None else len(chosen)
+    out = np.full(size, -1, np.int8)
     step = max(1, POOL // max(1, strings.shape[1]))
-    for start in range(0, len(strings), step):
-        part = strings[start : start + step]
+    for start in range(0, size, step):
+        part = strings[start : start + step] if chosen is None else strings[chosen[start : start + step]]
         fits = np.bitwise_and.reduce(FITS[part], 1)
         for place, bits, m in PLACES:
             rows = np.flatnonzero(fits & bits)
@@ -162,19 +167,83 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def stretches(s: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(length class, starts, score classes)`` of the stretches with a digit of a string above all length classes.
+
+    They have the exact lengths of the classes, begin a quarter of their length apart, and the last of
+    each length ends where the string does: each character is in stretches of each length.
+    """
+    codes = np.frombuffer(s, np.uint8)
+    digits = np.concatenate([[0], np.cumsum((codes >= ord("0")) & (codes <= ord("9")), dtype=np.int32)])
+    for k, n in enumerate(LENGTHS.tolist()):
+        starts = np.unique(np.append(np.arange(0, len(s) - n + 1, n // 4), len(s) - n))
+        starts = starts[digits[starts + n] > digits[starts]]
+        yield k, starts, score_classes(np.lib.stride_tricks.sliding_window_view(codes, n), starts)
+
+
+def tested(text: str) -> Iterator[Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """For each string with a digit its parts: ``(length class, starts, ends, score classes)``.
+
+    A string up to the longest class is one part, with its padding; a longer one is tested in stretches.
+    Parts that overlap known spans, or fit no alphabet, are left out.
+    """
+    borders = None
+    for m in CANDIDATE.finditer(text):
+        if any(c.isdigit() for c in m[0]):
+            if borders is None:
+                known = united((a, b) for a, _, b in known_spans(text))
+                borders = np.array([*known, (len(text) + 1, len(text) + 1)])
+            yield _parts(m, borders)
+
+
+def _parts(m: re.Match, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    s = m[0].rstrip("=")
+    parts, whole = stretches(s.encode()), len(s) <= LENGTHS[-1]
+    if whole:
+        score = score_class(s)
+        parts = [(length_class(len(s)), np.array([0]), np.array([-1 if score is None else score]))]
+    for k, starts, scores in parts:
+        starts = starts + m.start()
+        ends = starts + (len(s) if whole else LENGTHS[k])
+        ends[ends == m.start() + len(s)] = m.end()
+        keep = (known[np.searchsorted(known[:, 1], starts, "right"), 0] >= ends) & (scores >= 0)
+        if keep.any():
+            yield k, starts[keep], ends[keep], scores[keep]
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
-    """``(start, end, length class, score class)`` of strings with a digit, apart from known spans."""
+    """``(start, end, length class, score class)`` of all parts of the strings tested, apart from known spans."""
+    return [
+        (a, b, k, score)
+        for parts in tested(text)
+        for k, *columns in parts
+        for a, b, score in zip(*(c.tolist() for c in columns))
+    ]
+
+
+def united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, with those that overlap or touch made one."""
+    done: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if done and a <= done[-1][1]:
+            done[-1] = (done[-1][0], max(b, done[-1][1]))
+        else:
+            done.append((a, b))
+    return done
+
+
+def discoveries(text: str, limits: list[int]) -> list[tuple[int, int]]:
+    """``(start, end)`` of the strings, or of the united stretches of a string, that pass."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        kind = length_class(len(m[0].rstrip("=")))
-        if kind >= 0 and any(c.isdigit() for c in m[0]):
-            score = score_class(m[0])
-            if score is not None:
-                found.append((m.start(), m.end(), kind, score))
-    if not found:
-        return found
-    known = known_spans(text)
-    return [f for f in found if not any(a < f[1] and f[0] < b for a, _, b in known)]
+    for parts in tested(text):
+        passed = []
+        for k, starts, ends, scores in parts:
+            starts, ends = starts[scores <= limits[k]], ends[scores <= limits[k]]
+            if len(starts):
+                gap = np.flatnonzero(starts[1:] > ends[:-1]) + 1  # in order, of one length
+                passed += zip(starts[np.append(0, gap)].tolist(), ends[np.append(gap - 1, -1)].tolist())
+        found += united(passed)
+    return found
 
 
 def ordinary_letters(text: str) -> bytes:
@@ -199,14 +268,20 @@ def ordinary_counts(letters: list[bytes]) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of candidates (0) and ordinary strings (1) by length and score class, one set for a task."""
+    """Counts of candidates (0) and ordinary strings (1) by length and score class, one set for a task.
+
+    A candidate counts ``WHOLE``, or its stretches together do, so that a long one weighs as much as a short one.
+    """
     counts = np.zeros((2, len(LENGTHS), SCORES), np.int64)
     letters, held = [], 0
     for batch in batches:
         for text in batch.column(0):
             text = text.as_py()
-            for _, _, k, score in candidates(text):
-                counts[0, k, score] += 1
+            for parts in tested(text):
+                own = {k: np.bincount(scores, minlength=SCORES) for k, _, _, scores in parts}
+                n = int(sum(x.sum() for x in own.values()))
+                for k, x in own.items():
+                    counts[0, k] += max(1, WHOLE // n) * x
             letters.append(ordinary_letters(text))
             held += len(letters[-1])
             if held >= POOL or len(letters) >= POOL:
@@ -251,7 +326,7 @@ def spans(docs: DataFrame, limits: list[int], id: str = "doc_id", text: str = "t
             for value in batch.column(1):
                 content = value.as_py()
                 known = known_spans(content)
-                more = [(a, 3, b) for a, b, k, score in candidates(content) if score <= limits[k]]
+                more = [(a, 3, b) for a, b in discoveries(content, limits)]
                 out.append([{"start": a, "kind": kind, "end": b} for a, kind, b in sorted(known + more)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out, pa.list_(span))], ["doc_id", "spans"]

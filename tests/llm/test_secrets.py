@@ -120,6 +120,38 @@ def test_every_letter_is_counted_once_for_each_length():
     assert (counts == want).all() and want[0].sum() > 200
 
 
+def test_long_runs_are_tested_to_their_end(spark):
+    def joined(n):
+        return "_".join(rnd.choice(PROSE) for _ in range(n))[: 6 * n]
+
+    def blob(n):
+        return "".join(secret(400) for _ in range(n // 400 + 1))[:n]
+
+    rows, secrets = [(i, prose(300)) for i in range(400)], {}
+    for i in range(0, 400, 8):
+        before, after, size = [(joined(70), "", 40), ("", joined(120), 300), ("", "", 1000), (joined(60), joined(60), 64)][i // 8 % 4]
+        secrets[i] = len(rows[i][1]) + 1 + len(before), size
+        padding = "" if after else "=="
+        rows[i] = (i, f"{rows[i][1]} {before}{blob(size)}{after}{padding} {prose(30)}")
+    rows[1] = (1, f"{rows[1][1]} {joined(200)}_2_{joined(200)} {prose(3)}")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: [(a, b) for a, kind, b in r["spans"] if kind == 3] for r in S.spans(docs, S.thresholds(docs)).collect()}
+    for i, (start, size) in secrets.items():
+        inside = sum(max(0, min(b, start + size) - max(a, start)) for a, b in got[i])
+        assert inside >= 0.75 * size
+        assert sum(b - a for a, b in got[i]) - inside <= 192  # a passing stretch may reach over either border
+        if size == 1000:
+            assert got[i] == [(start, start + size + 2)]
+    assert not any(got[i] for i in got if i not in secrets)
+
+
+def test_what_follows_256_characters_counts():
+    assert S.symbols("0f" * 150 + "z")[1] == 36
+    assert S.symbols("0f" * 150 + "~") is None
+    last = [b for _, b, _, _ in S.candidates("x" * 300 + "12345678901234567890")]
+    assert max(last) == 320
+
+
 def test_nothing(spark, no_documents):
     assert S.spans(no_documents, S.thresholds(no_documents)).count() == 0
     docs = spark.createDataFrame([(1, "plain words")], "doc_id long, text string")
