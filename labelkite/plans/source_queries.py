@@ -184,13 +184,19 @@ def census_reader(spark, sf):
     return census.read_census(spark, path, mode="reader")
 
 
-# Chat rooms and issue threads: a conversation is a file.
+# Chat rooms and issue threads: a conversation is one or more files of a bounded number of turns.
+PAGE = 256  # turns
+WIDE = 16 * 1024  # bytes of a turn that many can have
 
 
 def conversations(spark, sf) -> DataFrame:
     return i.table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
 
 
+def turn_bytes():
+    return F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("role"), F.lit(0))
+
+
 @query(
     "rooms_json",
     """SELECT 'room' || conv_id AS room, replace(text, chr(10), ' ') AS text, role AS name, turn
@@ -198,19 +204,26 @@ FROM conversations WHERE role <> 'system'""",
 )
 def rooms_json(spark, sf):
     """Messages with a field beyond the named ones, which the whole object keeps."""
+    found = messages.parse_rooms(room_files(spark, sf))
+    turn = F.variant_get("object", "$.turn", "long")
+    line = F.regexp_replace("text", "\n", " ")
+    return found.select("room", line.alias("text"), F.col("from.name").alias("name"), turn.alias("turn"))
+
+
+def room_files(spark, sf) -> DataFrame:
+    """``(path, value)``: at most ``PAGE`` messages of a room that are read together, a wide one alone."""
     message = F.struct(
         "turn",
         F.when(F.col("role") != "system", F.col("text")).alias("message"),
         F.struct(F.col("role").alias("name")).alias("from"),
     )
-    files = conversations(spark, sf).groupBy("conv_id").agg(
+    rows = conversations(spark, sf).withColumn("row", F.monotonically_increasing_id())
+    page = F.when(turn_bytes() <= WIDE, F.floor(F.col("row") / PAGE)).otherwise(-1 - F.col("row"))
+    files = rows.withColumn("page", page).groupBy("conv_id", "page").agg(
         F.to_json(F.array_sort(F.collect_list(message))).alias("value")
     )
     path = F.concat(F.lit("/rooms/%23room%20"), "conv_id", F.lit("/day.json")).alias("path")
-    found = messages.parse_rooms(files.select(path, "value"))
-    turn = F.variant_get("object", "$.turn", "long")
-    line = F.regexp_replace("text", "\n", " ")
-    return found.select("room", line.alias("text"), F.col("from.name").alias("name"), turn.alias("turn"))
+    return files.select(path, "value")
 
 
 THREADS = """c AS (

@@ -15,6 +15,7 @@ from labelkite.functions.text import room_name
 MESSAGE = {"message": "string", "from": "struct<name: string, user_id: string>"}
 COMMENT = {"body": "string", "labels": "array<struct<name: string>>"}
 NUMBERED_FILE = r"/(\d+)[^/]*$"
+LARGE = 16 * 1024 * 1024  # bytes; no text below has more than a VARIANT or a JSON string can hold
 
 
 def read_files(spark: SparkSession, root: str, suffix: str | None = None) -> DataFrame:
@@ -33,12 +34,18 @@ def parse_rooms(files: DataFrame, fields: dict[str, str] = MESSAGE) -> DataFrame
     """One row by message of ``(path, value)`` rows: its fields, text, room and whole ``object``.
 
     The room is the file's folder without blanks and ``#``. A file that is not JSON is skipped, and
-    so is a message without a text.
+    so is a message without a text. An array that is too large for a VARIANT (128 MiB) stops the job; a
+    room may be in any number of rows, so a large one can be given as several arrays.
     """
     # A line break inside a JSON string is not valid; as a blank it is.
-    body = F.try_parse_json(F.translate("value", "\n", " "))
-    items = F.try_variant_get(body, "$", "array<variant>")
-    rows = files.select(room_name("path").alias("room"), F.explode(items).alias("object"))
+    bodies = files.select("path", F.translate("value", "\n", " ").alias("value"))
+    bodies = bodies.withColumn("body", F.try_parse_json("value"))
+    # Only the parser of the VARIANT has the limit, so an array that has a length is JSON.
+    large = F.col("body").isNull() & (F.octet_length("value") > LARGE)
+    whole = F.when(large, F.json_array_length("value")).isNull()
+    error = F.raise_error(F.concat(F.lit("too large for one row, give it as several arrays: "), "path"))
+    items = F.when(whole, F.try_variant_get("body", "$", "array<variant>")).otherwise(error)
+    rows = bodies.select(room_name("path").alias("room"), F.explode(items).alias("object"))
     parsed = rows.select(*fields_of(F.col("object"), fields), "room", "object")
     return parsed.withColumn("text", F.col("message")).where(F.col("message").isNotNull())
 

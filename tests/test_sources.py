@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from labelkite.operators import rows as row_ops
 from labelkite.operators import threads
+from labelkite.plans import source_queries
 from labelkite.shared import fresh_path
 from labelkite.sources import census, labelled, messages, tables
 
@@ -102,6 +103,43 @@ def test_rooms(spark, rows, tmp_path):
     assert sorted(r["more"] or 0 for r in more.collect()) == [0, 1]
 
 
+@pytest.fixture(scope="module")
+def hot_conversation(spark, tmp_path_factory):
+    """A folder with a conversation of 150 MB, which is more than a VARIANT holds, and a small one."""
+    path = str(tmp_path_factory.mktemp("hot"))
+    rows = spark.range(3500).select(
+        F.when(F.col("id") < 3490, 1).otherwise(2).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.when(F.col("id") < 1500, F.expr("repeat('x', 100000)")).otherwise(F.lit("short")).alias("text"),
+    )
+    rows.repartition(3, "turn").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+def test_a_hot_room_is_whole(spark, hot_conversation):
+    found = source_queries.rooms_json(spark, hot_conversation).groupBy("room").agg(
+        F.count("*"), F.count_distinct("turn"), F.sum(F.length("text"))
+    )
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("room1", 3490, 3490, 150_000_000 + 1990 * 5), ("room2", 10, 10, 50)
+    ]
+    largest = source_queries.room_files(spark, hot_conversation).agg(F.max(F.octet_length("value"))).first()[0]
+    assert largest < messages.LARGE
+
+
+def test_a_room_too_large_for_one_row_stops(spark):
+    texts = F.array_join(F.array_repeat(F.expr("""concat('{"message":"', repeat('x', 1048576), '"}')"""), F.col("id").cast("int")), ",")
+    file = F.concat(F.lit("["), texts, F.lit("]"))
+    one = spark.range(140, 141).select(F.lit("/a/r/f.json").alias("path"), file.alias("value"))
+    with pytest.raises(Exception, match="several arrays"):
+        messages.parse_rooms(one).select("room").collect()
+    broken = spark.range(20, 21).select(F.lit("/a/r/f.json").alias("path"), F.concat(file, F.lit("]x")).alias("value"))
+    fine = spark.range(20, 21).select(F.lit("/a/r/f.json").alias("path"), file.alias("value"))
+    assert messages.parse_rooms(fine).count() == 20
+    assert messages.parse_rooms(broken.select("path", F.expr("replace(value, '[', '{')").alias("value"))).count() == 0
+
+
 def issues(tmp_path):
     bug, doc = [{"name": "bug"}], [{"name": "doc"}, {"name": "x"}]
     first = [{"body": "c1"}, {"body": "c2", "labels": doc}, {"body": "open", "labels": bug}]
