@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from labelkite.functions import clean_text
 from labelkite.functions.text import keyword
-from labelkite.operators import rows, score, threads
+from labelkite.operators import rows, score, skew, threads
 from labelkite.plans import inputs as i
 from labelkite.plans.registry import Registry
-from labelkite.shared import fresh_path
+from labelkite.shared import fresh_path, written
 from labelkite.sources import census, labelled, messages, tables
 
 registry = Registry()
@@ -233,15 +233,31 @@ THREADS = """c AS (
 
 
 def issue_threads(spark, sf) -> DataFrame:
-    """Comments of issue files: a file has its opening issue last, only some comments have labels."""
+    """Comments of issue files: a thread has its opening issue last, only some comments have labels."""
+    return messages.parse_issue_threads(issue_files(spark, sf))
+
+
+def issue_files(spark, sf) -> DataFrame:
+    """``(path, first, value)``: consecutive comments of a thread, at most ``PAGE`` and fewer if wide.
+
+    The comments are numbered by a sort in ranges, so no task has a whole thread.
+    """
     label = F.when(F.col("role") != "assistant", F.array(F.struct(F.col("role").alias("name"))))
     comment = F.struct(F.col("text").alias("body"), label.alias("labels"), F.col("role").alias("author"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("turn"), comment.alias("c"))))
-    files = conversations(spark, sf).groupBy("conv_id").agg(
-        F.to_json(F.transform(ordered, lambda x: x["c"])).alias("value")
+    rows = conversations(spark, sf).withColumn("thread", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    order = ["thread", F.col("turn").desc_nulls_last(), "text", "role"]
+    numbered = skew.dense_index(rows, order)
+    sizes = numbered.groupBy("thread").agg(F.min("idx").alias("start"), F.max(turn_bytes()).alias("widest"))
+    placed = skew.lookup_join(numbered, written(sizes, "threads"), "thread")
+    place = F.col("idx") - F.col("start")
+    size = F.greatest(F.lit(1), F.least(F.lit(PAGE), F.floor(F.lit(PAGE * WIDE) / F.greatest("widest", F.lit(1)))))
+    pages = placed.withColumn("place", place).withColumn("page", F.floor(F.col("place") / size))
+    ordered = F.array_sort(F.collect_list(F.struct("place", comment.alias("c"))))
+    files = pages.groupBy("thread", "page").agg(
+        F.to_json(F.transform(ordered, lambda x: x["c"])).alias("value"), F.min("place").alias("first")
     )
-    path = F.concat(F.lit("/issues/"), "conv_id", F.lit(".txt")).alias("path")
-    return messages.parse_issue_threads(files.select(path, "value"))
+    path = F.concat(F.lit("/issues/"), F.nullif("thread", F.lit("")), F.lit(".txt")).alias("path")
+    return files.select(path, "first", "value")
 
 
 @query("issue_threads", f"WITH {THREADS} SELECT thread, position, body AS text, label, role AS author FROM c")

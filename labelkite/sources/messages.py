@@ -64,16 +64,19 @@ def parse_issue_threads(
 
     A file is one thread, its last element is the opening issue, and its number is what ``number``
     finds in the path (by default the number that the file's name starts with). A file that is not
-    JSON stops the job.
+    JSON stops the job, as does one too large for a VARIANT (128 MiB). A large thread can be given in
+    several rows, ``(path, first, value)``: ``first`` is the position of a row's first comment.
     """
     items = F.variant_get(F.parse_json("value"), "$", "array<variant>")
+    first = F.col("first") if "first" in files.columns else F.lit(0)
     rows = files.select(
         F.regexp_extract("path", number, 1).cast("long").alias("thread"),
-        F.posexplode(items).alias("position", "object"),
+        first.cast("long").alias("first"),
+        F.posexplode(items).alias("place", "object"),
     )
     return rows.select(
         "thread",
-        F.col("position").cast("long").alias("position"),
+        (F.col("first") + F.col("place")).alias("position"),
         F.try_variant_get("object", "$.body", "string").alias("text"),
         *fields_of(F.col("object"), fields),
         "object",

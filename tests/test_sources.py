@@ -128,6 +128,28 @@ def test_a_hot_room_is_whole(spark, hot_conversation):
     assert largest < messages.LARGE
 
 
+def test_a_hot_thread_is_whole(spark, hot_conversation):
+    found = source_queries.issue_threads_query(spark, hot_conversation)
+    n = F.when(F.col("thread") == 1, 3490).otherwise(10)
+    want_role = F.when((n - F.col("position")) % 2 == 1, "user").otherwise("assistant")
+    got = found.groupBy("thread").agg(
+        F.count("*"), F.count_distinct("position"), F.min("position"), F.max("position"),
+        F.sum(F.length("text")), F.count_if(F.col("author") == want_role),
+    )
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 3490, 3490, 0, 3489, 150_000_000 + 1990 * 5, 3490), (2, 10, 10, 0, 9, 50, 10)
+    ]
+    largest = source_queries.issue_files(spark, hot_conversation).agg(F.max(F.octet_length("value"))).first()[0]
+    assert largest < messages.LARGE
+
+
+def test_a_thread_in_several_rows(spark, rows):
+    parts = [("/i/4.txt", 2, '[{"body": "c"}, {"body": "open"}]'), ("/i/4.txt", 0, '[{"body": "a"}, {"body": "b"}]')]
+    files = spark.createDataFrame(parts, "path string, first long, value string")
+    got = rows(messages.parse_issue_threads(files), "thread", "position", "text")
+    assert got == [(4, 0, "a"), (4, 1, "b"), (4, 2, "c"), (4, 3, "open")]
+
+
 def test_a_room_too_large_for_one_row_stops(spark):
     texts = F.array_join(F.array_repeat(F.expr("""concat('{"message":"', repeat('x', 1048576), '"}')"""), F.col("id").cast("int")), ",")
     file = F.concat(F.lit("["), texts, F.lit("]"))
