@@ -40,7 +40,7 @@ def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that have a passage of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, decontaminate.benchmark_windows(items))
+    return decontaminate.decontaminate(docs, decontaminate.benchmark_windows(items, unnamed=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

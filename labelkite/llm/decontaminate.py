@@ -5,7 +5,9 @@ the set is broadcast, each document's windows are looked up in it, and every hit
 word. A benchmark with more than ``block`` windows is taken in several blocks, each broadcast and
 matched with all documents; the blocks' spans are united.
 
-Nulls: a null text has no words, as an empty one; a null item id never appears among the found items.
+Nulls: a null text has no words, as an empty one; a null item id never appears among the found items. The
+windows of such an item are made with ``unnamed``; they hit like all others, and ``n_items`` counts all
+items without an id as one.
 Items without words match nothing. An empty benchmark leaves every document clean. Repeated items are
 each found; repeated documents each have their row. Other columns are kept by ``decontaminate`` and
 not read.
@@ -33,8 +35,10 @@ FOUND = f"struct<n_words:long,spans:array<{SPAN}>,items:array<long>>"
 ARROW_SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())])
 
 
-def benchmark_windows(items: DataFrame, window: int = WINDOW, id: str = "item_id", text: str = "text") -> DataFrame:
-    """Stored ``(item_id, n, hash, words)``: each distinct window of each item."""
+def benchmark_windows(
+    items: DataFrame, window: int = WINDOW, id: str = "item_id", text: str = "text", unnamed: bool = False
+) -> DataFrame:
+    """Stored ``(item_id, n, hash, words)``: each distinct window of each item, with ``unnamed`` also of those without an id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +60,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, id: str = "item_id
 
     rows = items.select(F.col(id).cast("long").alias("item_id"), F.col(text).alias("text"))
     found = rows.mapInArrow(cut, "item_id long, n int, hash long, words binary")
-    return written(found.where("item_id is not null").distinct(), "benchmark-windows")
+    found = found if unnamed else found.where("item_id is not null")
+    return written(found.distinct(), "benchmark-windows")
 
 
 class Block:
@@ -118,7 +123,7 @@ def _matcher(broadcast):
                 n, s, i = block.match(raw[borders[a] : borders[b]], borders[a : b + 1] - borders[a])
                 sizes += n.tolist()
                 spans += [s.get(k, []) for k in range(b - a)]
-                items += [sorted(i.get(k, ())) for k in range(b - a)]
+                items += [sorted(i.get(k, ()), key=lambda x: (x is None, x)) for k in range(b - a)]
             yield pa.StructArray.from_arrays(
                 [
                     pa.array(sizes, pa.int64()),
@@ -154,7 +159,7 @@ def united(spans: Column) -> Column:
 
 
 def with_hits(docs: DataFrame, windows: DataFrame, text: str, name: str, block: int = BLOCK) -> DataFrame:
-    """The documents with a column ``name``: words, united spans of hit words, items found.
+    """The documents with a column ``name``: words, united spans of hit words, items found (last a null for those without an id).
 
     No shuffle. One block of windows is broadcast at a time; between blocks the rows are stored, so
     that no task holds two.
@@ -181,11 +186,13 @@ def with_hits(docs: DataFrame, windows: DataFrame, text: str, name: str, block:
 def hits(
     docs: DataFrame, windows: DataFrame, id: str = "doc_id", text: str = "text", block: int = BLOCK
 ) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items, spans)`` of every document."""
+    """``(doc_id, n_words, n_hit, items, n_items, spans)`` of every document."""
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     found = with_hits(rows, windows, "text", "found", block)
     n_hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return found.select("doc_id", "found.n_words", n_hit.alias("n_hit"), "found.items", "found.spans")
+    items = F.array_compact("found.items").alias("items")
+    n_items = F.size("found.items").cast("long").alias("n_items")
+    return found.select("doc_id", "found.n_words", n_hit.alias("n_hit"), items, n_items, "found.spans")
 
 
 def decontaminate(

@@ -130,14 +130,14 @@ def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
 )
 def op7_decontamination(spark, sf):
     """Words of each document that lie in a benchmark passage, and the items they come from."""
-    windows = decontaminate.benchmark_windows(table(spark, sf, "benchmark"))
+    windows = decontaminate.benchmark_windows(table(spark, sf, "benchmark"), unnamed=True)
     found = decontaminate.hits(table(spark, sf, "documents"), windows)
     named = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("items").cast("long").alias("n_items"),
+        "n_items",
         F.sha2(F.array_join(named, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )

@@ -81,3 +81,35 @@ def test_nothing(spark, tables, no_documents):
     assert D.hits(no_documents, D.benchmark_windows(items)).count() == 0
     nameless = D.benchmark_windows(items.withColumn("item_id", F.lit(None).cast("long")))
     assert nameless.count() == 0
+
+
+@pytest.mark.parametrize("block", [D.BLOCK, 1])
+def test_items_without_an_id_hit(spark, block):
+    items = [(None, "one two three"), (None, "four five"), (7, "four five"), (8, "six")]
+    docs = [(1, "say One two, three!"), (2, "four five six"), (3, "one two"), (4, "one two three four five")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    windows = D.benchmark_windows(spark.createDataFrame(items, "item_id long, text string"), unnamed=True)
+    got = D.hits(docs, windows, block=block).select("doc_id", "n_hit", "items", "n_items").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 3, [], 1), (2, 3, [7, 8], 3), (3, 0, [], 0), (4, 5, [7], 2)]
+    assert [r["doc_id"] for r in D.decontaminate(docs, windows, block=block).collect()] == [3]
+
+
+def test_query_and_pipeline_keep_items_without_an_id(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(14))
+    items = [(None, long), (None, "four five"), (7, "four five"), (8, "six"), (9, None)]
+    docs = [(1, f"say {long}."), (2, "four five six"), (3, "one two"), (4, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["op7_decontamination"]).fetchall()
+    got = entry.queries()["op7_decontamination"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()) == [3, 4]
