@@ -9,7 +9,7 @@ from labelkite.operators import bayes, mixed_bayes, vectors, vocab
 from labelkite.shared import fresh_path, written
 from labelkite.sources import models
 
-from conftest import SMALL
+from places import SMALL
 
 # Three documents and their classes.
 ANIMALS = [(1, "dog cat goldfish", "0"), (2, "cat goldfish hamster", "0"), (3, "goldfish hamster shark", "1")]

@@ -2,7 +2,7 @@ import __spark_entry__ as entry
 import pytest
 from check_sql import compare, connect
 
-from conftest import SMALL
+from places import SMALL
 
 
 @pytest.fixture(scope="module")
