@@ -2,7 +2,8 @@
 
 A text is cut at places where the tokenizer's own rules always cut, so that a piece alone has the ids
 that it has inside the text. Pieces repeat; each distinct one is encoded once and remembered in the
-Python worker, up to a stated number. The ids are those of the ``tokenizers`` library on the whole
+Python worker, up to a stated number. A hash finds a remembered piece; its bytes are compared before its
+ids are used. The ids are those of the ``tokenizers`` library on the whole
 text: simple pieces go through the library's model, all others through its full encoder, and texts
 with special strings go there whole.
 """
@@ -127,7 +128,10 @@ class PieceCoder:
         self.sizes = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
-        self.n = self.n_ids = 0
+        self.lengths = np.zeros(1024, np.int64)  # bytes of each piece
+        self.at = np.zeros(1024, np.int64)  # where its bytes start in the next, eight at a time
+        self.bytes = np.zeros(4096, np.uint64)
+        self.n = self.n_ids = self.n_bytes = 0
 
     def counts(self, raw: np.ndarray, borders: np.ndarray) -> np.ndarray:
         """Number of ids of each text: its pieces' frequencies joined to the counts of the pieces."""
@@ -149,8 +153,13 @@ class PieceCoder:
             self._forget()
         at = self._cuts(raw, borders)
         starts, ends = at[:-1], at[1:]
+        row = np.searchsorted(borders, starts, "right") - 1
+        if not len(starts):
+            return np.zeros(0, np.int64), row
+        lengths = ends - starts
+        taken, groups = bytehash.groups(raw, starts, ends)
         distinct, first, codes = np.unique(
-            bytehash.hashes(raw, starts, ends), return_index=True, return_inverse=True
+            bytehash.hashes_of(taken, groups, lengths), return_index=True, return_inverse=True
         )
         spot = np.searchsorted(self.known, distinct)
         new = np.ones(len(distinct), bool)
@@ -159,12 +168,25 @@ class PieceCoder:
         numbers = np.zeros(len(distinct), np.int64)
         numbers[~new] = self.place[spot[~new]]
         if new.any():
-            numbers[new] = self.n + np.arange(int(new.sum()))
-            self._learn([raw[starts[i] : ends[i]].tobytes().decode() for i in first[new]])
+            numbers[new] = self._learn(raw, starts[first[new]], ends[first[new]])
             self.known = np.insert(self.known, spot[new], distinct[new])
             self.place = np.insert(self.place, spot[new], numbers[new])
-        row = np.searchsorted(borders, starts, "right") - 1
-        return numbers[codes], row
+        found = numbers[codes]
+        other = self._other(found, taken, groups, lengths)
+        if len(other):  # the hash of another piece: these get numbers of their own
+            found[other] = self._learn(raw, starts[other], ends[other])
+        return found, row
+
+    def _other(self, found: np.ndarray, taken: np.ndarray, groups: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which pieces have other bytes than the remembered ones of these numbers."""
+        other = self.lengths[found] != lengths
+        if other.any():
+            taken, groups, found = taken[np.repeat(~other, groups)], groups[~other], found[~other]
+        first = np.cumsum(groups) - groups
+        equal = self.bytes[np.repeat(self.at[found] - first, groups) + np.arange(len(taken))] == taken
+        if not equal.all():
+            other[np.flatnonzero(~other)[~np.logical_and.reduceat(equal, first)]] = True
+        return np.flatnonzero(other)
 
     def _cuts(self, raw: np.ndarray, borders: np.ndarray) -> np.ndarray:
         if self.rule == "whole":
@@ -177,7 +199,9 @@ class PieceCoder:
                     at = at[(at <= a) | (at >= b)]
         return at
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode and remember pieces; their numbers."""
+        new = [raw[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist())]
         found = self._simple(new)
         rest = [i for i, ids in enumerate(found) if ids is None]
         for i in range(0, len(rest), 256):
@@ -186,6 +210,13 @@ class PieceCoder:
                 found[k] = e.ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         a, b, total = self.n, self.n + len(found), int(sizes.sum())
+        taken, groups = bytehash.groups(raw, starts, ends)
+        self.lengths, self.at = _room(self.lengths, b), _room(self.at, b)
+        self.bytes = _room(self.bytes, self.n_bytes + len(taken))
+        self.lengths[a:b] = ends - starts
+        self.at[a:b] = self.n_bytes + np.cumsum(groups) - groups
+        self.bytes[self.n_bytes : self.n_bytes + len(taken)] = taken
+        self.n_bytes += len(taken)
         self.sizes = _room(self.sizes, b)
         self.sizes[a:b] = sizes
         self.n = b
@@ -194,6 +225,7 @@ class PieceCoder:
             self.starts[a:b] = self.n_ids + np.cumsum(sizes) - sizes
             self.ids[self.n_ids : self.n_ids + total] = [x for ids in found for x in ids]
             self.n_ids += total
+        return np.arange(a, b)
 
     def _simple(self, new: list[str]) -> list:
         """Ids of the pieces that are one run of letters, digits or signs; None for the others."""

@@ -11,9 +11,6 @@ from labelkite.llm import bytehash
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_PLACE_STEP = np.uint64(0xD6E8FEB86659FD93)
-
-
 def _alphanumeric() -> np.ndarray:
     """Bytes of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z is lower-cased."""
     kind = np.zeros(256, bool)
@@ -56,7 +53,7 @@ class Words:
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         first = np.flatnonzero(self.row[:n] == self.row[k - 1 :])
-        steps = bytehash.powers(k, _PLACE_STEP)
+        steps = bytehash.places(k) | np.uint64(1)
         sums = np.zeros(len(first), np.uint64)
         for j in range(k):
             sums += self.hash[first + j] * steps[j]

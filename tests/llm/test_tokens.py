@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from labelkite.llm import packing, pieces, token_counts, token_store
+from labelkite.llm import bytehash, jaccard_join, packing, pieces, token_counts, token_store
 from labelkite.llm.bytehash import slices, text_bytes
 from labelkite.llm.elias_fano import EliasFano
 from labelkite.shared import fresh_path
@@ -55,6 +55,37 @@ def test_ids_of_any_text(name, texts):
 test_ids_of_any_text.coders = {}
 
 
+def twins(letters="ab", doublings=11):
+    """Two strings that sums of bytes times powers of one number cannot tell apart (Thue-Morse)."""
+    a, b = letters
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_strings_that_powers_cannot_tell_apart(name):
+    a, b = twins()
+    assert len(a) == 2048
+    coder = pieces.PieceCoder(public_tokenizers.path(name))
+    texts = [a, b, f"x {b} {a}"]
+    assert encoded(coder, texts) == ids_of(name, texts)
+    raw, borders = text_bytes(pa.array(texts))
+    sizes = pieces.PieceCoder(public_tokenizers.path(name), keep_ids=False).counts(raw, borders)
+    assert sizes.tolist() == [len(x) for x in ids_of(name, texts)]
+    words = [f"{x} {y} end" for x, y in ((a, b), (b, a), (a, a))]
+    shingles, _ = jaccard_join.shingle_sets(*text_bytes(pa.array(words)))
+    assert len(set(shingles.tolist())) == 3
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_pieces_are_compared_by_their_bytes(monkeypatch, odd_texts, name):
+    """Ids stay right when most pieces share a hash."""
+    monkeypatch.setattr(bytehash, "mixed", lambda h: h % np.uint64(3))
+    coder = pieces.PieceCoder(public_tokenizers.path(name))
+    assert encoded(coder, odd_texts, 200) == ids_of(name, odd_texts)
+
+
 def test_forgetting_changes_nothing(monkeypatch, odd_texts):
     monkeypatch.setattr(pieces, "REMEMBERED", 5)
     coder = pieces.PieceCoder(public_tokenizers.path(FILES[0]))
