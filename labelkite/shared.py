@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
     """A one-machine session for tests and timing; a cluster brings its own.
@@ -51,9 +53,24 @@ def written(df: DataFrame, name: str, even: bool = False) -> DataFrame:
     Cuts the lineage: a table that is used twice is computed once, survives lost executors, and
     has a known size, so that Spark can choose its joins. ``even`` writes files of about one size,
     for tables that an iterative learner reads many times: few tasks for a small one, no large file.
+    The shuffle files that led to the table go once it is stored.
     """
     if even:
         df = df.hint("rebalance")
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more; without it, it goes with the application."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
