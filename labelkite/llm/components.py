@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelkite.llm.tables import join_groups
-from labelkite.shared import written
+from labelkite.shared import forget, written
 
 ROUNDS = 100
 
@@ -41,7 +41,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(a, b).where("a != b").distinct(), "links")
     before = None
     for _ in range(ROUNDS):
-        edges = written(_small_star(written(_large_star(edges), "links")), "links")
+        large = written(_large_star(edges), "links")
+        last, edges = edges, written(_small_star(large), "links")
+        forget(last)
+        forget(large)
         sums = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         now = edges.agg(F.count("*"), sums).first()
         if now == before:
