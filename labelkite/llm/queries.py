@@ -18,6 +18,7 @@ from labelkite.llm import (
     token_counts,
     token_store,
     toxicity,
+    turn_repair,
 )
 from labelkite.plans.registry import Registry
 from labelkite.shared import fresh_path
@@ -205,3 +206,103 @@ def op10_secrets(spark, sf):
         F.sha2(written_out(known), 256).alias("base_sha256"),
         written_out(F.col("spans")).alias("spans"),
     )
+
+
+CRC32 = """list_reduce(list_concat([4294967295], flatten(list_transform(string_split({text}, ''),
+        ch -> [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        (c, x) -> CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"""
+
+
+def _repair_sql() -> str:
+    """One step for each row: by state the cost in nine digits, then the edits, so that text order is cost, then edits."""
+
+    def more(state: str, cost: str, edit: str) -> str:
+        return f"(lpad(CAST(CAST(substr({state}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{edit}')"
+
+    def after(base: dict[str, str]) -> dict[str, str]:
+        """With inserts behind the row."""
+        asked = f"least({base['u']}, {more(base['n'], '3', 'I')}, {more(base['s'], '3', 'I')}, {more(base['a'], '3', 'I')})"
+        return base | {"u": asked}
+
+    deleted = {q: more(f"w.{q}", "4", "D") for q in "nsua"}
+    kept = "WHEN r.bad THEN NULL WHEN r.i = '{i}' THEN {then} END"
+    stays = "CASE WHEN r.truncated THEN 3 ELSE 0 END"
+    to_s = f"CASE {kept.format(i='s', then=more('w.n', stays, 'K'))}"
+    sources = [f"w.{q}" for q in "nsa"]
+    to_u = "least(" + ", ".join(f"CASE {kept.format(i='u', then=more(q, stays, 'K'))}" for q in sources) + ", "
+    to_u += ", ".join(f"CASE WHEN NOT r.bad THEN {more(q, '3 + ' + stays, 'R')} END" for q in sources) + ")"
+    to_a = f"least(CASE {kept.format(i='a', then=more('w.u', stays, 'K'))}, CASE WHEN NOT r.bad THEN {more('w.u', '3 + ' + stays, 'R')} END)"
+    base = {
+        "n": deleted["n"],
+        "s": f"least({deleted['s']}, {to_s})",
+        "u": f"least({deleted['u']}, {to_u})",
+        "a": f"least({deleted['a']}, {to_a})",
+    }
+    columns = after({q: f"b.{q}" for q in "nsua"})
+    return f"""WITH RECURSIVE given AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor({CRC32.format(text="(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")},
+          4294967295) % 20 AS kind
+      FROM conversations),
+    broken AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+      FROM given WHERE kind <> 0),
+    numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+        rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core
+      FROM broken),
+    r AS (
+      SELECT conv_id, turn, role, text, k, left(role, 1) AS i, core = '' AS blank, core <> '' AND again AS duplicate,
+        core = '' OR again AS bad, core <> '' AND NOT again AND right(core, 1) NOT IN ('.', '!', '?') AS truncated,
+        left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS pair
+      FROM numbered),
+    walk AS (
+      SELECT conv_id, 0::BIGINT AS k, '000000000' AS n, CAST(NULL AS VARCHAR) AS s, '000000003I' AS u, '000000006II' AS a
+      FROM (SELECT DISTINCT conv_id FROM conversations)
+      UNION ALL
+      SELECT conv_id, k, n, s, u, least(a, {more('u', '3', 'I')}) FROM (
+        SELECT b.conv_id, b.k, {', '.join(f"{x} AS {q}" for q, x in columns.items())} FROM (
+          SELECT r.conv_id, r.k, {', '.join(f"{x} AS {q}" for q, x in base.items())}
+          FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.k = w.k + 1) b)),
+    last AS (
+      SELECT conv_id, k AS rows, least(n, a) AS best FROM walk
+      QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
+    audit AS (
+      SELECT conv_id, CAST(substr(best, 1, 9) AS BIGINT) AS cost, substr(best, 10) AS audit,
+        unnest(list_concat(range(1, len(best) - 8), [0])) AS at FROM last),
+    edits AS (
+      SELECT *, substr(audit, at, 1) AS edit,
+        sum(CASE WHEN substr(audit, at, 1) <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY at) AS k,
+        sum(CASE WHEN substr(audit, at, 1) <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY at) AS place
+      FROM audit WHERE at > 0),
+    starts AS (
+      SELECT e.conv_id, bool_or(place = 1 AND edit = 'K' AND i = 's') AS system
+      FROM edits e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.k = e.k AND e.edit <> 'I' GROUP BY ALL),
+    written AS (
+      SELECT e.conv_id, sha256(string_agg(
+        CASE WHEN edit = 'K' THEN role WHEN (place - CASE WHEN system THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+          || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY at)) AS sha
+      FROM edits e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.k = e.k AND e.edit <> 'I'
+        JOIN starts ON starts.conv_id IS NOT DISTINCT FROM e.conv_id
+      WHERE edit <> 'D' GROUP BY e.conv_id),
+    counted AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM r GROUP BY conv_id)
+    SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+      coalesce(sha, sha256('')) AS repaired_sha256
+    FROM audit a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+      LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM a.conv_id
+    WHERE at = 0"""
+
+
+@registry.query("op13_turn_repair", _repair_sql())
+def op13_turn_repair(spark, sf):
+    """Faults of each damaged conversation, and its cheapest repair."""
+    rows = turn_repair.damaged(table(spark, sf, "conversations"))
+    return turn_repair.summary(turn_repair.repair(rows, present=F.col("present")))
