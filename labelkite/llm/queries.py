@@ -209,8 +209,8 @@ def op10_secrets(spark, sf):
 
 
 CRC32 = """list_reduce(list_concat([4294967295], flatten(list_transform(string_split({text}, ''),
-        ch -> [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
-        (c, x) -> CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"""
+        lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"""
 
 
 def _repair_sql() -> str:
@@ -272,19 +272,19 @@ def _repair_sql() -> str:
       QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
     audit AS (
       SELECT conv_id, CAST(substr(best, 1, 9) AS BIGINT) AS cost, substr(best, 10) AS audit,
-        unnest(list_concat(range(1, len(best) - 8), [0])) AS at FROM last),
+        unnest(list_concat(range(1, len(best) - 8), [0])) AS spot FROM last),
     edits AS (
-      SELECT *, substr(audit, at, 1) AS edit,
-        sum(CASE WHEN substr(audit, at, 1) <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY at) AS k,
-        sum(CASE WHEN substr(audit, at, 1) <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY at) AS place
-      FROM audit WHERE at > 0),
+      SELECT *, substr(audit, spot, 1) AS edit,
+        sum(CASE WHEN substr(audit, spot, 1) <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY spot) AS k,
+        sum(CASE WHEN substr(audit, spot, 1) <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY spot) AS place
+      FROM audit WHERE spot > 0),
     starts AS (
       SELECT e.conv_id, bool_or(place = 1 AND edit = 'K' AND i = 's') AS system
       FROM edits e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.k = e.k AND e.edit <> 'I' GROUP BY ALL),
     written AS (
       SELECT e.conv_id, sha256(string_agg(
         CASE WHEN edit = 'K' THEN role WHEN (place - CASE WHEN system THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
-          || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY at)) AS sha
+          || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY spot)) AS sha
       FROM edits e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.k = e.k AND e.edit <> 'I'
         JOIN starts ON starts.conv_id IS NOT DISTINCT FROM e.conv_id
       WHERE edit <> 'D' GROUP BY e.conv_id),
@@ -298,7 +298,7 @@ def _repair_sql() -> str:
       coalesce(sha, sha256('')) AS repaired_sha256
     FROM audit a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
       LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM a.conv_id
-    WHERE at = 0"""
+    WHERE spot = 0"""
 
 
 @registry.query("op13_turn_repair", _repair_sql())
