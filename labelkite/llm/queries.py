@@ -14,6 +14,7 @@ from labelkite.llm import (
     labelled,
     packing,
     quality_crf,
+    repeated_spans,
     secrets,
     token_counts,
     token_store,
@@ -208,6 +209,30 @@ def op10_secrets(spark, sf):
     )
 
 
+@registry.query(
+    "op12_repeated_spans",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    word AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+    win AS (
+      SELECT doc_id, word, p, count(*) OVER f AS n, md5(string_agg(word, ' ') OVER f) AS name
+      FROM word WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+    hit AS (SELECT doc_id, word, p, n = 13 AND min(doc_id) OVER (PARTITION BY name, n) < doc_id AS hit FROM win),
+    told AS (
+      SELECT doc_id, word, p, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+      FROM hit),
+    found AS (
+      SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept
+      FROM told GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+      sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN found USING (doc_id)""",
+)
+def op12_repeated_spans(spark, sf):
+    """Words of each document, those in passages of smaller documents, and a digest of the others."""
+    found = repeated_spans.without_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 CRC32 = """list_reduce(list_concat([4294967295], flatten(list_transform(string_split({text}, ''),
         lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
         lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"""
