@@ -6,6 +6,13 @@ part has at most one difference; each part is cut into three, and the signatures
 of them, so that one pair is untouched: linked sets share a signature. A set has the signatures of its
 own band, and those of the next if it is large enough to be linked with a set there.
 
+Pairs of parts with few shingles or none tell nothing and would be shared by unrelated sets. There are a
+few parts more than needed, and a set that is not the largest of its band differs in fewer shingles than
+the band's bound, so some parts are to spare. If no more parts than that have a thin pair, the set leaves
+out all its thin pairs: another part without one is left, and what is untouched there is as thick in the
+linked set, which has it too. Sets that may differ in one shingle at most enumerate their subsets instead:
+the whole, and all but one; larger sets that may be linked with those have the subsets of such sizes.
+
 Links are found in two rounds. First each signature's smallest and largest set are compared with all
 its other sets (stars, not pairs). Then sets that share a signature and are not yet in one component
 are compared in blocks inside a task, by a sketch: counts of shingles by hash cell, whose distance is
@@ -23,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -40,6 +48,8 @@ WORDS = 3
 SIMILARITY = Fraction(90, 100)
 BAND = Fraction(5, 4)  # by which the sizes of a band grow, at least
 SUBPARTS = 3
+SPARE = Fraction(2, 100)  # parts more than needed, and one
+THICK = 3  # shingles of a pair of parts that tells enough
 SLICE_BYTES = 1 << 19  # of texts at a time; their hashes take some fifty times as much
 MEMBERS = 256  # sets that are compared with one copy of a star's centre
 BLOCK = 512  # sketches of a signature that are compared with one block of others
@@ -79,12 +89,23 @@ class Bands:
         while starts[-1] <= largest:
             starts.append(max(starts[-1] + 1, ceil(starts[-1] * growth)))
         starts.append(max(starts[-1] + 1, ceil(starts[-1] * growth)))
-        share = (1 - similarity) / (1 + similarity)
+        self.share = (1 - similarity) / (1 + similarity)
         self.starts = np.array(starts, np.int64)
-        differences = [int(share * 2 * (b - 1)) for b in starts[1:]]
+        differences = [int(self.share * 2 * (b - 1)) for b in starts[1:]]
         # Sets without differences are equal, which needs no signature.
-        self.parts = np.array([(d + 2) // 2 if d else 0 for d in differences], np.int64)
+        needed = [(d + 2) // 2 if d else 0 for d in differences]
+        self.parts = np.array([n + ceil(n * SPARE) + 1 if n else 0 for n in needed], np.int64)
         self.smallest_partner = np.array([-(-similarity.numerator * s // similarity.denominator) for s in starts])
+        self.similarity = similarity
+        # Sizes of sets of which a linked set lacks one shingle at most, and of those that may be linked with these.
+        self.small = int(2 / (1 - similarity)) - (2 % (1 - similarity) == 0)
+        self.near_small = int(self.small / similarity)
+
+    def spare(self, sizes: np.ndarray, instance: np.ndarray) -> np.ndarray:
+        """Parts that a set may leave out: one without two differences is left with every linked set."""
+        largest = np.minimum(sizes * self.similarity.denominator // self.similarity.numerator, self.starts[instance + 1] - 1)
+        differences = self.share.numerator * (sizes + largest) // self.share.denominator
+        return self.parts[instance] - differences // 2 - 1
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, "right") - 1
@@ -95,12 +116,12 @@ def signatures(h: np.ndarray, borders: np.ndarray, similarity: Fraction = SIMILA
     sizes = np.diff(borders)
     bands = Bands(int(sizes.max(initial=1)), similarity)
     band = np.where(sizes > 0, bands.of(np.maximum(sizes, 1)), 0)
-    found, rows = [], []
     place = bytehash.mixed(h ^ _SALTS[0])
     value = bytehash.mixed(h ^ _SALTS[1])
+    found, rows = _subsets(value, borders, bands)
     for step in (0, 1):
         instance = band + step
-        parts = np.where(sizes > 0, bands.parts[instance], 0)
+        parts = np.where(sizes > bands.small, bands.parts[instance], 0)
         if step:
             parts[sizes < bands.smallest_partner[instance]] = 0
         first = np.cumsum(parts) - parts  # first part of each row
@@ -116,11 +137,37 @@ def signatures(h: np.ndarray, borders: np.ndarray, similarity: Fraction = SIMILA
         tag = (instance[row].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64) * np.uint64(SUBPARTS)
         left_out = np.arange(SUBPARTS, dtype=np.uint64)
         pairs = sums.sum(1, dtype=np.uint64)[:, None] - sums
-        found.append(bytehash.mixed(pairs + bytehash.mixed((tag[:, None] + left_out) ^ _SALTS[2])).ravel())
-        rows.append(np.repeat(row, SUBPARTS))
+        made = bytehash.mixed(pairs + bytehash.mixed((tag[:, None] + left_out) ^ _SALTS[2]))
+        held = np.bincount(cell, minlength=sums.size).reshape(-1, SUBPARTS)
+        held = held.sum(1)[:, None] - held  # shingles of each pair
+        least = np.zeros(len(sizes), np.int64)
+        spare = bands.spare(sizes, instance)
+        for t in range(1, THICK + 1):
+            thin_parts = np.bincount(row, (held < t).any(1), len(sizes))
+            least[thin_parts <= spare] = t
+        kept = held >= least[row][:, None]
+        found.append(made[kept])
+        rows.append(np.repeat(row, kept.sum(1)))
     return np.concatenate(found), np.concatenate(rows)
 
 
+def _subsets(value: np.ndarray, borders: np.ndarray, bands: Bands) -> tuple[list, list]:
+    """Signatures of small sets, and of those that may be linked with them: subsets of a small set's size."""
+    found, rows = [], []
+    sizes = np.diff(borders)
+    similarity = bands.similarity
+    for i in np.flatnonzero((sizes > 0) & (sizes <= bands.near_small)).tolist():
+        own = value[borders[i] : borders[i + 1]]
+        n = len(own)
+        for k in range(n - n * (similarity.denominator - similarity.numerator) // similarity.denominator, n + 1):
+            if k <= bands.small:
+                gone = [sum(map(int, c)) for c in combinations(own, n - k)]
+                whole = sum(map(int, own))
+                found += [(whole - x + k * int(_SALTS[2])) % (1 << 64) for x in gone]
+                rows += [i] * len(gone)
+    return [bytehash.mixed(np.array(found, np.uint64))], [np.array(rows, np.int64)]
+
+
 def _digests(h: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Two 64-bit numbers for each row's set."""
     out = np.zeros((len(borders) - 1, 2), np.uint64)
