@@ -20,6 +20,7 @@ from labelkite.llm import (
     token_store,
     toxicity,
     turn_repair,
+    vector_codes,
 )
 from labelkite.plans.registry import Registry
 from labelkite.shared import fresh_path
@@ -209,6 +210,59 @@ def op10_secrets(spark, sf):
     )
 
 
+def _vector_codes_sql(rounds: int = 4, entries: int = 256) -> str:
+    """A few common table expressions for each round; squared distances are whole numbers below 2**53."""
+
+    def assigned(t: int) -> str:
+        return f"""a{t} AS MATERIALIZED (
+      SELECT part, k, v, min_by(entry, square * 1000 + entry) AS entry, CAST(min(square) AS BIGINT) AS square FROM (
+        SELECT p.part, p.k, p.v, b.entry, list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, b.v) + list_inner_product(b.v, b.v) AS square
+        FROM p JOIN b{t} b USING (part)) GROUP BY part, k, v)"""
+
+    def moved(t: int) -> str:
+        return f"""b{t + 1} AS MATERIALIZED (
+      SELECT part, entry, list(c ORDER BY i) AS v FROM (
+        SELECT part, entry, i, CAST((total - ((total % n) + n) % n) // n AS DOUBLE) AS c FROM (
+          SELECT part, entry, i, CAST(sum(x) AS BIGINT) AS total, count(*) AS n FROM (
+            SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{t}) GROUP BY part, entry, i)) GROUP BY part, entry
+      UNION ALL SELECT part, entry, v FROM b{t} WHERE (part, entry) NOT IN (SELECT part, entry FROM a{t}))"""
+
+    steps = ",\n    ".join(x for t in range(rounds) for x in (assigned(t), moved(t)))
+    return f"""WITH given AS (
+      SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    kept AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS k FROM given),
+    p AS MATERIALIZED (
+      SELECT part, k, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS v
+      FROM kept CROSS JOIN (SELECT unnest(range(4)) AS part)),
+    b0 AS MATERIALIZED (SELECT part, k AS entry, v FROM p WHERE k < {entries}),
+    {steps},
+    {assigned(rounds)},
+    coded AS (SELECT k, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(square) AS BIGINT) AS error FROM a{rounds} GROUP BY k),
+    books AS (
+      SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256
+      FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS i FROM b{rounds}))
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM kept JOIN coded USING (k) CROSS JOIN books"""
+
+
+@registry.query("op11_vector_codes", _vector_codes_sql())
+def op11_vector_codes(spark, sf):
+    """Codes of all vectors, their errors, and a digest of the codebooks."""
+    vectors = table(spark, sf, "embeddings")
+    blocks = vector_codes.blocks_of(vectors, "vec_id", "embedding", "label")
+    books = vector_codes.fit(blocks, vector_codes.first_codebooks(vectors, "vec_id", "embedding"))
+    coded = vector_codes.with_label_error(vector_codes.encode(blocks, books))
+    digits = F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return coded.select(
+        "vec_id",
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"),
+    )
+
+
 @registry.query(
     "op12_repeated_spans",
     r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
