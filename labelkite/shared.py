@@ -53,7 +53,8 @@ def written(df: DataFrame, name: str, even: bool = False) -> DataFrame:
     Cuts the lineage: a table that is used twice is computed once, survives lost executors, and
     has a known size, so that Spark can choose its joins. ``even`` writes files of about one size,
     for tables that an iterative learner reads many times: few tasks for a small one, no large file.
-    The shuffle files that led to the table go once it is stored.
+    The shuffle files that led to the table go once it is stored. Files are compressed by zstd, as
+    they are read a few times at most and lie on shared storage.
     """
     if even:
         df = df.hint("rebalance")
@@ -62,7 +63,7 @@ def written(df: DataFrame, name: str, even: bool = False) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     stored = spark.read.schema(df.schema).parquet(path)
