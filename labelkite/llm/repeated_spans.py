@@ -152,10 +152,14 @@ def shared_marks(docs: DataFrame, k: int = WORDS, short: int = MARK) -> DataFram
     marks = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(
         lambda batches: _marks(batches, k, short), "mark long, doc_id long"
     )
+    marks = written(marks, "marks")
     counts = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     shared = written(counts.where("low < high").select("mark", "n"), "shared-marks")
     own = join_groups(marks, shared, "mark", "n").select("doc_id", "mark")
-    return own.groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+    own = written(own.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "document-marks")
+    forget(marks)
+    forget(shared)
+    return own
 
 
 def repeated_edges(windows: DataFrame) -> DataFrame:
@@ -183,15 +187,23 @@ def compacted(edges: DataFrame) -> DataFrame:
 
 
 def occurrences(windows: DataFrame, paths: DataFrame) -> DataFrame:
-    """``(doc_id, place, windows, source, source_place)``: spans of windows along a path, in larger documents."""
+    """Stored ``(doc_id, place, windows, source, source_place)``: spans of windows along a path, in larger documents.
+
+    The stored paths are deleted as soon as they are used.
+    """
     found = windows.select("node", "next", "doc_id", "place").join(paths, ["node", "next"]).where("doc_id > source")
-    line = found.select("doc_id", "place", "source", "start", "step", (F.col("place") - F.col("step")).alias("line"))
+    hits = found.select("doc_id", "place", "source", "start", (F.col("place") - F.col("step")).alias("line"))
+    hits = written(hits, "hits")  # so that the shuffles of the join and of the spans do not lie side by side
+    forget(paths)
     order = Window.partitionBy("doc_id", "source", "start", "line").orderBy("place")
-    numbered = line.withColumn("island", F.col("place") - F.row_number().over(order))
+    numbered = hits.withColumn("island", F.col("place") - F.row_number().over(order))
     spans = numbered.groupBy("doc_id", "source", "start", "line", "island").agg(
-        F.min("place").alias("place"), F.count("*").alias("windows"), F.min("step").alias("step")
+        F.min("place").alias("place"), F.count("*").alias("windows")
     )
-    return spans.select("doc_id", "place", "windows", "source", (F.col("start") + F.col("step")).alias("source_place"))
+    there = F.col("start") + F.col("place") - F.col("line")
+    spans = written(spans.select("doc_id", "place", "windows", "source", there.alias("source_place")), "spans")
+    forget(hits)
+    return spans
 
 
 def verified(spans: DataFrame, texts: DataFrame, k: int = WORDS) -> DataFrame:
@@ -228,15 +240,14 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, short: int = MARK, id: str =
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).alias("copy")
-    marked = rows.join(shared_marks(rows, k, short), "doc_id", "left").select("doc_id", copy, "text", "marks")
-    texts = written(marked, "marked-texts")
+    marks = shared_marks(rows, k, short)
+    texts = written(rows.join(marks, "doc_id", "left").select("doc_id", copy, "text", "marks"), "marked-texts")
+    forget(marks)
     windows = texts.where("marks is not null").mapInArrow(lambda batches: _edges(batches, k, short), EDGES)
     edges = written(repeated_edges(windows), "edges")
     paths = written(compacted(edges), "paths")
     forget(edges)
-    spans = written(occurrences(windows, paths), "spans")
-    forget(paths)
-    return texts.drop("marks"), verified(spans, texts, k)
+    return texts.drop("marks"), verified(occurrences(windows, paths), texts, k)
 
 
 def without_repeats(docs: DataFrame, k: int = WORDS, short: int = MARK, id: str = "doc_id", text: str = "text") -> DataFrame:
