@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelkite.operators.mixed_bayes import split_kinds
 from labelkite.operators.prepare import NUMERIC
-from labelkite.operators.skew import lookup_join
+from labelkite.operators.skew import lookup_join, small_rows
 from labelkite.operators.vectors import occurrences
-from labelkite.shared import written
+from labelkite.shared import forget, written
 
 
 def hinge_descent(
@@ -116,74 +116,132 @@ def margin_class(margin: Column, positive: str = "positive", negative: str = "ne
 
 # Logistic regression on table columns, with the coefficients' statistics
 
+MAX_COLUMNS = 500
 
-def logit_fit(df: DataFrame, target: str, positive: str, columns: list[str] | None = None):
-    """Fitted pipeline whose last stage is a binomial model of all columns but the class.
 
-    String columns become 0/1 columns against their first value in sorted order. ``positive`` is
-    the class whose log odds are modelled.
+@dataclass(frozen=True)
+class LogitModel:
+    """Coefficients of a binomial model of table columns, and the inverse of their information matrix."""
+
+    positive: str
+    numeric: list[str]
+    flags: list[tuple[str, str]]  # column and value of each 0/1 variable
+    coefficients: np.ndarray  # of the numeric columns, of the flags, and the constant
+    covariance: np.ndarray
+    rounds: int
+
+    def variables(self) -> list[str]:
+        """Name of each coefficient: the column, or ``column=value`` of a 0/1 variable; last the constant."""
+        return [*self.numeric, *[f"{c}={v}" for c, v in self.flags], "Constant"]
+
+    def inputs(self) -> list[Column]:
+        """One number for each coefficient; null where a cell that is needed is missing."""
+        numbers = [F.col(c).cast("double") for c in self.numeric]
+        return [*numbers, *[(F.col(c) == v).cast("double") for c, v in self.flags], F.lit(1.0)]
+
+    def log_odds(self) -> Column:
+        return sum((x * F.lit(float(w)) for x, w in zip(self.inputs(), self.coefficients)), F.lit(0.0))
+
+
+def logit_fit(
+    df: DataFrame,
+    target: str,
+    positive: str,
+    columns: list[str] | None = None,
+    max_rounds: int = 25,
+    tol: float = 1e-8,
+    max_columns: int = MAX_COLUMNS,
+) -> LogitModel:
+    """Logistic regression by iteratively reweighted least squares; ``positive`` is the class of the log odds.
+
+    String columns become 0/1 variables against their first value in sorted order. A round is one pass over
+    the rows: tasks add up weighted products of the variables, and their sums are added by Spark. What
+    reaches the driver is one row with the upper half of the matrix of variables by variables, and the
+    driver solves for the next coefficients; it stops when the deviance moves by less than ``tol`` of
+    itself. Numbers are centred and scaled inside, so that the matrix is well-conditioned. Rows with a
+    missing cell are left out. More than ``max_columns`` variables raise.
     """
     numeric, nominal = split_kinds(df, target)
     if columns:
         numeric = [c for c in numeric if c in columns]
         nominal = [c for c in nominal if c in columns]
-    codes, flags = [f"_i_{c}" for c in nominal], [f"_f_{c}" for c in nominal]
-    stages = []
-    if nominal:
-        # The encoder leaves out its last value: in descending order that is the first one sorted.
-        stages = [
-            StringIndexer(inputCols=nominal, outputCols=codes, stringOrderType="alphabetDesc"),
-            OneHotEncoder(inputCols=codes, outputCols=flags, dropLast=True),
-        ]
-    stages += [
-        VectorAssembler(inputCols=numeric + flags, outputCol="_x"),
-        GeneralizedLinearRegression(
-            family="binomial", link="logit", featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=50
-        ),
-    ]
-    return Pipeline(stages=stages).fit(_flag(df, target, positive))
-
-
-def _flag(df: DataFrame, target: str, positive: str) -> DataFrame:
-    return df.withColumn("_y", (F.col(target) == positive).cast("double"))
-
-
-def logit_variables(model: PipelineModel) -> list[str]:
-    """Name of each coefficient: the column, or ``column=value`` of a 0/1 column; last the constant."""
-    assembler = model.stages[-2]
-    values = {}
-    if isinstance(model.stages[0], StringIndexerModel):
-        indexer = model.stages[0]
-        for c, labels in zip(indexer.getInputCols(), indexer.labelsArray):
-            values[f"_f_{c}"] = [f"{c}={v}" for v in labels[:-1]]
-    return [v for c in assembler.getInputCols() for v in values.get(c, [c])] + ["Constant"]
-
-
-def logit_table(model: PipelineModel, spark: SparkSession, positive: str) -> DataFrame:
+    rows = df.select(*numeric, *nominal, target).dropna()
+    values = small_rows(
+        rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in nominal])).alias("x"))
+        .select("x.c", "x.v").distinct(), max_columns, "values of nominal columns",
+    ) if nominal else []
+    flags = [(c, v) for c in nominal for v in sorted(r["v"] for r in values if r["c"] == c)[1:]]
+    p = len(numeric) + len(flags) + 1
+    if p > max_columns:
+        raise ValueError(f"{p} variables, more than {max_columns}")
+    model = LogitModel(positive, numeric, flags, np.zeros(p), np.zeros((p, p)), 0)
+    shift, scale = np.zeros(p), np.ones(p)
+    if numeric:
+        cells = [F.col(c).cast("double") for c in numeric]
+        found = rows.agg(*[F.avg(x) for x in cells], *[F.stddev_pop(x) for x in cells]).first()
+        shift[: len(numeric)] = [x or 0.0 for x in found[: len(numeric)]]
+        scale[: len(numeric)] = [x or 1.0 for x in found[len(numeric) :]]
+    inputs = [(x - F.lit(float(a))) / F.lit(float(b)) for x, a, b in zip(model.inputs(), shift, scale)]
+    known = (F.col(target) == positive).cast("double")
+    points = written(rows.select(F.array(*inputs).alias("x"), known.alias("y")), "logit-points", even=True)
+
+    beta, before, n = np.zeros(p), None, 0
+    for n in range(1, max_rounds + 1):
+        matrix, gradient, deviance = _weighted_products(points, beta)
+        if before is not None and abs(deviance - before) < tol * (abs(deviance) + 0.1):
+            break
+        beta, before = beta + np.linalg.solve(matrix, gradient), deviance
+    forget(points)
+    # Back to the columns as they are: the constant takes up the centres.
+    back = np.diag(1.0 / scale)
+    back[-1, :] -= shift / scale
+    covariance = back @ np.linalg.inv(matrix) @ back.T
+    return replace(model, coefficients=back @ beta, covariance=covariance, rounds=n)
+
+
+def _weighted_products(points: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Information matrix, gradient and deviance at ``beta``: one aggregate over all points."""
+    p = len(beta)
+    upper = np.triu_indices(p)
+
+    def sums(batches):
+        total = np.zeros(len(upper[0]) + p + 1)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, p)
+            y = batch.column(1).to_numpy()
+            odds = x @ beta
+            chance = 1.0 / (1.0 + np.exp(-odds))
+            weighted = x * (chance * (1.0 - chance))[:, None]
+            loss = 2 * (np.logaddexp(0.0, odds) - y * odds).sum()
+            total += np.concatenate([(x.T @ weighted)[upper], x.T @ (y - chance), [loss]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "value"])
+
+    found = points.mapInArrow(sums, "i int, value double").groupBy("i").agg(F.sum("value").alias("value"))
+    values = np.zeros(len(upper[0]) + p + 1)
+    for r in found.collect():  # the upper half of a matrix of variables by variables
+        values[r["i"]] = r["value"]
+    matrix = np.zeros((p, p))
+    matrix[upper] = values[: len(upper[0])]
+    matrix = matrix + np.triu(matrix, 1).T
+    return matrix, values[len(upper[0]) : -1], float(values[-1])
+
+
+def logit_table(model: LogitModel, spark: SparkSession, positive: str) -> DataFrame:
     """``(logit, variable, coeff, std_err, z_score, p_value)``, one row for each coefficient."""
-    glm, names = model.stages[-1], logit_variables(model)
-    s = glm.summary
-    coefficients = [float(c) for c in glm.coefficients] + [glm.intercept]
-    rows = zip(
-        [positive] * len(names),
-        names,
-        coefficients,
-        s.coefficientStandardErrors,
-        s.tValues,
-        s.pValues,
-    )
+    errors = np.sqrt(np.diag(model.covariance))
+    rows = []
+    for name, c, e in zip(model.variables(), model.coefficients.tolist(), errors.tolist()):
+        rows.append((positive, name, c, e, c / e, math.erfc(abs(c / e) / math.sqrt(2))))
     return spark.createDataFrame(
-        list(rows),
-        "logit string, variable string, coeff double, std_err double, z_score double, p_value double",
+        rows, "logit string, variable string, coeff double, std_err double, z_score double, p_value double"
     )
 
 
-def logit_predict(
-    model: PipelineModel, df: DataFrame, positive: str, negative: str, name: str
-) -> DataFrame:
-    """The table with the predicted class as one more column (threshold 0.5)."""
-    predicted = F.when(F.col("_p") > 0.5, positive).otherwise(negative)
-    return model.transform(df).withColumn(name, predicted).select(*df.columns, name)
+def logit_predict(model: LogitModel, df: DataFrame, positive: str, negative: str, name: str) -> DataFrame:
+    """The table with the predicted class as one more column (threshold 0.5); null where a cell is missing."""
+    odds = model.log_odds()
+    known = F.when(odds > 0, positive).when(odds.isNotNull(), negative)
+    return df.withColumn(name, known)
 
 
 # Kernel features

@@ -376,14 +376,92 @@ def lines(spark, sf):
     return i.table(spark, sf, "lineitem", [*LINE_KEY, *fields]).withColumn("l_returnflag", returned)
 
 
-@query("logit_table")
+VARIABLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus=O", "Constant"]
+
+
+def least_squares_sql(rounds: int = 7) -> str:
+    """Iteratively reweighted least squares, unrolled: the sums of a round, then its elimination, column by column.
+
+    ``m`` has the cells of the matrix (column 7: the right side; columns 8 to 13: the identity in the last
+    round, which becomes the inverse). Numbers are centred and scaled, and the result is taken back.
+    """
+    p = len(VARIABLES)
+    numbers = VARIABLES[:4]
+    scaled = ", ".join(
+        f"({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_pop({c}) FROM lineitem) AS x{i + 1}" for i, c in enumerate(numbers)
+    )
+    parts = [
+        f"""x AS MATERIALIZED (
+  SELECT {scaled}, CASE l_linestatus WHEN 'O' THEN 1e0 ELSE 0e0 END AS x5, 1e0 AS x6,
+    CASE l_returnflag WHEN 'R' THEN 1e0 ELSE 0e0 END AS y FROM lineitem)""",
+        "b0 AS (SELECT i, 0e0 AS v FROM range(1, 7) r(i))",
+    ]
+    for t in range(rounds + 1):
+        odds = " + ".join(f"x{i} * (SELECT v FROM b{t} WHERE i = {i})" for i in range(1, p + 1))
+        sums = [f"sum(w * x{i} * x{j}) AS m{i}_{j}" for i in range(1, p + 1) for j in range(i, p + 1)]
+        sums += [f"sum((y - c) * x{i}) AS g{i}" for i in range(1, p + 1)]
+        cells = [f"({i}, {j}, m{min(i, j)}_{max(i, j)})" for i in range(1, p + 1) for j in range(1, p + 1)]
+        cells += [f"({i}, {p + 1}, g{i})" for i in range(1, p + 1)]
+        if t == rounds:
+            cells += [f"({i}, {p + 1 + j}, {1 if i == j else 0}e0)" for i in range(1, p + 1) for j in range(1, p + 1)]
+        parts.append(
+            f"""s{t} AS MATERIALIZED (
+  SELECT {', '.join(sums)} FROM (SELECT *, c * (1 - c) AS w FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS c FROM x))),
+e{t}_0 AS MATERIALIZED (SELECT r.* FROM s{t}, LATERAL (VALUES {', '.join(cells)}) r(i, j, v))"""
+        )
+        for k in range(1, p + 1):
+            parts.append(
+                f"""e{t}_{k} AS MATERIALIZED (
+  SELECT a.i, a.j, CASE WHEN a.i = {k} THEN a.v / d.v ELSE a.v - q.v * r.v / d.v END AS v
+  FROM e{t}_{k - 1} a JOIN e{t}_{k - 1} r ON r.i = {k} AND r.j = a.j JOIN e{t}_{k - 1} q ON q.i = a.i AND q.j = {k}
+    CROSS JOIN (SELECT v FROM e{t}_{k - 1} WHERE i = {k} AND j = {k}) d)"""
+            )
+        if t < rounds:
+            parts.append(f"b{t + 1} AS MATERIALIZED (SELECT i, b.v + e.v AS v FROM b{t} b JOIN e{t}_{p} e USING (i) WHERE j = {p + 1})")
+    # The constant takes up the centres: row 6 of ``back`` has minus centre by scale.
+    centre = " ".join(f"WHEN {i + 1} THEN (SELECT avg({c}) FROM lineitem)" for i, c in enumerate(numbers))
+    width = " ".join(f"WHEN {i + 1} THEN (SELECT stddev_pop({c}) FROM lineitem)" for i, c in enumerate(numbers))
+    parts.append(
+        f"""unit AS (SELECT i, CASE i {centre} ELSE 0e0 END AS c, CASE i {width} ELSE 1e0 END AS w FROM range(1, 7) r(i)),
+back AS (
+  SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN 1 / a.w ELSE 0e0 END - CASE WHEN a.i = {p} THEN b.c / b.w ELSE 0 END AS v
+  FROM unit a CROSS JOIN unit b),
+coeff AS (SELECT back.i, sum(back.v * b.v) AS coeff FROM back JOIN b{rounds} b ON b.i = back.j GROUP BY back.i),
+error AS (
+  SELECT l.i, sqrt(sum(l.v * e.v * r.v)) AS std_err
+  FROM back l JOIN e{rounds}_{p} e ON e.i = l.j JOIN back r ON r.j = e.j - {p + 1} AND r.i = l.i WHERE e.j > {p + 1} GROUP BY l.i)"""
+    )
+    return ",\n".join(parts)
+
+
+NAMES_SQL = ", ".join(f"({n + 1}, '{v}')" for n, v in enumerate(VARIABLES))
+
+
+@query(
+    "logit_table",
+    f"""WITH {least_squares_sql()}
+SELECT 'R' AS logit, name AS variable, round(coeff, 6) AS coeff, round(std_err, 6) AS std_err, round(z, 4) AS z_score,
+  round(CASE WHEN abs(z) > 8 THEN 0 ELSE
+    1 - exp(-z * z / 2) * list_sum(list_transform(range(150), lambda n: pow(abs(z) / sqrt(2), 2 * n + 1) / gamma(n + 1.5))) END, 6) AS p_value
+FROM (SELECT *, coeff / std_err AS z FROM (VALUES {NAMES_SQL}) v(i, name) JOIN coeff USING (i) JOIN error USING (i))""",
+)
 def logit_table(spark, sf):
     df = lines(spark, sf)
     model = linear.logit_fit(df.drop(*LINE_KEY), "l_returnflag", RETURNED)
-    return linear.logit_table(model, spark, RETURNED)
+    digits = {"coeff": 6, "std_err": 6, "z_score": 4, "p_value": 6}
+    found = linear.logit_table(model, spark, RETURNED)
+    return found.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
-@query("logit_predict")
+@query(
+    "logit_predict",
+    f"""WITH {least_squares_sql()}, c AS (SELECT i, coeff FROM coeff)
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus,
+  CASE l_returnflag WHEN 'R' THEN 'R' ELSE 'N' END AS l_returnflag,
+  CASE WHEN {' + '.join(f"{c} * (SELECT coeff FROM c WHERE i = {n + 1})" for n, c in enumerate(VARIABLES[:4]))}
+    + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END * (SELECT coeff FROM c WHERE i = 5) + (SELECT coeff FROM c WHERE i = 6) > 0
+    THEN 'R' ELSE 'N' END AS predicted FROM lineitem""",
+)
 def logit_predict(spark, sf):
     df = lines(spark, sf)
     model = linear.logit_fit(df.drop(*LINE_KEY), "l_returnflag", RETURNED)

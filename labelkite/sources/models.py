@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelkite.operators.bayes import TermBayes
+from labelkite.operators.linear import LogitModel
 from labelkite.operators.mixed_bayes import MixedBayes
 from labelkite.operators.prepare import ImputeModel, RangeModel
 
@@ -23,6 +25,14 @@ SCHEMAS = {
         "std": "double",
     },
     "impute": {"name": "string", "kind": "string", "value": "string"},
+    "logit": {
+        "place": "int",
+        "column": "string",
+        "value": "string",
+        "coefficient": "double",
+        "covariance": "array<double>",
+        "positive": "string",
+    },
     "ranges": {"name": "string", "low": "double", "high": "double", "lo": "double", "hi": "double"},
 }
 
@@ -62,6 +72,12 @@ def write_model(model, root: str, model_id: str, spec_id: str = "none") -> None:
         write_parameters(model.table(SparkSession.active()), root, "impute", model_id, spec_id)
     elif isinstance(model, RangeModel):
         write_parameters(model.table(SparkSession.active()), root, "ranges", model_id, spec_id)
+    elif isinstance(model, LogitModel):
+        names = [*[(c, None) for c in model.numeric], *model.flags, (None, None)]
+        cells = zip(range(len(names)), names, model.coefficients.tolist(), model.covariance.tolist())
+        table = [(i, c, v, w, row, model.positive) for i, (c, v), w, row in cells]
+        schema = ", ".join(f"{c} {t}" for c, t in SCHEMAS["logit"].items())
+        write_parameters(SparkSession.active().createDataFrame(table, schema), root, "logit", model_id, spec_id)
     else:
         model.write().overwrite().save(_folder(root, "ml", model_id, spec_id))
 
@@ -98,6 +114,18 @@ def load_ranges(spark: SparkSession, root: str, model_id: str, spec_id: str = "n
     return RangeModel.from_table(load_parameters(spark, root, "ranges", model_id, spec_id))
 
 
+def load_logit(spark: SparkSession, root: str, model_id: str, spec_id: str = "none") -> LogitModel:
+    rows = sorted(load_parameters(spark, root, "logit", model_id, spec_id).collect(), key=lambda r: r["place"])
+    return LogitModel(
+        rows[0]["positive"],
+        [r["column"] for r in rows if r["value"] is None and r["column"] is not None],
+        [(r["column"], r["value"]) for r in rows if r["value"] is not None],
+        np.array([r["coefficient"] for r in rows]),
+        np.array([r["covariance"] for r in rows]),
+        0,
+    )
+
+
 def load_ml_model(kind, root: str, model_id: str, spec_id: str = "none"):
     """A model stored by its own writer; ``kind`` is its class."""
     return kind.load(_folder(root, "ml", model_id, spec_id))

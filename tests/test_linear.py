@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
 
@@ -108,6 +109,17 @@ def test_logit_table_against_newton(spark):
     assert [r["predicted"] for r in out.collect()] == want
 
 
+def test_logit_of_missing_cells_and_too_many_variables(spark):
+    df, rows = mixed(spark, 200)
+    holes = df.unionByName(spark.createDataFrame([(None, "a", "high"), (1.0, None, "low"), (2.0, "b", None)], df.schema))
+    a, b = (linear.logit_fit(x, "class", "high") for x in (df, holes))
+    assert a.coefficients == pytest.approx(b.coefficients) and a.rounds < 10
+    out = linear.logit_predict(a, holes.withColumn("job", F.coalesce("job", F.lit("zz"))), "high", "low", "predicted")
+    assert out.where("predicted is null").count() == 1  # the row without a number
+    with pytest.raises(ValueError, match="more than 2"):
+        linear.logit_fit(df, "class", "high", max_columns=2)
+
+
 def test_tree(spark):
     """A rule of two steps, which greedy splits reach without a leaf below two records."""
     df = spark.createDataFrame(
@@ -128,7 +140,11 @@ def test_stored_table_models(spark):
     root = fresh_path(spark, "models")
     for name, model in (("tree", tree.tree_fit(df, "class", max_depth=4)), ("logit", linear.logit_fit(df, "class", "high"))):
         models.write_model(model, root, name)
-        loaded = models.load_ml_model(PipelineModel, root, name)
+        if name == "tree":
+            loaded = models.load_ml_model(PipelineModel, root, name)
+        else:
+            loaded = models.load_logit(spark, root, name)
+            assert (loaded.covariance == model.covariance).all() and loaded.variables() == model.variables()
         if name == "tree":
             a, b = tree.tree_predict(model, df), tree.tree_predict(loaded, df)
         else:
