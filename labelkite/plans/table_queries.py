@@ -468,10 +468,105 @@ def logit_predict(spark, sf):
     return linear.logit_predict(model, df, RETURNED, KEPT, "predicted")
 
 
-@query("tree_predict")
+TREE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+TREE_DEPTH, TREE_BINS, HELD_OUT = 4, 64, 30
+
+
+def tree_sql() -> str:
+    """Growing, pruning and predicting, unrolled by level; a node is named by its path."""
+    key = "l_orderkey || ':' || l_linenumber"
+    gini = "({a} + {b} - ({a} * {a} + {b} * {b}) / ({a} + {b}))"
+    values = " UNION ALL ".join(f"SELECT {n} AS c, {x} AS x FROM base WHERE train" for n, x in enumerate(TREE_NUMBERS))
+    ranges = " ".join(f"JOIN bins b{n} ON b{n}.c = {n} AND {x} >= b{n}.begin AND {x} < b{n}.after" for n, x in enumerate(TREE_NUMBERS))
+    kept = "row, class, train, f0, f1, f2, f3, f4"
+    parts = [
+        f"""base AS MATERIALIZED (
+  SELECT *, CASE l_returnflag WHEN 'R' THEN 'R' ELSE 'N' END AS class, {i.unit_sql(key)} < 0.7 AS train,
+    row_number() OVER () AS row FROM lineitem),
+ranked AS (
+  SELECT c, x, row_number() OVER (PARTITION BY c ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY c) AS d,
+    coalesce(sum(n) OVER (PARTITION BY c ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(n) OVER (PARTITION BY c) AS total
+  FROM (SELECT c, x, count(*) AS n FROM ({values}) GROUP BY c, x)),
+filled AS (
+  SELECT c, CASE WHEN d <= {TREE_BINS} THEN r ELSE floor(CAST(below AS DOUBLE) * {TREE_BINS} / total) END AS bin, min(x) AS low
+  FROM ranked GROUP BY ALL),
+bins AS MATERIALIZED (
+  SELECT c, row_number() OVER w AS v, CASE WHEN row_number() OVER w = 1 THEN '-infinity'::DOUBLE ELSE low END AS begin,
+    coalesce(lead(low) OVER w, 'infinity'::DOUBLE) AS after FROM filled WINDOW w AS (PARTITION BY c ORDER BY bin)),
+r0 AS MATERIALIZED (
+  SELECT row, class, train, b0.v AS f0, b1.v AS f1, b2.v AS f2, b3.v AS f3, l_linestatus AS f4, 'root' AS node,
+    (SELECT class FROM base WHERE train GROUP BY class ORDER BY count(*) DESC, class LIMIT 1) AS label, true AS open
+  FROM base {ranges})"""
+    ]
+    for t in range(TREE_DEPTH):
+        cells = " UNION ALL ".join(
+            f"SELECT node, {n} AS c, {f'f{n}' if n < 4 else 'NULL'} AS v, {'NULL' if n < 4 else 'f4'} AS s, class FROM r{t} WHERE train AND open" for n in range(5)
+        )
+        w = "WINDOW w AS (PARTITION BY node, c ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY node, c)"
+        parts.append(
+            f"""h{t} AS MATERIALIZED (
+  SELECT node, c, v, s, count(*) FILTER (class = 'N')::DOUBLE AS a, count(*) FILTER (class = 'R')::DOUBLE AS b FROM ({cells}) GROUP BY ALL),
+n{t} AS (
+  SELECT node, c, v, la, lb, ta - la AS ha, tb - lb AS hb, ta, tb FROM (
+    SELECT node, c, v, sum(a) OVER w AS la, sum(b) OVER w AS lb, sum(a) OVER p AS ta, sum(b) OVER p AS tb FROM h{t} WHERE c < 4 {w})
+  WHERE la + lb >= 2 AND ta + tb - la - lb >= 2),
+g{t} AS (
+  SELECT node, c, v, round({gini.format(a='ta', b='tb')} - {gini.format(a='la', b='lb')} - {gini.format(a='ha', b='hb')}, 9) AS gain FROM n{t}
+  UNION ALL
+  SELECT node, c, NULL, round({gini.format(a='sum(a)', b='sum(b)')} - sum({gini.format(a='a', b='b')}), 9) FROM h{t}
+  WHERE c = 4 GROUP BY node, c HAVING count(*) FILTER (a + b >= 2) > 1),
+s{t} AS MATERIALIZED (
+  SELECT node, c, v FROM g{t} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, c, v) = 1),
+c{t} AS MATERIALIZED (
+  SELECT node, key, CASE WHEN sum(a) >= sum(b) THEN 'N' ELSE 'R' END AS label,
+    sum(a) > 0 AND sum(b) > 0 AND sum(a + b) >= 4 AS open
+  FROM (SELECT h.node, CASE WHEN q.v IS NULL THEN h.s WHEN h.v <= q.v THEN 'low' ELSE 'high' END AS key, a, b
+    FROM h{t} h JOIN s{t} q ON q.node = h.node AND q.c = h.c) GROUP BY node, key),
+r{t + 1} AS MATERIALIZED (
+  SELECT {kept}, r.node || '/' || k.key AS node, k.label, k.open, r.node AS parent, r.label AS before, q.node IS NOT NULL AS splits
+  FROM r{t} r LEFT JOIN s{t} q ON q.node = r.node
+    LEFT JOIN c{t} k ON k.node = r.node
+      AND k.key = CASE WHEN q.v IS NULL THEN f4 WHEN CASE q.c WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END <= q.v THEN 'low' ELSE 'high' END)"""
+        )
+    # From below: what a node gets wrong at best, of the rows set aside.
+    parts.append(f"e{TREE_DEPTH} AS (SELECT node, parent, count(*) FILTER (label <> class) AS wrong FROM r{TREE_DEPTH} WHERE NOT train AND node IS NOT NULL GROUP BY ALL)")
+    for t in reversed(range(TREE_DEPTH)):
+        parent = "parent" if t else "NULL AS parent"
+        parts.append(
+            f"""o{t} AS (
+  SELECT parent AS node, count(*) FILTER (before <> class) AS wrong, count(*) FILTER (before <> class AND node IS NULL) AS stay
+  FROM r{t + 1} WHERE NOT train AND parent IS NOT NULL AND splits GROUP BY parent),
+k{t} AS MATERIALIZED (
+  SELECT node, wrong, stay + coalesce(inside, 0) AS inside FROM o{t}
+    LEFT JOIN (SELECT parent AS node, sum(wrong) AS inside FROM e{t + 1} GROUP BY parent) USING (node)),
+e{t} AS (
+  SELECT node, parent, CASE WHEN k.node IS NOT NULL AND k.inside < k.wrong THEN k.inside ELSE m.wrong END AS wrong
+  FROM (SELECT node, {parent}, count(*) FILTER (label <> class) AS wrong FROM r{t} WHERE NOT train AND node IS NOT NULL GROUP BY ALL) m
+    LEFT JOIN k{t} k USING (node))"""
+        )
+    parts.append("w0 AS (SELECT row, label AS predicted, true AS goes FROM r0)")
+    for t in range(TREE_DEPTH):
+        parts.append(
+            f"""w{t + 1} AS (
+  SELECT row, CASE WHEN goes AND k.node IS NOT NULL AND r.node IS NOT NULL THEN r.label ELSE predicted END AS predicted,
+    goes AND k.node IS NOT NULL AND r.node IS NOT NULL AS goes
+  FROM w{t} JOIN r{t + 1} r USING (row) LEFT JOIN k{t} k ON k.node = r.parent AND k.inside < k.wrong)"""
+        )
+    return ",\n".join(parts)
+
+
+@query(
+    "tree_predict",
+    f"""WITH {tree_sql()}
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, class AS l_returnflag, predicted
+FROM base JOIN w{TREE_DEPTH} USING (row)""",
+)
 def tree_predict(spark, sf):
+    """A pruned tree of all lines; its depth is bounded as the SQL unrolls it."""
     df = lines(spark, sf)
-    return tree.tree_predict(tree.tree_fit(df, "l_returnflag", keys=LINE_KEY), df)
+    model = tree.tree_fit(df, "l_returnflag", keys=LINE_KEY, max_depth=TREE_DEPTH, max_bins=TREE_BINS, held_out=HELD_OUT)
+    return tree.tree_predict(model, df)
 
 
 @query("svm_rbf_predict")

@@ -12,6 +12,7 @@ from labelkite.operators.bayes import TermBayes
 from labelkite.operators.linear import LogitModel
 from labelkite.operators.mixed_bayes import MixedBayes
 from labelkite.operators.prepare import ImputeModel, RangeModel
+from labelkite.operators.tree import TreeModel
 
 SCHEMAS = {
     "term_bayes_classes": {"label": "string", "docs": "bigint", "total": "double", "smoothing": "double"},
@@ -33,6 +34,7 @@ SCHEMAS = {
         "covariance": "array<double>",
         "positive": "string",
     },
+    "tree_columns": {"place": "int", "column": "string", "kind": "string"},
     "ranges": {"name": "string", "low": "double", "high": "double", "lo": "double", "hi": "double"},
 }
 
@@ -78,6 +80,13 @@ def write_model(model, root: str, model_id: str, spec_id: str = "none") -> None:
         table = [(i, c, v, w, row, model.positive) for i, (c, v), w, row in cells]
         schema = ", ".join(f"{c} {t}" for c, t in SCHEMAS["logit"].items())
         write_parameters(SparkSession.active().createDataFrame(table, schema), root, "logit", model_id, spec_id)
+    elif isinstance(model, TreeModel):
+        write_parameters(model.nodes, root, "tree", model_id, spec_id)
+        named = [(c, "number") for c in model.numeric] + [(c, "value") for c in model.nominal]
+        named += [(model.label, "label"), (model.prediction, "prediction"), (str(model.depth), "depth")]
+        rows = [(i, c, kind) for i, (c, kind) in enumerate(named)]
+        schema = ", ".join(f"{c} {t}" for c, t in SCHEMAS["tree_columns"].items())
+        write_parameters(SparkSession.active().createDataFrame(rows, schema), root, "tree_columns", model_id, spec_id)
     else:
         model.write().overwrite().save(_folder(root, "ml", model_id, spec_id))
 
@@ -126,6 +135,14 @@ def load_logit(spark: SparkSession, root: str, model_id: str, spec_id: str = "no
     )
 
 
+def load_tree(spark: SparkSession, root: str, model_id: str, spec_id: str = "none") -> TreeModel:
+    rows = sorted(load_parameters(spark, root, "tree_columns", model_id, spec_id).collect(), key=lambda r: r["place"])
+    by_kind = {k: [r["column"] for r in rows if r["kind"] == k] for k in ("number", "value", "label", "prediction", "depth")}
+    nodes = load_parameters(spark, root, "tree", model_id, spec_id)
+    label, prediction, depth = (by_kind[k][0] for k in ("label", "prediction", "depth"))
+    return TreeModel(nodes, label, by_kind["number"], by_kind["value"], int(depth), prediction)
+
+
 def load_ml_model(kind, root: str, model_id: str, spec_id: str = "none"):
     """A model stored by its own writer; ``kind`` is its class."""
     return kind.load(_folder(root, "ml", model_id, spec_id))

@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
 
 from labelkite.operators import linear, tree
@@ -141,7 +140,7 @@ def test_stored_table_models(spark):
     for name, model in (("tree", tree.tree_fit(df, "class", max_depth=4)), ("logit", linear.logit_fit(df, "class", "high"))):
         models.write_model(model, root, name)
         if name == "tree":
-            loaded = models.load_ml_model(PipelineModel, root, name)
+            loaded = models.load_tree(spark, root, name)
         else:
             loaded = models.load_logit(spark, root, name)
             assert (loaded.covariance == model.covariance).all() and loaded.variables() == model.variables()
