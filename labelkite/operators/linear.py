@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from labelkite.operators.mixed_bayes import split_kinds
 from labelkite.operators.prepare import NUMERIC
-from labelkite.operators.skew import lookup_join, small_rows
+from labelkite.operators.skew import BROADCAST_BYTES, lookup_join, small_rows, table_bytes
 from labelkite.operators.vectors import occurrences
 from labelkite.shared import forget, written
 
@@ -97,6 +97,120 @@ def logistic_l2_fit(train: DataFrame, c: float = 1.0, max_iter: int = 100) -> Lo
     ).fit(train)
 
 
+STEPS = [2.0**k for k in range(3, -8, -1)]  # lengths that a line search looks at
+BIAS = ""  # the term that stands for the constant: no token is empty
+
+
+def logistic_descent(
+    points: DataFrame,
+    terms: DataFrame,
+    rows: int,
+    id: str,
+    l2: float = 0.0,
+    iterations: int = 10,
+    history: int = 4,
+    tol: float = 1e-6,
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Stored ``(term, weight)`` of a logistic regression, by L-BFGS whose vectors are term tables.
+
+    ``points`` is a stored table ``(id, y, term, value)``, ``y`` being 1 or -1; ``terms`` has the column
+    ``term``, ``rows`` is the number of documents. It minimises the mean loss plus ``l2 / 2`` times the
+    squared weights, that of ``BIAS`` left out.
+
+    One table has for each term its weight, gradient and the last ``history`` steps and changes of the
+    gradient. The two-loop recursion runs on the products of these columns with one another, which one
+    aggregate adds up (Chen et al., 2014), so the driver holds a few dozen numbers and no weight. A round
+    joins the points with the direction and adds up by document; the lengths of the line search are
+    compared in one aggregate over documents, the best is taken; then the points are joined with the
+    documents' residuals and added up by term.
+    """
+    small = table_bytes(terms)[1] * 4 <= max_bytes  # with a number for each term
+
+    def by_document(weights: DataFrame, name: str) -> DataFrame:
+        """Sum of ``value`` times the number of each document's terms."""
+        known = points.join(F.broadcast(weights), "term") if small else lookup_join(points, weights, "term", max_bytes=max_bytes)
+        return known.groupBy(id, "y").agg(F.sum(F.col(name) * F.col("value")).alias(name))
+
+    def gradient(documents: DataFrame) -> DataFrame:
+        """``(term, g)`` of the loss at the documents' margins ``m``."""
+        pull = -F.col("y") / (1 + F.exp(F.col("y") * F.col("m")))
+        sums = points.join(documents.select(id, pull.alias("pull")), id).groupBy("term")
+        return sums.agg((F.sum(F.col("pull") * F.col("value")) / rows).alias("g"))
+
+    penalty = F.when(F.col("term") == BIAS, 0.0).otherwise(l2)
+    none = F.array().cast("array<double>")
+    documents = written(points.select(id, "y").distinct().withColumn("m", F.lit(0.0)), "margins")
+    start = terms.select("term").join(gradient(documents), "term", "left")
+    state = written(start.select("term", F.lit(0.0).alias("w"), F.coalesce("g", F.lit(0.0)).alias("g"), none.alias("s"), none.alias("c")), "descent")
+    pairs = 0
+    for _ in range(iterations):
+        basis = [F.get("s", F.lit(j)) for j in range(pairs)] + [F.get("c", F.lit(j)) for j in range(pairs)] + [F.col("g")]
+        at = [(a, b) for a in range(len(basis)) for b in range(a, len(basis))]
+        found = state.agg(*[F.sum(basis[a] * basis[b]).alias(f"p{a}_{b}") for a, b in at], F.sum(F.col("w") ** 2).alias("w")).first()
+        gram = np.zeros((len(basis), len(basis)))
+        for a, b in at:
+            gram[a, b] = gram[b, a] = found[f"p{a}_{b}"] or 0.0
+        if math.sqrt(gram[-1, -1]) < tol * max(1.0, math.sqrt(found["w"] or 0.0)):
+            break
+        mixing = _two_loops(gram, pairs)
+        direction = sum((F.lit(float(-x)) * b for x, b in zip(mixing, basis)), F.lit(0.0))
+        state = written(state.withColumn("d", direction), "descent")
+        moves = by_document(state.select("term", "d"), "d")
+        documents = written(documents.join(moves.select(id, F.col("d").alias("md")), id), "margins")
+        losses = [F.sum(F.log1p(F.exp(-F.col("y") * (F.col("m") + t * F.col("md"))))).alias(f"l{k}") for k, t in enumerate(STEPS)]
+        squares = [F.sum(penalty * (F.col("w") + t * F.col("d")) ** 2).alias(f"q{k}") for k, t in enumerate(STEPS)]
+        loss, square = documents.agg(*losses).first(), state.agg(*squares).first()
+        length = min(STEPS, key=lambda t: (loss[STEPS.index(t)] or 0.0) / rows + (square[STEPS.index(t)] or 0.0) / 2)
+        documents = documents.select(id, "y", (F.col("m") + length * F.col("md")).alias("m"))
+        moved = state.withColumns({"w": F.col("w") + length * F.col("d"), "step": length * F.col("d"), "before": F.col("g")}).drop("g", "d")
+        moved = moved.join(gradient(documents), "term", "left").withColumn("g", F.coalesce("g", F.lit(0.0)) + penalty * F.col("w"))
+        first = 2 if pairs == history else 1
+        kept = [F.concat(F.slice(c, first, history), F.array(x)).alias(c) for c, x in (("s", F.col("step")), ("c", F.col("g") - F.col("before")))]
+        last, state = state, written(moved.select("term", "w", "g", *kept), "descent")
+        forget(last)
+        pairs = min(pairs + 1, history)
+    return state.select("term", F.col("w").alias("weight"))
+
+
+def _two_loops(gram: np.ndarray, pairs: int) -> np.ndarray:
+    """Shares of the steps, changes and gradient in the inverse Hessian times the gradient, by their products."""
+    mixing = np.zeros(len(gram))
+    mixing[-1] = 1.0
+    alpha = np.zeros(pairs)
+    for j in reversed(range(pairs)):
+        alpha[j] = gram[j] @ mixing / gram[j, pairs + j]
+        mixing[pairs + j] -= alpha[j]
+    if pairs:
+        mixing *= gram[pairs - 1, 2 * pairs - 1] / gram[2 * pairs - 1, 2 * pairs - 1]
+    for j in range(pairs):
+        mixing[j] += alpha[j] - gram[pairs + j] @ mixing / gram[j, pairs + j]
+    return mixing
+
+
+def logistic_terms_fit(
+    docs: DataFrame, spec: DataFrame, id: str, label: str, positive: str, c: float | None = None, **options
+) -> DataFrame:
+    """``(term, doc_freq, weight)``: logistic regression on the presence of the spec's terms in token lists.
+
+    Without ``c`` there is no penalty and no constant; with it, the penalty is ``|w|^2 / 2`` against ``c``
+    times the summed loss, and the constant is the weight of ``BIAS``, whose document frequency is null.
+    """
+    sign = F.when(F.col(label) == positive, 1.0).otherwise(-1.0).alias("y")
+    signed = docs.select(id, sign, "tokens")
+    there = occurrences(signed, [id, "y"]).where(F.col("term").isNotNull())
+    points = lookup_join(there, spec.select("term"), "term").select(id, "y", "term", F.lit(1.0).alias("value"))
+    terms = spec.select("term", "doc_freq")
+    rows = docs.count()
+    if c is not None:
+        points = points.unionByName(signed.select(id, "y", F.lit(BIAS).alias("term"), F.lit(1.0).alias("value")))
+        terms = terms.unionByName(docs.sparkSession.createDataFrame([(BIAS, None)], "term string, doc_freq long"))
+    terms = written(terms, "terms")
+    l2 = 0.0 if c is None else 1.0 / (c * rows)
+    weights = logistic_descent(written(points, "points"), terms, rows, id, l2, **options)
+    return terms.join(weights, "term").select("term", "doc_freq", "weight")
+
+
 def score_by_model(
     docs: DataFrame, weights: DataFrame, id: str, keep: list[str], tokens: str = "tokens"
 ) -> DataFrame:

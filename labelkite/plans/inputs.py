@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from labelkite.functions import tokenize
 from labelkite.operators.rows import hash_split
 from labelkite.operators.vocab import doc_freq
-from labelkite.shared import written
-from labelkite.sources.tables import read_documents
+from labelkite.shared import TEXT_PARTS, written
+from labelkite.sources.tables import read_documents, spread
 
 CLASSES = ["negative", "positive"]
 WEIGHTS = [6, 4]
@@ -21,7 +21,13 @@ def table(spark: SparkSession, sf: str, name: str, fields: list[str] | None = No
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents", ["doc_id", "text"])
+    """Ids and texts, dealt out to as many tasks as the session's setting says.
+
+    Without the setting they stay as the files have them, which is right for many files. A single file
+    with one row group is one task's work, however many cores there are.
+    """
+    parts = spark.conf.get(TEXT_PARTS, None)
+    return spread(table(spark, sf, "documents", ["doc_id", "text"]), int(parts) if parts else None)
 
 
 def document_tokens(spark: SparkSession, sf: str) -> DataFrame:

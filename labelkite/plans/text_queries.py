@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from labelkite.functions import clean_text, encode_label, join_tokens
@@ -225,17 +224,6 @@ def predicted_field(spark, sf):
 # Iterative learners
 
 
-def training_vectors(spark, sf):
-    """Feature spec, the stored training vectors ``(label, features)``, and both parts as tokens."""
-    train, test = i.split_tokens(spark, sf)
-    spec, length = vocab.vocabulary_spec(vocab.doc_freq(i.document_tokens(spark, sf)), "all_terms")
-    spec = written(spec, "spec")
-    coded = vectors.doc_vectors(train, spec, "doc_id", ["label"]).select(
-        encode_label(F.col("label")).alias("label"), "indices", "values"
-    )
-    return spec, length, vectors.ml_vectors(coded, length), train, test
-
-
 def svm_predictions(spec, train, test):
     """The weights are stored under a model id, and the stored model is applied."""
     spark = test.sparkSession
@@ -247,15 +235,17 @@ def svm_predictions(spec, train, test):
     return scored.withColumn("predicted", linear.margin_class(F.col("margin")))
 
 
-def logistic_predictions(model, spec, length, test):
-    """The fitted model is stored under a model id, loaded, and applied to the test documents."""
-    root = fresh_path(test.sparkSession, "models")
-    models.write_model(model, root, "logistic", "all_terms")
-    stored = models.load_ml_model(LogisticRegressionModel, root, "logistic", "all_terms")
-    coded = vectors.doc_vectors(test, spec, "doc_id", ["label"])
-    out = stored.transform(vectors.ml_vectors(coded, length))
-    named = F.when(F.col("prediction") == 1.0, "positive").otherwise("negative")
-    return out.select("doc_id", "label", named.alias("predicted"))
+def logistic_predictions(spec, train, test, c=None):
+    """The weights are stored under a model id, loaded, and applied to the test documents."""
+    spark = test.sparkSession
+    root = fresh_path(spark, "models")
+    table = linear.logistic_terms_fit(train, spec, "doc_id", "label", "positive", c)
+    models.write_parameters(table, root, "term_weights", "logistic", "all_terms")
+    stored = models.load_parameters(spark, root, "term_weights", "logistic", "all_terms")
+    constant = stored.where(F.col("term") == linear.BIAS).first()
+    scored = linear.score_by_model(test, stored, "doc_id", ["label"])
+    margin = F.round(F.col("margin") + (constant["weight"] if constant else 0.0), 9)
+    return scored.select("doc_id", "label", linear.margin_class(margin).alias("predicted"))
 
 
 def descent_sql(iterations: int = 10, step: float = 0.1, reg: float = 0.01, tol: float = 0.001) -> str:
@@ -301,28 +291,92 @@ def svm_predict(spark, sf):
     return found.withColumn("margin", F.round("margin", 6))
 
 
-@query("lr_predict")
+def quasi_newton_sql(l2: str, iterations: int = 10, history: int = 4) -> str:
+    """L-BFGS with its vectors as tables, unrolled: the two loops, the line search, the gradient."""
+    penalty = f"CASE WHEN term = '' THEN 0e0 ELSE {l2} END"
+    n = "(SELECT count(*) FROM tr)"
+    gradient = f"""SELECT term, coalesce(g, 0) + {penalty} * w AS g FROM w{{t}} LEFT JOIN (
+    SELECT term, sum(-y / (1 + exp(y * m))) / {n} AS g FROM x JOIN m{{t}} USING (doc_id) GROUP BY term) USING (term)"""
+    parts = [
+        "w0 AS MATERIALIZED (SELECT term, 0e0 AS w FROM features)",
+        "m0 AS MATERIALIZED (SELECT doc_id, y, 0e0 AS m FROM tr WHERE doc_id IN (SELECT doc_id FROM x))",
+        f"g0 AS MATERIALIZED ({gradient.format(t=0)})",
+    ]
+    for t in range(iterations):
+        pairs = list(range(max(0, t - history), t))
+        parts.append(f"q{t}_0 AS MATERIALIZED (SELECT term, g AS q FROM g{t})")
+        k = 0
+        for j in reversed(pairs):
+            parts.append(
+                f"""a{t}_{j} AS MATERIALIZED (SELECT sum(s * q) / (SELECT sc FROM r{j}) AS a FROM p{j} JOIN q{t}_{k} USING (term)),
+q{t}_{k + 1} AS MATERIALIZED (SELECT term, q - (SELECT a FROM a{t}_{j}) * c AS q FROM q{t}_{k} JOIN p{j} USING (term))"""
+            )
+            k += 1
+        if pairs:
+            parts.append(f"q{t}_{k + 1} AS MATERIALIZED (SELECT term, q * (SELECT sc / cc FROM r{t - 1}) AS q FROM q{t}_{k})")
+            k += 1
+        for j in pairs:
+            parts.append(
+                f"""b{t}_{j} AS MATERIALIZED (SELECT sum(c * q) / (SELECT sc FROM r{j}) AS b FROM p{j} JOIN q{t}_{k} USING (term)),
+q{t}_{k + 1} AS MATERIALIZED (
+  SELECT term, q + ((SELECT a FROM a{t}_{j}) - (SELECT b FROM b{t}_{j})) * s AS q FROM q{t}_{k} JOIN p{j} USING (term))"""
+            )
+            k += 1
+        parts.append(
+            f"""d{t} AS MATERIALIZED (SELECT term, -q AS d, w FROM q{t}_{k} JOIN w{t} USING (term)),
+v{t} AS MATERIALIZED (
+  SELECT doc_id, y, m, md FROM m{t} JOIN (SELECT doc_id, sum(d) AS md FROM x JOIN d{t} USING (term) GROUP BY doc_id) USING (doc_id)),
+l{t} AS MATERIALIZED (
+  SELECT arg_min(len, f) AS len FROM (
+    SELECT pow(2e0, e) AS len, (SELECT sum(ln(1 + exp(-y * (m + pow(2e0, e) * md)))) FROM v{t}) / {n}
+      + (SELECT sum({penalty} * pow(w + pow(2e0, e) * d, 2)) FROM d{t}) / 2 AS f FROM range(-7, 4) r(e))),
+w{t + 1} AS MATERIALIZED (SELECT term, w + (SELECT len FROM l{t}) * d AS w FROM d{t}),
+m{t + 1} AS MATERIALIZED (SELECT doc_id, y, m + (SELECT len FROM l{t}) * md AS m FROM v{t}),
+g{t + 1} AS MATERIALIZED ({gradient.format(t=t + 1)}),
+p{t} AS MATERIALIZED (
+  SELECT term, (SELECT len FROM l{t}) * d AS s, b.g - a.g AS c FROM d{t} JOIN g{t} a USING (term) JOIN g{t + 1} b USING (term)),
+r{t} AS MATERIALIZED (SELECT sum(s * c) AS sc, sum(c * c) AS cc FROM p{t})"""
+        )
+    return ",\n".join(parts)
+
+
+def logistic_sql(l2: str = "0e0", constant: bool = False, iterations: int = 10) -> str:
+    bias = " UNION ALL SELECT ''" if constant else ""
+    ones = " UNION ALL SELECT doc_id, '' FROM tr" if constant else ""
+    margin = f"coalesce(sum(w), 0){f' + (SELECT w FROM w{iterations} WHERE term = {chr(39) * 2})' if constant else ''}"
+    return f"""WITH {i.SPLIT}, {i.TERMS},
+tr AS MATERIALIZED (SELECT doc_id, CASE label WHEN 'positive' THEN 1e0 ELSE -1e0 END AS y FROM part WHERE train),
+known AS MATERIALIZED (SELECT doc_id, term FROM tok JOIN vocab USING (term) JOIN part USING (doc_id)),
+features AS (SELECT term FROM vocab{bias}),
+x AS MATERIALIZED (SELECT doc_id, term FROM known JOIN tr USING (doc_id){ones}),
+{quasi_newton_sql(l2, iterations)}
+SELECT p.doc_id, p.label, CASE WHEN round({margin}, 9) > 0 THEN 'positive' ELSE 'negative' END AS predicted
+FROM part p LEFT JOIN known k ON k.doc_id = p.doc_id LEFT JOIN w{iterations} USING (term)
+WHERE NOT p.train GROUP BY p.doc_id, p.label"""
+
+
+@query("lr_predict", logistic_sql())
 def lr_predict(spark, sf):
-    spec, length, train, _, test = training_vectors(spark, sf)
-    return logistic_predictions(linear.logistic_fit(train), spec, length, test)
+    train, test = i.split_tokens(spark, sf)
+    return logistic_predictions(i.vocabulary(spark, sf), train, test)
 
 
-@query("lr_l2_predict")
+@query("lr_l2_predict", logistic_sql("(1e0 / (SELECT count(*) FROM tr))", constant=True))
 def lr_l2_predict(spark, sf):
-    spec, length, train, _, test = training_vectors(spark, sf)
-    return logistic_predictions(linear.logistic_l2_fit(train), spec, length, test)
+    train, test = i.split_tokens(spark, sf)
+    return logistic_predictions(i.vocabulary(spark, sf), train, test, c=1.0)
 
 
 @query("compare_models")
 def compare_models(spark, sf):
-    spec, length, vectors_, train, test = training_vectors(spark, sf)
+    train, test = i.split_tokens(spark, sf)
+    spec = i.vocabulary(spark, sf)
     naive = bayes.multinomial_fit(train, spec)
-    logistic = linear.logistic_fit(vectors_)
     return score.compare_accuracy(
         {
             "naive_bayes": bayes.multinomial_predict(naive, test, "doc_id", ["label"]),
             "svm": svm_predictions(spec, train, test),
-            "logistic": logistic_predictions(logistic, spec, length, test),
+            "logistic": logistic_predictions(spec, train, test),
         },
         "label",
         "predicted",

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+TEXT_PARTS = "spark.labelkite.textParts"  # tasks that a text table is dealt out to; unset: as its files are
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -23,6 +24,7 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(TEXT_PARTS, str(partitions))
         .getOrCreate()
     )
     if spark.sparkContext.getConf().get("spark.checkpoint.dir") is None:

@@ -167,3 +167,34 @@ def test_kernel_features_approach_the_kernel(spark):
     want = np.exp(-(0.3**2 + 0.3**2) / (2 * 0.5**2))
     assert z[0] @ z[1] == pytest.approx(want, abs=0.05)
     assert z[0] @ z[0] == pytest.approx(1.0, abs=0.05)
+
+
+def test_term_descent_against_newton(spark):
+    """The penalised optimum, the constant without penalty, and documents and terms that tell nothing."""
+    rng = np.random.default_rng(8)
+    x = (rng.uniform(size=(60, 8)) < 0.4).astype(float)
+    y = np.where(x[:, 0] + x[:, 1] - x[:, 2] + rng.normal(0, 0.7, 60) > 0.4, 1.0, -1.0)
+    docs = [(i, "positive" if y[i] > 0 else "negative", [f"t{j}" for j in np.flatnonzero(x[i])] + ["unknown"]) for i in range(60)]
+    df = spark.createDataFrame(docs, "id long, label string, tokens array<string>")
+    spec = spark.createDataFrame([(f"t{j}", 1) for j in range(8)] + [("absent", 1)], "term string, doc_freq long")
+    full = np.column_stack([x, np.ones(60)])
+    for c in (0.5, None):
+        if c is None:
+            full, ridge = x, np.zeros(8)
+        else:
+            ridge = np.array([1 / (c * 60)] * 8 + [0.0])
+        w = np.zeros(full.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(full @ w)))
+            h = full.T @ (full * (p * (1 - p))[:, None]) / 60 + np.diag(ridge)
+            w -= np.linalg.solve(h, full.T @ (p - (y > 0)) / 60 + ridge * w)
+        out = linear.logistic_terms_fit(df, spec, "id", "label", "positive", c, iterations=30)
+        got = {r["term"]: r["weight"] for r in out.collect()}
+        assert [got[f"t{j}"] for j in range(8)] == pytest.approx(w[:8].tolist(), abs=1e-4) and got["absent"] == 0
+        assert (linear.BIAS in got) == (c is not None)
+        if c is not None:
+            assert got[linear.BIAS] == pytest.approx(w[8], abs=1e-4)
+            few = linear.logistic_terms_fit(df, spec, "id", "label", "positive", c, iterations=5)
+            wide = linear.logistic_terms_fit(df, spec, "id", "label", "positive", c, iterations=5, max_bytes=1)
+            a, b = ({r["term"]: r["weight"] for r in f.collect()} for f in (few, wide))
+            assert a == pytest.approx(b, abs=1e-9)
