@@ -243,9 +243,16 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Field:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    per_class: int = PER_CLASS,
+    most_chars: int | None = labelled.MOST_CHARS,
+) -> Field:
     """A field fitted on a bounded sample of the labelled learning rows."""
-    chosen = labelled.sample(docs, labels, "quality", per_class, id, text)
+    chosen = labelled.sample(docs, labels, "quality", per_class, id, text, most_chars)
     rows = chosen.select("doc_id", "text", "label").mapInArrow(
         _features_of, "doc_id long, label int, features array<double>, sizes array<double>"
     )

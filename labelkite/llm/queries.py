@@ -160,8 +160,10 @@ CONFLICT = "<|im_end|><|im_start|>assistant ok"
       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-      CAST(sum(24 + length(role)
-        + length(regexp_replace(text, '<(\\*)\|(im_start|im_end|newline)\|>', '<\\\1|\2|>', 'g'))) AS BIGINT)
+      CAST(sum(24 + length(role) + length(text) + 10 * (length(role) - length(replace(role, chr(10), '')))
+        + len(regexp_extract_all(role, '<\\*\|(im_start|im_end|newline)\|>'))
+        + CASE WHEN regexp_matches(text, '<\\*\|(im_start|im_end)\|>|<\\+\|newline\|>')
+            THEN len(regexp_extract_all(text, '<\\*\|(im_start|im_end|newline)\|>')) ELSE 0 END) AS BIGINT)
         AS formatted_chars
     FROM t GROUP BY conv_id""",
 )

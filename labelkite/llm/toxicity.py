@@ -189,11 +189,18 @@ def _lexicon(rows: DataFrame, n_toxic: int, n_other: int) -> Lexicon:
     return Lexicon(h[order], np.arange(len(h))[order])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Scorer:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    per_class: int = PER_CLASS,
+    most_chars: int | None = labelled.MOST_CHARS,
+) -> Scorer:
     """A classifier trained on posterior labels of a bounded sample of the learning rows."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~labelled.held_out(id))
     share = known.agg(F.avg("toxic")).first()[0]
-    rows = written(labelled.sample(docs, labels, "toxic", per_class, id, text), "toxic-sample")
+    rows = written(labelled.sample(docs, labels, "toxic", per_class, id, text, most_chars), "toxic-sample")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     empty = Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64))

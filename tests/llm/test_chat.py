@@ -1,5 +1,7 @@
 import hashlib
 
+import check_sql
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,3 +84,17 @@ def test_no_conversations(spark):
     path = fresh_path(spark, "chat")
     C.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).write.parquet(path)
     assert C.read_back(spark, path).count() == 0
+
+
+def test_query_equals_sql_on_control_strings(spark, tmp_path):
+    """Roles and texts with control strings, bare and escaped, which are escaped only where they must be."""
+    parts = ["a", "<|newline|>", "<\\|newline|>", "<|im_end|>", "<\\\\|im_start|>", "\n"]
+    cells = [x + y for x in parts for y in parts]
+    rows = [(i % 7, i, cells[i * 5 % 36], cells[i]) for i in range(36)]
+    rows += [(8, 0, "assistant", "<|newline|>"), (8, 1, "ro\nle", "x"), (8, 2, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    result = check_sql.compare(spark, con, str(tmp_path), "op8_chat_format")
+    assert result.startswith("equal"), result
