@@ -473,3 +473,20 @@ def upsert_by_key(spark, sf):
         F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey"
     )
     return tables.upsert_documents(customers, changes, "c_custkey", version="o_orderkey")
+
+
+@query(
+    "upsert_bucketed",
+    """WITH n AS (SELECT o_custkey AS c_custkey, arg_max(o_totalprice, o_orderkey) AS c_acctbal
+  FROM orders WHERE o_custkey % 50 < 2 GROUP BY o_custkey)
+SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n)
+UNION ALL SELECT c_custkey, c_acctbal FROM n""",
+)
+def upsert_bucketed(spark, sf):
+    """Changes of some customers, replaced in a stored table whose other buckets are not touched."""
+    path = fresh_path(spark, "customers")
+    tables.write_bucketed(i.table(spark, sf, "customer", ["c_custkey", "c_acctbal"]), path, "c_custkey", 64)
+    orders = i.table(spark, sf, "orders", ["o_custkey", "o_totalprice", "o_orderkey"]).where("o_custkey % 50 < 2")
+    changes = orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey")
+    tables.upsert_bucketed(spark, path, changes, "c_custkey", 64, version="o_orderkey")
+    return spark.read.parquet(path).select("c_custkey", "c_acctbal")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelkite.shared import forget, written
+
 
 def read_documents(
     spark: SparkSession, path: str, fields: list[str] | None = None, where: Column | str | None = None
@@ -58,6 +60,47 @@ def upsert_documents(
     return last.select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in target.columns])
 
 
+BUCKET = "_bucket"
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    """Number of the folder that a key's rows lie in; a null key has one as well."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Create or replace a table laid out by a hash of its key, one folder for each bucket."""
+    _to_buckets(df, path, key, buckets)
+
+
+def _to_buckets(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    number = bucket_of(key, buckets)
+    dealt = df.withColumn(BUCKET, number).repartition(BUCKET)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+
+
+def upsert_bucketed(
+    spark: SparkSession, path: str, rows: DataFrame, key: str, buckets: int, version: str | None = None
+) -> list[int]:
+    """``upsert_documents`` on a stored table of ``write_bucketed``; the buckets that were rewritten.
+
+    The changes are stored first, so that their buckets and their rows are the same however often a task
+    runs. Only folders with a changed key are read (the filter on the folder reaches the scan) and
+    replaced, all others stay as they are: work grows with the changes, not with the table. Choose
+    ``buckets`` so that one holds what a task can, and keep it; another number finds other folders.
+    """
+    changes = written(rows.withColumn(BUCKET, bucket_of(key, buckets)), "changes")
+    touched = [r[0] for r in changes.select(BUCKET).distinct().orderBy(BUCKET).collect()]  # ``buckets`` at most
+    if touched:
+        target = spark.read.parquet(path)
+        old = target.where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+        merged = written(upsert_documents(old, changes.drop(BUCKET), key, version), "merged")
+        _to_buckets(merged, path, key, buckets)
+        forget(merged)
+    forget(changes)
+    return touched
+
+
 def as_variant(json_text: Column) -> Column:
     """A schema-free document from JSON text."""
     return F.parse_json(json_text)

@@ -240,3 +240,22 @@ def test_row_operators(spark, rows):
     assert rows(train, "id") != rows(other, "id")
     assert row_ops.random_scan(many, ["id"], 0.9).where("score >= 0.9").count() in range(400, 600)
     assert fresh_path(spark, "a") != fresh_path(spark, "a")
+
+
+def test_bucketed_upsert_rewrites_only_what_changed(spark, tmp_path):
+    rows = [(i, f"old {i}") for i in range(400)] + [(None, "no key")]
+    path = str(tmp_path / "table")
+    tables.write_bucketed(spark.createDataFrame(rows, "id long, text string"), path, "id", 16)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    changes = spark.createDataFrame([(7, "a", 1), (7, "b", 2), (900, "new", 1)], "id long, text string, v long")
+    touched = tables.upsert_bucketed(spark, path, changes, "id", 16, version="v")
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    assert 1 <= len(touched) <= 2
+    for p, t in before.items():
+        number = int(p.parent.name.split("=")[1])
+        assert (p in after and after[p] == t) == (number not in touched)
+    got = {r["id"]: r["text"] for r in spark.read.parquet(path).collect()}
+    assert got == {**dict(rows), 7: "b", 900: "new"}
+    assert tables.upsert_bucketed(spark, path, changes.limit(0), "id", 16) == []
+    plan = spark.read.parquet(path).where(F.col(tables.BUCKET).isin(touched))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull" in plan or f"{tables.BUCKET}" in plan.split("PartitionFilters:")[1][:80]
