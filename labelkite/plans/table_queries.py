@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelkite.functions import missing_token
-from labelkite.operators import linear, mixed_bayes, prepare, rows, score, tree
+from labelkite.operators import linear, mixed_bayes, prepare, rows, score, sketches, tree
 from labelkite.plans import inputs as i
 from labelkite.plans.registry import Registry
 from labelkite.shared import fresh_path, written
@@ -52,6 +52,33 @@ def column_values(spark, sf):
     return rows.column_values(classed(spark, sf, "c_name"), [*NOMINAL, TARGET, "c_name"])
 
 
+@query(
+    "column_sketches",
+    f"""WITH {i.ORDER_TABLE} {' UNION ALL '.join(
+        f"SELECT '{c}' AS name, count({c}) AS n, count(*) - count({c}) AS missing, "
+        + (f"min({c})" if c in NUMERIC else "NULL::DOUBLE") + " AS lower, " + (f"max({c})" if c in NUMERIC else "NULL::DOUBLE")
+        + " AS upper, true AS values_within, " + ("true" if c in NUMERIC else "NULL::BOOLEAN") + " AS median_within FROM t"
+        for c in [*NUMERIC, *NOMINAL, TARGET])}""",
+)
+def column_sketches(spark, sf):
+    """Sketches of four batches, stored and united, held against exact counts: are they within their error?"""
+    orders = classed(spark, sf, "o_orderkey")
+    columns = [*NOMINAL, TARGET]
+    batches = [orders.where(F.pmod("o_orderkey", F.lit(4)) == b) for b in range(4)]
+    stored = [written(sketches.column_sketches(b, NUMERIC, columns), "sketches") for b in batches]
+    found = sketches.estimates(sketches.united(stored), [0.5])
+    exact = rows.value_counts(orders, [*NUMERIC, *columns]).groupBy("name").agg(F.count("value").alias("values"))
+    below = orders.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in NUMERIC])))
+    medians = found.where("at is not null").select("name", F.col("at")[0].alias("median"))
+    ranks = below.join(F.broadcast(medians), "name").groupBy("name").agg(
+        F.avg((F.col("x") < F.col("median")).cast("double")).alias("low"), F.avg((F.col("x") <= F.col("median")).cast("double")).alias("high")
+    )
+    both = found.join(exact, "name").join(ranks, "name", "left")
+    near = F.abs(F.col("n_values") - F.col("values")) <= F.greatest(0.03 * F.col("values"), F.lit(0.5))
+    middle = (F.col("low") <= 0.52) & (F.col("high") >= 0.48)
+    return both.select("name", "n", "missing", "lower", "upper", near.alias("values_within"), middle.alias("median_within"))
+
+
 @query("keep_columns", f"WITH {i.ORDER_TABLE} SELECT o_orderkey, c_name FROM t")
 def keep_columns(spark, sf):
     """The order table without the columns that the learners read."""
