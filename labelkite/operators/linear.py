@@ -39,18 +39,23 @@ def hinge_descent(
     inside the margin; weights stay a table. It stops after the step, the second at the earliest, that
     moves them by less than ``tol`` of their length, or of 1.
     """
-    weights = terms.select("term", F.lit(0.0).alias("weight"))
+    weights, stored = terms.select("term", F.lit(0.0).alias("weight")), None
+    # The terms stay the same, so their size is measured once; a weight adds a number to each.
+    small = table_bytes(terms.select("term"))[1] * 4 <= BROADCAST_BYTES
     for t in range(1, iterations + 1):
         rate = step / math.sqrt(t)
         margin = F.round(F.col("y") * F.sum(F.col("weight") * F.col("value")), 12)
-        inside = lookup_join(points, weights, "term").groupBy(id, "y").agg(margin.alias("m")).where("m < 1")
+        known = points.join(F.broadcast(weights), "term") if small else lookup_join(points, weights, "term")
+        inside = known.groupBy(id, "y").agg(margin.alias("m")).where("m < 1")
         pull = points.join(inside.select(id), id, "left_semi").groupBy("term").agg(
             F.sum(F.col("y") * F.col("value")).alias("pull")
         )
         moved = F.col("weight") * (1 - rate * reg) + rate * F.coalesce("pull", F.lit(0.0)) / rows
         found = weights.join(pull, "term", "left").select("term", moved.alias("weight"), F.col("weight").alias("last"))
         found = written(found, "weights")
-        weights = found.select("term", "weight")
+        if stored is not None:
+            forget(stored)
+        weights, stored = found.select("term", "weight"), found
         change = F.sum((F.col("weight") - F.col("last")) ** 2)
         moved, length = (math.sqrt(x or 0.0) for x in found.agg(change, F.sum(F.col("weight") ** 2)).first())
         if t > 1 and moved < tol * max(length, 1.0):
