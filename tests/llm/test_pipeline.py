@@ -24,7 +24,7 @@ def con():
 
 def test_one_query_for_each_operator():
     names = list(queries.registry.queries)
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(names) | {"pipeline"} <= set(entry.queries())
 
 
