@@ -136,7 +136,10 @@ class PieceCoder:
     def counts(self, raw: np.ndarray, borders: np.ndarray) -> np.ndarray:
         """Number of ids of each text: its pieces' frequencies joined to the counts of the pieces."""
         pieces, row = self._look_up(raw, borders)
-        return np.bincount(row, self.sizes[pieces], len(borders) - 1).astype(np.int64)
+        # Each distinct piece of a text with its frequency, joined to its count.
+        pairs, frequency = np.unique(row * max(self.n, 1) + pieces, return_counts=True)
+        of_row, piece = np.divmod(pairs, max(self.n, 1))
+        return np.bincount(of_row, frequency * self.sizes[piece], len(borders) - 1).astype(np.int64)
 
     def encode(self, raw: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
@@ -207,8 +210,8 @@ class PieceCoder:
         for i in range(0, len(rest), 256):
             some = rest[i : i + 256]
             for k, e in zip(some, self.full.encode_batch([new[k] for k in some], add_special_tokens=False)):
-                found[k] = e.ids
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+                found[k] = e.ids if self.keep_ids else len(e)
+        sizes = np.fromiter(map(len, found) if self.keep_ids else found, np.int64, len(found))
         a, b, total = self.n, self.n + len(found), int(sizes.sum())
         taken, groups = bytehash.groups(raw, starts, ends)
         self.lengths, self.at = _room(self.lengths, b), _room(self.at, b)
@@ -228,7 +231,7 @@ class PieceCoder:
         return np.arange(a, b)
 
     def _simple(self, new: list[str]) -> list:
-        """Ids of the pieces that are one run of letters, digits or signs; None for the others."""
+        """Ids, or their number, of the pieces that are one run of letters, digits or signs; None for the others."""
         found: list = [None] * len(new)
         if self.rule == "whole":
             return found
@@ -241,7 +244,7 @@ class PieceCoder:
         letters = joined.encode().decode("latin-1").translate(self.letters).split(chr(self.letters[0]))
         tokenize = self.full.model.tokenize
         for i, p in zip(at, letters):
-            found[i] = [t.id for t in tokenize(p)]
+            found[i] = [t.id for t in tokenize(p)] if self.keep_ids else len(tokenize(p))
         return found
 
 

@@ -103,7 +103,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-            borders = _borders(r["n_docs"], r["low_bits"], r["low"], r["high"], r["samples"]).all()
+            code = _borders(r["n_docs"], r["low_bits"], r["low"], r["high"], r["samples"])
+            borders = np.array([code.select(k) for k in range(r["n_docs"] + 1)])
             ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
             for a in range(0, r["n_docs"], 1000):
                 b = min(a + 1000, r["n_docs"])
@@ -142,7 +143,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """``(doc_id, ids)`` of a few documents: their blocks only, and select only inside a block."""
-    wanted = sorted(set(doc_ids))
+    wanted = set(doc_ids)
     if not wanted:
         return spark.createDataFrame([], "doc_id long, ids binary")
 
@@ -159,9 +160,7 @@ def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
                     ["doc_id", "ids"],
                 )
 
-    near = [(F.col("first_doc") <= d) & (F.col("last_doc") >= d) for d in wanted]
-    blocks = spark.read.schema(BLOCKS).parquet(path)
-    any_of = near[0]
-    for c in near[1:]:
-        any_of = any_of | c
-    return blocks.where(any_of).mapInArrow(chosen, "doc_id long, ids binary")
+    blocks = spark.read.schema(BLOCKS).parquet(path).where(f"last_doc >= {min(wanted)} AND first_doc <= {max(wanted)}")
+    asked = F.array(*[F.lit(d) for d in sorted(wanted)])
+    near = F.exists(asked, lambda d: (F.col("first_doc") <= d) & (F.col("last_doc") >= d))
+    return blocks.where(near).mapInArrow(chosen, "doc_id long, ids binary")
