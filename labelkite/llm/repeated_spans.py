@@ -42,7 +42,7 @@ from labelkite.llm.words import SOLID, Words
 from labelkite.shared import forget, written
 
 WORDS = 13
-MARK = 7  # words of the short runs that marks are taken from
+MARK = 5  # words of the short runs that marks are taken from: longer ones are rarer, shorter ones make fewer marks
 RANGES = 4096  # of one document that are checked with one copy of its text
 COPY = 32  # bits of a place that number the word; those above number rows that repeat an id
 
@@ -96,8 +96,11 @@ def _marks(batches: Iterator[pa.RecordBatch], k: int, short: int) -> Iterator[pa
             )
 
 
-def _edges(batches: Iterator[pa.RecordBatch], k: int, short: int) -> Iterator[pa.RecordBatch]:
-    """The windows whose marks lie in several documents: ``(node, next, doc_id, place, first)``."""
+def _edges(batches: Iterator[pa.RecordBatch], k: int, short: int, counting: bool = True) -> Iterator[pa.RecordBatch]:
+    """The windows whose marks lie in several documents: ``(node, next, doc_id, place, first)``.
+
+    ``first`` tells whether an edge starts there first in its row; it is false throughout unless edges are counted.
+    """
     for batch in batches:
         ids, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for a, b, words in _of_slices(batch.column(2)):
@@ -106,12 +109,13 @@ def _edges(batches: Iterator[pa.RecordBatch], k: int, short: int) -> Iterator[pa
             first = first[np.isin(marks.view(np.int64), shared)]
             nodes = _at_words(words, k - 1)
             node, following, row = nodes[first], nodes[first + 1], words.row[first]
-            order = np.lexsort((following, node, row))  # stable: the first of equal ones comes first
-            new = np.ones(len(order), bool)
-            same = [(x[order][1:] == x[order][:-1]) for x in (row, node, following)]
-            new[1:] = ~(same[0] & same[1] & same[2])
-            is_first = np.zeros(len(order), bool)
-            is_first[order[new]] = True
+            is_first = np.zeros(len(row), bool)
+            if counting:
+                order = np.lexsort((following, node, row))  # stable: the first of equal ones comes first
+                new = np.ones(len(order), bool)
+                same = [(x[order][1:] == x[order][:-1]) for x in (row, node, following)]
+                new[1:] = ~(same[0] & same[1] & same[2])
+                is_first[order[new]] = True
             sizes = words.per_row()
             own = first - (np.cumsum(sizes) - sizes)[row]
             place = ((copies[a:b][row].astype(np.int64) - 1) << COPY) + own
@@ -156,7 +160,7 @@ def shared_marks(docs: DataFrame, k: int = WORDS, short: int = MARK) -> DataFram
     counts = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     shared = written(counts.where("low < high").select("mark", "n"), "shared-marks")
     own = join_groups(marks, shared, "mark", "n").select("doc_id", "mark")
-    own = written(own.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "document-marks")
+    own = written(own.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")), "document-marks")
     forget(marks)
     forget(shared)
     return own
@@ -243,10 +247,11 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, short: int = MARK, id: str =
     marks = shared_marks(rows, k, short)
     texts = written(rows.join(marks, "doc_id", "left").select("doc_id", copy, "text", "marks"), "marked-texts")
     forget(marks)
-    windows = texts.where("marks is not null").mapInArrow(lambda batches: _edges(batches, k, short), EDGES)
-    edges = written(repeated_edges(windows), "edges")
+    marked = texts.where("marks is not null")
+    edges = written(repeated_edges(marked.mapInArrow(lambda batches: _edges(batches, k, short), EDGES)), "edges")
     paths = written(compacted(edges), "paths")
     forget(edges)
+    windows = marked.mapInArrow(lambda batches: _edges(batches, k, short, counting=False), EDGES)
     return texts.drop("marks"), verified(occurrences(windows, paths), texts, k)
 
 
@@ -270,10 +275,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = (text or "").encode().split()  # bytes are split at the six signs that end a word here
             n = len(words)
             if spans:
-                gone = np.zeros(n + 1, np.int64)
-                np.add.at(gone, [s["begin"] for s in spans], 1)
-                np.add.at(gone, [s["begin"] + s["length"] for s in spans], -1)
-                words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
+                kept, at = [], 0
+                for begin, end in sorted((s["begin"], s["begin"] + s["length"]) for s in spans):
+                    kept += words[at:begin]  # nothing, where spans overlap
+                    at = max(at, end)
+                words = kept + words[at:]
             rows.append((doc, n, n - len(words), b" ".join(words).decode()))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.large_string()]
         columns = zip(*rows) if rows else [[]] * 4
