@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 
 from labelkite.operators import linear, tree
@@ -199,3 +201,22 @@ def test_term_descent_against_newton(spark):
             wide = linear.logistic_terms_fit(df, spec, "id", "label", "positive", c, iterations=3, max_bytes=1)
             a, b = ({r["term"]: r["weight"] for r in f.collect()} for f in (few, wide))
             assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_kernel_features_are_never_stored(spark, monkeypatch):
+    """The learner stores the cells alone, reaches the quasi-Newton learner's objective, and leaves out missing cells."""
+    stored = []
+    monkeypatch.setattr(linear, "written", lambda df, *a, **k: stored.append(written(df, *a, **k)) or stored[-1])
+    monkeypatch.setattr(linear, "forget", lambda table: None)
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), float(a * b > 0)) for a, b in rng.uniform(-1, 1, size=(200, 2))]
+    df = spark.createDataFrame([*rows, (None, 0.5, 1.0)], "a double, b double, label double")
+    model, cells = linear.svm_rbf_fit(df, ["a", "b"], c=10.0, sigma=0.5, n=40)
+    assert [t.columns for t in stored] == [["x", "y"]]
+    assert stored[0].select(F.max(F.size("x")), F.count("*")).first() == (2, 200)
+    features = array_to_vector(linear.fourier_features(F.array("a", "b"), 2, 0.5, 40, 42)).alias("features")
+    plain = LinearSVC(maxIter=100, regParam=1.0 / (10.0 * 200), standardization=False)
+    former = plain.fit(df.where("a is not null").select("label", features).cache())
+    assert model.loss <= former.summary().objectiveHistory[-1] + 2e-3
+    out = linear.svm_rbf_predict(model, cells, df, ["no", "yes"], "predicted")
+    assert out.where("predicted is null").count() == 1 and out.where("a is null and predicted is null").count() == 1
