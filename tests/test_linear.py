@@ -220,3 +220,28 @@ def test_kernel_features_are_never_stored(spark, monkeypatch):
     assert model.loss <= former.summary().objectiveHistory[-1] + 2e-3
     out = linear.svm_rbf_predict(model, cells, df, ["no", "yes"], "predicted")
     assert out.where("predicted is null").count() == 1 and out.where("a is null and predicted is null").count() == 1
+
+
+def test_a_pass_over_documents_shuffles_no_points(spark):
+    """Margins and sums by term, from one row for each document, by a vector of weights or by joins."""
+    points = [(i, 1.0 if i % 2 else -1.0, f"t{j}", float(j + 1)) for i in range(30) for j in range(4) if (i + j) % 3]
+    points += [(99, 1.0, "unknown", 1.0)]
+    df = spark.createDataFrame(points, "id long, y double, term string, value double")
+    terms = spark.createDataFrame([(f"t{j}",) for j in range(5)], "term string")
+    found = []
+    for limit in (10**6, 1):
+        rows = linear.term_rows(df, terms, "id", limit)
+        assert rows.table.count() == 30 and rows.table.columns == ["id", "y", "idx", "value"]
+        weights = written(rows.terms.select("idx", (F.col("idx") - 1.5).alias("w"), F.lit(2.0).alias("d")), "weights")
+        margins = rows.margins(weights, ["w", "d"])
+        pulls = rows.pulls(weights, "w", lambda y, m: y * (y * m < 1))
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (margins, pulls)]
+        assert ("Join" in plans[0] or "Join" in plans[1]) == (limit == 1)
+        found.append((sorted(map(tuple, margins.collect())), {r["idx"]: r["g"] for r in pulls.collect() if r["g"]}))
+    want = []
+    for i in range(30):
+        own = [(j, float(j + 1)) for j in range(4) if (i + j) % 3]
+        want.append((1.0 if i % 2 else -1.0, sum(v * (j - 1.5) for j, v in own), sum(2 * v for _, v in own)))
+    assert [x for r in found[0][0] for x in r] == pytest.approx([x for r in sorted(want) for x in r])
+    assert [x for r in found[0][0] for x in r] == pytest.approx([x for r in found[1][0] for x in r])
+    assert found[0][1] == pytest.approx(found[1][1]) and found[0][1]
