@@ -16,8 +16,8 @@ the whole, and all but one; larger sets that may be linked with those have the s
 Links are found in two rounds. First each signature's smallest and largest set are compared with all
 its other sets (stars, not pairs). Then sets that share a signature and are not yet in one component
 are compared in blocks inside a task, by a sketch: counts of shingles by hash cell, whose distance is
-never above the number of differing shingles. Only pairs that the sketch cannot tell apart come out, and
-a sketch of more cells looks at those again.
+never above the number of differing shingles. Fewer cells are compared first, then all of them; only pairs
+that these cannot tell apart come out, some thousands at a time.
 Every link is verified on the full sets of 64-bit hashes of the whole texts. Copies are one set: only
 the first row of a set in an Arrow batch carries signatures.
 
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelkite.llm import bytehash
-from labelkite.llm.components import components
+from labelkite.llm.components import FILE_ROWS, components
 from labelkite.llm.tables import join_groups, only
 from labelkite.llm.words import SOLID, Words
 from labelkite.shared import written
@@ -53,7 +53,8 @@ THICK = 3  # shingles of a pair of parts that tells enough
 SLICE_BYTES = 1 << 19  # of texts at a time; their hashes take some fifty times as much
 MEMBERS = 256  # sets that are compared with one copy of a star's centre
 BLOCK = 512  # sketches of a signature that are compared with one block of others
-SKETCH, SMALL = 256, 64  # cells of a sketch, and of the one that goes along with a signature
+SKETCH, SMALL = 256, 64  # cells of a sketch, and of the coarser one that is compared first
+OUT = 1 << 16  # pairs that a task gathers before they go on
 CELLS = 1 << 24  # of a bitmap of keys that are needed at all: two megabytes, however many keys there are
 
 _SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -202,17 +203,14 @@ def _described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
         for a, b, h, ends in _sets_of(batch.column(1), words):
             keys = [d.tobytes() for d in _digests(h, ends)]
             sketches = _sketches(h, ends)
-            folded = sketches.reshape(-1, SMALL, SKETCH // SMALL).sum(2, dtype=np.int64)
-            small = np.minimum(folded, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
                     pa.array(np.diff(ends), pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array([x.tobytes() for x in sketches], pa.binary()),
-                    pa.array([x.tobytes() for x in small], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "digest", "sketch", "small"],
+                ["doc_id", "n_shingles", "digest", "sketch"],
             )
 
 
@@ -302,38 +300,56 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterat
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterator[pa.RecordBatch]:
-    """Rows come by signature and pair of blocks; pairs of sets that the sketch cannot tell apart come out."""
+    """Rows come by signature and pair of blocks; pairs of sets that the sketch cannot tell apart come out.
 
-    def compared(block: list) -> tuple[list, list]:
-        docs, own, parts, sizes, sketches = zip(*block)
-        docs, own, parts, n = (np.array(x) for x in (docs, own, parts, sizes))
-        sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(n), SMALL).astype(np.int16)
-        a, b = [], []
+    A task holds one pair of blocks and at most some ``OUT`` pairs more than that makes.
+    """
+
+    def compared(block: list) -> Iterator[np.ndarray]:
+        docs, own, parts, n, sketches = zip(*block)
+        docs, own, parts, n = (np.array(x) for x in (docs, own, parts, n))
+        sketch = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(n), SKETCH).astype(np.int16)
+        small = sketch.reshape(len(n), SMALL, SKETCH // SMALL).sum(2, dtype=np.int16)
         for i in range(len(n) - 1):
             rest = np.arange(i + 1, len(n))
             rest = rest[(parts[rest] != parts[i]) & ((own[rest] != own[i]) | one)]
-            small, large = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
-            rest = rest[small * similarity.denominator >= large * similarity.numerator]
-            differ = np.abs(sketch[rest] - sketch[i]).sum(1, dtype=np.int64)
-            limit = (similarity.denominator - similarity.numerator) * (n[i] + n[rest])
-            near = docs[rest[differ * (similarity.denominator + similarity.numerator) <= limit]]
-            a += np.minimum(near, docs[i]).tolist()
-            b += np.maximum(near, docs[i]).tolist()
-        return a, b
-
-    now, block, one = None, [], True
-    for batch in batches:
-        a, b = [], []
-        for signature, low, high, *row in zip(*[c.to_pylist() for c in batch.columns]):
-            if now != (signature, low, high):
-                for x, more in zip((a, b), compared(block) if block else ([], [])):
-                    x += more
-                now, block, one = (signature, low, high), [], low == high
-            block.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-    if block:
-        a, b = compared(block)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            fewer, more = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
+            rest = rest[fewer * similarity.denominator >= more * similarity.numerator]
+            for cells in (small, sketch):  # few cells tell most sets apart
+                differ = np.abs(cells[rest] - cells[i]).sum(1, dtype=np.int64)
+                limit = (similarity.denominator - similarity.numerator) * (n[i] + n[rest])
+                rest = rest[differ * (similarity.denominator + similarity.numerator) <= limit]
+            if len(rest):
+                near = docs[rest]
+                yield np.stack([np.minimum(near, docs[i]), np.maximum(near, docs[i])])
+
+    def blocks() -> Iterator[list]:
+        nonlocal one
+        now, block = None, []
+        for batch in batches:
+            for signature, low, high, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if now != (signature, low, high):
+                    yield block
+                    now, block, one = (signature, low, high), [], low == high
+                block.append(row)
+        yield block
+
+    one, found, n = True, [], 0
+    for block in blocks():
+        for pairs in compared(block) if len(block) > 1 else ():
+            found.append(pairs)
+            n += pairs.shape[1]
+            if n >= OUT:
+                yield _distinct_pairs(found)
+                found, n = [], 0
+    if found:
+        yield _distinct_pairs(found)
+
+
+def _distinct_pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Neighbouring signatures have many pairs in common."""
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
 
 
 def _still_apart(members: DataFrame, part_of: DataFrame, found: DataFrame, similarity: Fraction) -> DataFrame:
@@ -351,20 +367,19 @@ def _still_apart(members: DataFrame, part_of: DataFrame, found: DataFrame, simil
     )
     distinct = parts.where("x < y").groupBy("sets1", "sets2", "n").agg(F.min("signature").alias("signature"))
     open_signatures = distinct.select("signature", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    apart = named.join(open_signatures, "signature").join(found.select("doc_id", "small"), "doc_id")
+    apart = named.join(open_signatures, "signature").join(found.select("doc_id", "sketch"), "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     paired = apart.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     )
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    dealt = paired.select("signature", low, high, "doc_id", "own", "component", "n_shingles", "small")
+    dealt = paired.select("signature", low, high, "doc_id", "own", "component", "n_shingles", "sketch")
     dealt = dealt.repartition("signature", "low", "high").sortWithinPartitions("signature", "low", "high")
-    pairs = dealt.mapInArrow(lambda batches: _block_pairs(batches, similarity), "a long, b long").distinct()
-    return _possible(pairs, found, similarity)
+    return dealt.mapInArrow(lambda batches: _block_pairs(batches, similarity), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets reach the similarity, as a stored table.
+    """The stored pairs ``(a, b)`` whose sets reach the similarity, as a stored table.
 
     Sets are made from the texts once more, only for the documents of pairs. A centre with many
     members has them dealt out to several tasks, 256 or so to each.
@@ -376,7 +391,8 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: Fraction
     )
     sets = written(only(sets, ids.distinct(), "doc_id"), "shingle-sets")
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEMBERS).alias("salts"))
-    sizes = written(sizes, "centres")
+    files = -(-pairs.count() // MEMBERS)
+    sizes = written(sizes, "centres", files=files)
     salted = join_groups(pairs, sizes, "a", "n").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     members = salted.join(sets, F.col("b") == F.col("doc_id")).select("a", "salt", "b", "shingles")
     centres = (
@@ -385,7 +401,8 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: Fraction
         .select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
     )
     dealt = members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-    return written(dealt.mapInArrow(lambda batches: _compared(batches, similarity), "a long, b long"), "verified")
+    links = dealt.mapInArrow(lambda batches: _compared(batches, similarity), "a long, b long")
+    return written(links, "verified", files=files)
 
 
 def _pairs(members: DataFrame, x: str, y: str) -> DataFrame:
@@ -431,7 +448,7 @@ def similar_groups(
     found = written(
         rows.mapInArrow(
             lambda batches: _described(batches, words),
-            "doc_id long, n_shingles long, digest binary, sketch binary, small binary",
+            "doc_id long, n_shingles long, digest binary, sketch binary",
         ),
         "described",
     )
@@ -461,7 +478,7 @@ def similar_groups(
     )
     stars = written(_possible(stars, found, similarity), "stars")
     # One centre for each document first: the others are compared only if that leaves them apart.
-    first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs", files=-(-stars.count() // FILE_ROWS))
     links = verified(first, rows, words, similarity)
     part_of = written(components(_with_copies(links, found, classes)), "parts")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelkite.llm import jaccard_join as J
+from labelkite.llm import components as C
 from labelkite.llm.components import components
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,6 +92,27 @@ def test_links_that_no_star_finds(spark):
     assert collected(J.similar_groups(frame(spark, rows, 5))) == want
 
 
+def test_blocks_let_out_near_sets_only():
+    """Large sets that 64 cells cannot tell apart; near pairs of many signatures come out in bounded batches."""
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(1, 2**63, 1500, dtype=np.uint64)) for _ in range(60)]
+    sets += [np.append(s[1:], np.uint64(7)) for s in sets[:4]]
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sketches = [x.tobytes() for x in J._sketches(np.concatenate(sets), ends)]
+    sizes = np.diff(ends)
+    rows = [(0, 0, 0, i, 0, i, int(sizes[i]), sketches[i]) for i in range(64)]
+    names = ["signature", "low", "high", "doc_id", "own", "component", "n_shingles", "sketch"]
+
+    def pairs(rows):
+        batches = J._block_pairs(iter([J.pa.table(dict(zip(names, zip(*rows)))).to_batches()[0]]), Fraction(8, 10))
+        return [list(zip(b["a"].to_pylist(), b["b"].to_pylist())) for b in batches]
+
+    assert pairs(rows) == [[(i, 60 + i) for i in range(4)]]
+    copies = [(s, 0, 0, s * 600 + i, 0, i, 1500, sketches[0]) for s in range(3) for i in range(512)]
+    found = pairs(copies)
+    assert max(map(len, found)) < J.OUT + 512 and len(set(sum(found, []))) == 3 * 512 * 511 // 2
+
+
 def test_a_large_group(spark):
     """Hundreds of near copies of one text, some equal, and a chain of them."""
     rows = copies(9, 1, [80], 2, 400)
@@ -136,3 +158,21 @@ def test_components_of_random_links(spark):
     want = smallest({v for e in links if e[0] != e[1] for v in e}, links[:-1])
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_of_few_links_write_few_files(spark, monkeypatch):
+    """However many partitions the session has: each file of a round costs a task, and processes on a local folder."""
+    made = []
+    store = C.written
+    monkeypatch.setattr(C, "written", lambda *a, **b: (made.append(store(*a, **b)), made[-1])[1])
+    monkeypatch.setattr(C, "forget", lambda table: None)
+    links = spark.range(2000).selectExpr("id - id % 5 AS a", "id AS b")
+    before = {k: spark.conf.get(k) for k in ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]}
+    try:
+        for k, v in zip(before, ["40", "false"]):
+            spark.conf.set(k, v)
+        assert components(links).count() == 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(made) > 4 and all(len(t.inputFiles()) <= 1 for t in made[1:])
