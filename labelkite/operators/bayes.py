@@ -1,4 +1,4 @@
-"""Multinomial naive Bayes on terms, as aggregates and one lookup join."""
+"""Multinomial naive Bayes on terms: aggregates, and a lookup of each document's terms."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.operators.skew import lookup_join
-from labelkite.operators.vectors import occurrences
+from labelkite.operators.vectors import document_sums, occurrences
 from labelkite.operators.vocab import class_sizes
 from labelkite.shared import written
 
@@ -106,16 +105,9 @@ def multinomial_predict(
     With ``n`` known terms in the document, the score of a class is
     ``prior - n * base + sum(log(count + smoothing))``: absent terms need no rows.
     """
-    terms = occurrences(docs, [id, *keep], tokens)
-    found = lookup_join(terms, model.counts, "term", how="left")
     k = range(len(model.classes))
-    sums = found.groupBy(id, *keep).agg(
-        F.count("doc_freq").alias("_n"),
-        *[
-            F.coalesce(F.sum(F.log(F.col(f"n_{i}") + model.smoothing)), F.lit(0.0)).alias(f"_s{i}")
-            for i in k
-        ],
-    )
+    logs = {f"_s{i}": F.log(F.col(f"n_{i}") + model.smoothing) for i in k}
+    sums = document_sums(docs, model.counts, id, keep, logs, tokens)
     priors, bases = model.priors(), model.bases()
     names = [f"_score{i}" for i in k]
     scored = sums.withColumns(

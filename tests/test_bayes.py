@@ -5,7 +5,7 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
 from labelkite.functions import encode_label, tokenize
-from labelkite.operators import bayes, mixed_bayes, vectors, vocab
+from labelkite.operators import bayes, linear, mixed_bayes, vectors, vocab
 from labelkite.shared import fresh_path, written
 from labelkite.sources import models
 
@@ -46,6 +46,22 @@ def test_vector_rules(spark):
     }
 
 
+TOKEN_ROWS = [(1, ["b", "a", "b", "z"]), (2, []), (3, ["z"]), (4, None), (5, ["c", None, "a"]), (5, ["a", "b"]), (None, ["b"])]
+
+
+@pytest.mark.parametrize("number", ["occurrence", "tf"])
+def test_terms_are_looked_up_inside_rows(spark, number):
+    """No token becomes a row; rows, nulls and repeated ids are as by the join of tokens."""
+    docs = spark.createDataFrame(TOKEN_ROWS, "id long, tokens array<string>").repartition(3)
+    spec = spark.createDataFrame([("b", 0, 2), ("c", 7, 2), ("a", 3, 2)], "term string, idx long, doc_freq long")
+    found = vectors.doc_vectors(docs, spec, "id", number=number)
+    assert "tokens" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "explode" in x)
+    joined = vectors.doc_vectors(docs, spec, "id", number=number, max_bytes=0)
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert got == sorted(map(tuple, joined.collect()), key=repr)
+    assert (5, [0, 3, 7], [1.0, 1.0 if number == "occurrence" else 2.0, 1.0]) in got and len(got) == 6
+
+
 def test_relational_bayes_equals_the_ml_library(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").join(
         spark.read.parquet(f"{SMALL}/labels.parquet"), "doc_id"
@@ -81,6 +97,24 @@ def test_document_without_known_terms_gets_the_prior(spark):
     assert all(r["score"] == pytest.approx(math.log(3 / 5), abs=1e-8) for r in got)
 
 
+def test_scores_need_no_row_by_token(spark):
+    """Sums are made where a document's tokens lie, and are as by the join of tokens."""
+    docs = spark.createDataFrame(TOKEN_ROWS, "id long, tokens array<string>").repartition(3)
+    table = spark.createDataFrame([("b", 1.5), ("c", 4.0), ("a", 0.25)], "term string, w double")
+    sums = {"s": F.col("w") * 2, "t": -F.col("w")}
+    found = vectors.document_sums(docs, table, "id", [], sums)
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert got == sorted(map(tuple, vectors.document_sums(docs, table, "id", [], sums, max_bytes=0).collect()), key=repr)
+    assert (1, 2, 3.5, -1.75) in got and (4, 0, 0.0, 0.0) in got and (5, 4, 12.0, -6.0) in got
+    model = bayes.multinomial_fit(animals(spark), written(vocab.doc_freq(animals(spark), min_doc_freq=1), "v"))
+    for frame in (
+        bayes.multinomial_predict(model, animals(spark), "id", ["label"]),
+        linear.score_by_model(docs, table.withColumnRenamed("w", "weight"), "id", []),
+    ):
+        assert "explode" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_predicted_field(spark):
     docs = spark.createDataFrame(ANIMALS, "id long, text string, label string")
     model = bayes.multinomial_fit(
