@@ -4,6 +4,8 @@ A node is a run of ``k - 1`` words, an edge a run of ``k`` words (a window): fro
 words to that of its last ones. Edges that start in two documents or more are repeated; the smallest
 document of an edge, and the place where it first starts there, are its source coordinates.
 
+0. *Copies.* Rows of equal texts differ by nothing: the one of the smallest id stands for all in the graph, and
+   each other is one span, from its first word to its last, whose source is that row (verified as all spans are).
 1. *Marks.* Of the short runs inside a window the one with the least hash is the window's mark; equal
    windows have equal marks, and neighbours mostly share one. Only marks are counted over all documents:
    a window whose mark lies in one document is not repeated, and never becomes a row.
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labelkite.llm.bytehash import hashes, runs, slices, text_bytes
+from labelkite.llm.bytehash import hashes, mixed, runs, slices, text_bytes
 from labelkite.llm.tables import join_groups
 from labelkite.llm.words import SOLID, Words
 from labelkite.shared import forget, written
@@ -66,12 +68,23 @@ def _at_words(words: Words, k: int) -> np.ndarray:
 
 def _window_marks(words: Words, k: int, short: int) -> tuple[np.ndarray, np.ndarray]:
     """First word of each window, and its mark."""
-    first, _ = words.windows(k)
+    first = words.starting(k)
+    n = len(words.hash) - k + 1
+    if not len(first):
+        return first, np.zeros(0, np.uint64)
     runs_at = _at_words(words, short)
-    marks = runs_at[first]
+    marks = runs_at[:n].copy()
     for j in range(1, k - short + 1):
-        marks = np.minimum(marks, runs_at[first + j])
-    return first, marks
+        np.minimum(marks, runs_at[j : n + j], out=marks)
+    return first, marks[first]
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether an entry differs from the one before it."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return new
 
 
 def _of_slices(column) -> Iterator[tuple[int, int, Words]]:
@@ -87,10 +100,11 @@ def _marks(batches: Iterator[pa.RecordBatch], k: int, short: int) -> Iterator[pa
         for a, b, words in _of_slices(batch.column(1)):
             first, marks = _window_marks(words, k, short)
             row = words.row[first]
+            new = _changes(row, marks)  # neighbours mostly share a mark
+            row, marks = row[new], marks[new]
             order = np.lexsort((marks, row))
             row, marks = row[order], marks[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (marks[1:] != marks[:-1])
+            new = _changes(row, marks)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(marks[new].view(np.int64)), pa.array(ids[a:b][row[new]], pa.int64())], ["mark", "doc_id"]
             )
@@ -106,16 +120,15 @@ def _edges(batches: Iterator[pa.RecordBatch], k: int, short: int, counting: bool
         for a, b, words in _of_slices(batch.column(2)):
             shared = np.unique(batch.column(3).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
             first, marks = _window_marks(words, k, short)
-            first = first[np.isin(marks.view(np.int64), shared)]
+            new = _changes(marks)
+            first = first[np.isin(marks[new].view(np.int64), shared)[np.cumsum(new) - 1]]
             nodes = _at_words(words, k - 1)
             node, following, row = nodes[first], nodes[first + 1], words.row[first]
             is_first = np.zeros(len(row), bool)
             if counting:
-                order = np.lexsort((following, node, row))  # stable: the first of equal ones comes first
-                new = np.ones(len(order), bool)
-                same = [(x[order][1:] == x[order][:-1]) for x in (row, node, following)]
-                new[1:] = ~(same[0] & same[1] & same[2])
-                is_first[order[new]] = True
+                names = mixed(node + mixed(following + row.astype(np.uint64)))
+                order = np.argsort(names, kind="stable")  # the first of equal ones comes first
+                is_first[order[_changes(row[order], node[order], following[order])]] = True
             sizes = words.per_row()
             own = first - (np.cumsum(sizes) - sizes)[row]
             place = ((copies[a:b][row].astype(np.int64) - 1) << COPY) + own
@@ -131,6 +144,16 @@ def _edges(batches: Iterator[pa.RecordBatch], k: int, short: int, counting: bool
             )
 
 
+def _copies(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, place, keep, name, windows)`` of the texts that have a window."""
+    for batch in batches:
+        raw, borders = text_bytes(batch.column(4))
+        starts, _ = runs(SOLID[raw], borders)
+        windows = np.bincount(np.searchsorted(borders, starts, "right") - 1, minlength=batch.num_rows) - (k - 1)
+        columns = [*batch.columns[:4], pa.array(windows, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "keep", "name", "windows"]).filter(pa.array(windows > 0))
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SHA-256 of ranges of a document's words, joined by one space: ``(doc_id, place, length, digest)``."""
     for batch in batches:
@@ -151,6 +174,29 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "place", "length", "digest"])
 
 
+def equal_texts(rows: DataFrame) -> DataFrame:
+    """Stored ``(doc_id, name, keep)``: the rows whose text, called ``name``, is that of ``keep``, a smaller id."""
+    names = written(rows.where("name is not null").select("doc_id", "name"), "text-names")
+    groups = names.groupBy("name").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    groups = written(groups.where("keep < last").select("name", "keep", "n"), "equal-texts")
+    found = join_groups(names, groups, "name", "n").where("doc_id > keep").select("doc_id", "name", "keep")
+    found = written(found.distinct(), "copies")
+    forget(names)
+    forget(groups)
+    return found
+
+
+def copy_spans(texts: DataFrame, k: int = WORDS) -> DataFrame:
+    """Stored ``(doc_id, place, windows, source, source_place)``: the whole of each copy, at the row that it repeats."""
+    place = F.shiftleft((F.col("copy") - 1).cast("long"), COPY)
+    sources = texts.where("keep is null and name is not null").groupBy(F.col("doc_id").alias("keep"), "name")
+    sources = sources.agg(F.min(place).alias("source_place"))
+    copies = texts.where("keep is not null").select("doc_id", place.alias("place"), "keep", "name", "text")
+    copies = copies.mapInArrow(lambda batches: _copies(batches, k), "doc_id long, place long, keep long, name string, windows long")
+    found = copies.join(sources, ["keep", "name"])
+    return written(found.select("doc_id", "place", "windows", F.col("keep").alias("source"), "source_place"), "copy-spans")
+
+
 def shared_marks(docs: DataFrame, k: int = WORDS, short: int = MARK) -> DataFrame:
     """``(doc_id, marks)``: of each document the marks that other documents have as well."""
     marks = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(
@@ -159,7 +205,7 @@ def shared_marks(docs: DataFrame, k: int = WORDS, short: int = MARK) -> DataFram
     marks = written(marks, "marks")
     counts = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     shared = written(counts.where("low < high").select("mark", "n"), "shared-marks")
-    own = join_groups(marks, shared, "mark", "n").select("doc_id", "mark")
+    own = join_groups(marks, shared.hint("shuffle_hash"), "mark", "n").select("doc_id", "mark")
     own = written(own.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")), "document-marks")
     forget(marks)
     forget(shared)
@@ -182,7 +228,7 @@ def compacted(edges: DataFrame) -> DataFrame:
     ends = edges.select("node", one, none).unionByName(edges.select(F.col("next").alias("node"), F.lit(0).alias("leave"), F.lit(1).alias("enter")))
     branches = ends.groupBy("node").agg(F.sum("leave").alias("leave"), F.sum("enter").alias("enter"))
     branches = branches.where("leave > 1 or enter > 1").select("node", F.lit(True).alias("branch"))
-    told = edges.join(branches, "node", "left")
+    told = edges.join(branches.hint("shuffle_hash"), "node", "left")  # no sort of the edges for it
     along = Window.partitionBy("source").orderBy("place", "node", "next")
     follows = F.col("branch").isNull() & (F.lag("place").over(along) == F.col("place") - 1)
     starts = told.withColumn("follows", F.coalesce(follows, F.lit(False)))
@@ -195,7 +241,7 @@ def occurrences(windows: DataFrame, paths: DataFrame) -> DataFrame:
 
     The stored paths are deleted as soon as they are used.
     """
-    found = windows.select("node", "next", "doc_id", "place").join(paths, ["node", "next"]).where("doc_id > source")
+    found = windows.select("node", "next", "doc_id", "place").join(paths.hint("shuffle_hash"), ["node", "next"]).where("doc_id > source")
     hits = found.select("doc_id", "place", "source", "start", (F.col("place") - F.col("step")).alias("line"))
     hits = written(hits, "hits")  # so that the shuffles of the join and of the spans do not lie side by side
     forget(paths)
@@ -243,16 +289,23 @@ def repeated_spans(docs: DataFrame, k: int = WORDS, short: int = MARK, id: str =
     repeat the id, less one, as ``copy`` is.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).alias("copy")
-    marks = shared_marks(rows, k, short)
-    texts = written(rows.join(marks, "doc_id", "left").select("doc_id", copy, "text", "marks"), "marked-texts")
+    rows = rows.withColumn("name", F.md5("text"))
+    copies = equal_texts(rows)
+    marks = shared_marks(rows.join(copies, ["doc_id", "name"], "left_anti"), k, short)
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("name")).alias("copy")
+    lists = copies.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "keep"))).alias("keeps"))
+    dealt = rows.join(marks, "doc_id", "left").join(lists, "doc_id", "left")
+    texts = written(dealt.select("doc_id", copy, "text", "name", F.col("keeps")[F.col("name")].alias("keep"), "marks"), "marked-texts")
     forget(marks)
-    marked = texts.where("marks is not null")
+    forget(copies)
+    marked = texts.where("marks is not null and keep is null").select("doc_id", "copy", "text", "marks")
     edges = written(repeated_edges(marked.mapInArrow(lambda batches: _edges(batches, k, short), EDGES)), "edges")
     paths = written(compacted(edges), "paths")
     forget(edges)
     windows = marked.mapInArrow(lambda batches: _edges(batches, k, short, counting=False), EDGES)
-    return texts.drop("marks"), verified(occurrences(windows, paths), texts, k)
+    spans = occurrences(windows, paths).unionByName(copy_spans(texts, k))
+    texts = texts.select("doc_id", "copy", "text")
+    return texts, verified(spans, texts, k)
 
 
 def without_repeats(docs: DataFrame, k: int = WORDS, short: int = MARK, id: str = "doc_id", text: str = "text") -> DataFrame:

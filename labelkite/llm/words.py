@@ -47,17 +47,22 @@ class Words:
     def per_row(self) -> np.ndarray:
         return np.bincount(self.row, minlength=self.n_rows)
 
+    def starting(self, k: int) -> np.ndarray:
+        """First word of each run of ``k`` words that lies in one text."""
+        n = max(len(self.hash) - k + 1, 0)
+        return np.flatnonzero(self.row[:n] == self.row[k - 1 :]) if n else np.zeros(0, np.int64)
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of ``k`` words that lies in one text."""
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        first = np.flatnonzero(self.row[:n] == self.row[k - 1 :])
+        first = self.starting(k)
         steps = bytehash.places(k) | np.uint64(1)
-        sums = np.zeros(len(first), np.uint64)
-        for j in range(k):
-            sums += self.hash[first + j] * steps[j]
-        return first, bytehash.mixed(sums + np.uint64(k))
+        sums = np.full(n, k, np.uint64)
+        for j in range(k):  # over all words, as neighbours in memory are cheaper than a choice of them
+            sums += self.hash[j : n + j] * steps[j]
+        return first, bytehash.mixed(sums[first])
 
     def text(self, first: int, k: int) -> bytes:
         """``k`` words, joined by one space."""

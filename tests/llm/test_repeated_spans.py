@@ -98,6 +98,19 @@ def test_paths_end_at_branches(spark):
     assert sorted((r["source"], r["start"], r["count"]) for r in paths) == [(0, 0, 8), (0, 8, 20), (1, 8, 20)]
 
 
+def test_copies_stay_out_of_the_graph(spark):
+    """Of equal texts one makes edges; each other is one span, also where ids repeat."""
+    long, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "pq")
+    rows = [(3, long), (5, long), (5, other), (5, long), (7, other), (9, "p1 p2"), (11, "p1 p2"), (12, None), (13, None), (14, "z " + long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    copies = R.equal_texts(docs.withColumn("name", F.md5("text"))).select("doc_id", "keep").collect()
+    assert sorted(map(tuple, copies)) == [(5, 3), (7, 5), (11, 9)]
+    _, spans = R.repeated_spans(docs)
+    spans = sorted((r["doc_id"], r["place"] & ((1 << R.COPY) - 1), r["length"], r["source"]) for r in spans.collect())
+    assert spans == [(5, 0, 40, 3), (5, 0, 40, 3), (7, 0, 40, 5), (14, 1, 40, 3)]
+    assert got(R.without_repeats(docs)) == brute(rows, R.WORDS)
+
+
 def test_nothing(spark, no_documents):
     assert R.without_repeats(no_documents).count() == 0
 
