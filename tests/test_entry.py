@@ -1,7 +1,12 @@
+import re
+from pathlib import Path
+
 import __spark_entry__ as entry
 import pytest
 from check_sql import compare, connect
 
+from labelkite.plans import inputs
+from labelkite.sources import tables
 from places import SMALL
 
 
@@ -25,6 +30,41 @@ def test_query_equals_sql(spark, con, name):
     assert result.startswith("equal"), result
 
 
+def shuffled(spark, df):
+    """Columns of each shuffle in the plan."""
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan, re.M)
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_texts_are_scored_where_they_are_read(spark, threshold):
+    """Only ids and fields pass the shuffles of the prediction, whether labels are sent to all tasks or not."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        passed = shuffled(spark, entry.queries()["predicted_field"](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert passed and not any("text#" in x or "tokens#" in x for x in passed)
+
+
+def test_labels_meet_texts_without_a_growing_task(spark, rows, monkeypatch):
+    """Small labels go to the texts; for larger ones a task of the join gets a share of the texts that does not grow."""
+    path = f"{SMALL}/documents.parquet"
+    assert tables.join_parts(spark, path) is None  # the session's number is enough
+    assert tables.join_parts(spark, path, Path(path).stat().st_size // 9) in (9, 10)
+    monkeypatch.setattr(inputs, "join_parts", lambda spark, path: 9)
+    monkeypatch.setattr(inputs, "documents", lambda spark, sf: inputs.table(spark, sf, "documents", ["doc_id", "text"]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent, dealt = inputs.labelled(spark, SMALL), inputs.labelled(spark, SMALL, max_bytes=0)
+        assert shuffled(spark, sent) == []
+        parts = re.findall(r"hashpartitioning\(doc_id#\d+L?, (\d+)\)", dealt._jdf.queryExecution().executedPlan().toString())
+        assert parts and set(parts) == {"9"}
+        assert rows(sent, "doc_id", "label", "text") == rows(dealt, "doc_id", "label", "text") != []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_compared_models_have_their_own_accuracy(spark):
     """Two of the three figures follow from queries that SQL confirms."""
     q = entry.queries()
